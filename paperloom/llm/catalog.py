@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import mixing, warc
+from paperloom.llm import mixing, tokenids, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
+    "op2_simple8b_ids": tokenids,
     "op3_mix_sources": mixing,
 }
 
