@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import mixing, tokenids, warc
+from paperloom.llm import ledger, mixing, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
     "op2_simple8b_ids": tokenids,
     "op3_mix_sources": mixing,
+    "op5_toxicity_fm": toxicity,
+    "op6_rule_ledger": ledger,
 }
 
 

@@ -43,9 +43,9 @@ FOOTER = "S8B-END1"
 HEADER = struct.Struct(">8sqqqqqq")  # magic, place, ids, documents, ids in a block, words, escapes
 
 BLOCK = 1024
-FILE_IDS = 4 << 20
+FILE_IDS = 1 << 20
 END_ID = 2
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 _PIECE_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -168,7 +168,7 @@ class Encoder:
     the vocabulary's special token go to it whole.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         import os

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -44,7 +44,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             out.append(np.multiply.accumulate(a))
         have = (out[0], out[1])
-        if size <= 2 * SLICE_BYTES:
+        if size <= 8 * SLICE_BYTES:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
