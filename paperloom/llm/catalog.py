@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ledger, mixing, tokenids, toxicity, warc
+from paperloom.llm import ledger, mixing, simhash, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
@@ -14,6 +14,7 @@ _MODULES = {
     "op3_mix_sources": mixing,
     "op5_toxicity_fm": toxicity,
     "op6_rule_ledger": ledger,
+    "op7_simhash_pivots": simhash,
 }
 
 
