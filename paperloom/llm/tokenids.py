@@ -156,6 +156,16 @@ _CLASS[[*range(0x09, 0x0E), 0x20]] = 3
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[*range(0x1C, 0x20), 0x27, 0xC2, *range(0xCA, 0x100)]] = True
 
+
+
+def _alphabet() -> dict[int, int]:
+    """Byte -> character of the byte-level vocabulary: printable Latin-1 stands for itself, others follow from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+_ALPHABET = _alphabet()
 _loaded: dict[str, Encoder] = {}
 
 
@@ -197,7 +207,8 @@ class Encoder:
         return [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-        got = self._encode([p.decode() for p in pieces])
+        encode = self.whole.model.tokenize  # a piece needs no further splitting
+        got = [[t.id for t in encode(p.decode("latin1").translate(_ALPHABET))] for p in pieces]
         size = np.fromiter(map(len, got), np.int64, len(got))
         r, at = self.rows, self.off[self.rows]
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
