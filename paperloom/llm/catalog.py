@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ledger, media, mixing, simhash, substring, tokenids, toxicity, warc
+from paperloom.llm import ledger, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
@@ -15,6 +15,7 @@ _MODULES = {
     "op5_toxicity_fm": toxicity,
     "op6_rule_ledger": ledger,
     "op7_simhash_pivots": simhash,
+    "op8_merge_dropout": pieces,
     "op9_recompression": substring,
     "op10_progressive_jpeg": media,
 }
