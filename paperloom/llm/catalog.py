@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ledger, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
+from paperloom.llm import chat, ledger, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
     "op2_simple8b_ids": tokenids,
     "op3_mix_sources": mixing,
+    "op4_transcript_hmm": chat,
     "op5_toxicity_fm": toxicity,
     "op6_rule_ledger": ledger,
     "op7_simhash_pivots": simhash,
