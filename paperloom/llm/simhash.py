@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.graph import components
-from paperloom.llm.shared import checkpointed
+from paperloom.llm.shared import checkpointed, join_small
 from paperloom.llm.words import mix, normal_form, slices, split
 
 SHINGLE = 4
@@ -207,15 +207,37 @@ def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
 
 
 def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
-    """``docs`` (doc_id, fp, ...) with component_id, the least doc_id that a chain of links reaches."""
-    own = [c for c in docs.columns if c != "component_id"]
+    """``docs`` (doc_id, fp, ...) with component_id, the least doc_id that a chain of links reaches, and root, the class's fingerprint."""
+    own = [c for c in docs.columns if c not in ("component_id", "root")]
     nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(linked(nodes.select("fp"), d))
     named = nodes.join(roots, nodes.fp == roots.node)
     names = named.groupBy("root").agg(F.min("least").alias("__least"))
-    chained = named.join(names, "root").select("fp", "__least")
-    whole = nodes.join(chained, "fp", "left").select("fp", F.coalesce("__least", "least").alias("component_id"))
-    return docs.select(*own).join(whole, "fp").select(*own, "component_id")
+    chained = named.join(names, "root").select("fp", "root", "__least")
+    whole = nodes.join(chained, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("__least")).alias("component_id"))
+    return docs.select(*own).join(whole, "fp").select(*own, "component_id", "root")
+
+
+def keep_one(docs: DataFrame, d: int = BITS) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each class: the least id, then the least text hash.
+
+    Only short rows are shuffled; texts meet the list of rows to drop, which is broadcast while it
+    is short (``join_small``).  Null ids come last.
+    """
+    own, most = docs.columns, F.lit((1 << 63) - 1)
+    known = F.coalesce(F.col("doc_id").cast("long"), most)
+    tagged = docs.withColumns({"__doc": known, "__t": F.xxhash64("text")})
+    rows = checkpointed(fingerprints(tagged.select("__doc", "__t", "text")).withColumnRenamed("__doc", "doc_id"))
+    rooted = checkpointed(classes(rows, d).select("doc_id", "__t", "root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("least"))
+    lose = rooted.join(least, "root").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("__t") != F.col("least.__t")))
+    lose = lose.select(F.col("doc_id").alias("__doc"), "__t").distinct()
+    kept = join_small(tagged, lose, ["__doc", "__t"], "left_anti")
+    again = checkpointed(rooted.groupBy("doc_id", "__t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__doc"), "__t"))
+    if not again.isEmpty():  # rows that repeat id and text
+        once = join_small(kept, again, ["__doc", "__t"], "left_semi").dropDuplicates(["__doc", "__t"])
+        kept = join_small(kept, again, ["__doc", "__t"], "left_anti").unionByName(once)
+    return kept.select(*own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

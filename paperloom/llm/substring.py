@@ -341,11 +341,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] |
     """
     new = ("n_words", "n_removed", "words_sha256", "kept")
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col("doc_id"), F.col(text).cast("string").alias("__text"), doc.alias("doc"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__doc")
+    rows = docs.select(*own, F.col(text).cast("string").alias("__text"), doc)
     key = F.substring("words_sha256", 1, 16)
-    narrow = saved(_hashed(rows, ["doc"]).withColumn("key", key), "substring")
-    ranked = _ranked(narrow, window)
+    sized = _hashed(rows, [*own, "__doc"]).withColumn("__key", key)
+    if text not in own:  # short rows are kept, texts are read again
+        sized = saved(sized, "substring")
+    ranked = _ranked(sized.select("n_words", F.col("__doc").alias("doc"), F.col("__key").alias("key")), window)
+    rows = rows.select("__text", F.col("__doc").alias("doc"))
     with _fixed_partitions(docs.sparkSession):
         one = _packed(rows, window).join(ranked, ["doc", "key"]).groupBy("rank").agg(F.first("packed").alias("packed"))
         texts = _bucketed(one, "rank")
@@ -359,18 +362,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] |
     of = of.groupBy("rank").agg(F.collect_list("position").alias("firsts"))
     lost = _kept(with_unique.join(of, "rank", "left"), window)
     lost = saved(lost, "substring")
-    addressed = ranked.join(lost, "rank", "left").select("doc", "key", "rank", "n_removed", "kept")
-    if set(own) <= {"doc_id"}:
-        sized = narrow.withColumn("doc_id", F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")))
-    else:
-        whole = docs.select(*own, F.col(text).cast("string").alias("__text"), doc.alias("doc"))
-        sized = _hashed(whole, [*own, "doc"]).withColumn("key", key)
-    out = sized.join(addressed, ["doc", "key"], "left")
+    addressed = ranked.join(lost, "rank", "left").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), "rank", "n_removed", F.col("kept").alias("__kept"))
+    out = sized.join(addressed, ["__doc", "__key"], "left")
     copy = F.col("rank").isNull() & (F.col("n_words") >= window)
     return out.select(
         *own, "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        "words_sha256", F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+        "words_sha256", F.when(copy, F.lit("")).otherwise(F.col("__kept")).alias("kept"),
     )
 
 
