@@ -8,7 +8,8 @@ to more than their weights, which a linear model can't express.
 
 Fitting takes at most ``TRAIN_ROWS`` labelled documents, those whose hashed ids are smallest, and
 of their buckets the ``FEATURES`` that tell the classes apart best; it runs in numpy on the
-driver, with memory bounded by those two numbers.  Scoring reads every text in full, by Arrow
+driver, with memory bounded by those two numbers: class counts come as a row per bucket, and each
+document as the rows of weights that it has.  Scoring reads every text in full, by Arrow
 batches, without a shuffle.
 
 Defined results: a null or empty text has no feature and the score of the bias alone; a label
@@ -77,28 +78,32 @@ class Machine:
         return self.score(owner[row >= 0], row[row >= 0], len(column))
 
 
-def fit_machine(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1, l2: float = 2e-5, rate: float = 0.05) -> Machine:
-    """Fits on lists of buckets by full-batch Adam; the same input gives the same machine."""
-    y = labels.astype(np.float64)
-    n, positive = len(y), float(y.sum())
+def choose(with_it: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """The rows of weights of the buckets that tell the classes apart best, -1 for the others.
+
+    with_it and toxic count the documents with each bucket, and the toxic ones among them.
+    """
     slot = np.full(BUCKETS, -1, dtype=np.int16)
-    prior = (positive + 1) / (n + 2)
-    bias = float(np.log(prior / (1 - prior)))
     if n == 0 or positive in (0, n):
-        return Machine(slot, bias, np.zeros(0), np.zeros((0, FACTORS)))
-    owner = np.repeat(np.arange(n), [len(x) for x in texts])
-    bucket = np.concatenate(texts)
-    with_it = np.bincount(bucket, minlength=BUCKETS)
-    toxic = np.bincount(bucket, y[owner], minlength=BUCKETS)
+        return slot
     a, b = (toxic + 0.5) / (positive + 1), (with_it - toxic + 0.5) / (n - positive + 1)
     pooled = (with_it + 1) / (n + 2)
     z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / (positive + 1) + 1 / (n - positive + 1)))
     z[with_it < 3] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z > 2).sum()))])
     slot[chosen] = np.arange(len(chosen))
-    row = slot[bucket].astype(np.int64)
-    owner, row = owner[row >= 0], row[row >= 0]
-    m = len(chosen)
+    return slot
+
+
+def fit_machine(slot: np.ndarray, owner: np.ndarray, row: np.ndarray, labels: np.ndarray, seed: int = 1, l2: float = 2e-5, rate: float = 0.05) -> Machine:
+    """Fits on (owner, row of weights) pairs by full-batch Adam; the same input gives the same machine."""
+    y = labels.astype(np.float64)
+    n, positive = len(y), float(y.sum())
+    prior = (positive + 1) / (n + 2)
+    bias = float(np.log(prior / (1 - prior)))
+    m = int(slot.max()) + 1
+    if m == 0:
+        return Machine(slot, bias, np.zeros(0), np.zeros((0, FACTORS)))
     theta = np.concatenate([[bias], np.zeros(m), np.random.default_rng(seed).normal(0, 0.02, m * FACTORS)])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, EPOCHS + 1):
@@ -129,18 +134,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = join_small(docs.select("doc_id", F.col("text").cast("string").alias("__text")), known, "doc_id", "inner")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, "__text"):
                 owner, bucket = features(s.column("__text"))
+                y = s.column("__toxic").to_numpy(zero_copy_only=False)
+                n = np.bincount(bucket, minlength=BUCKETS)
+                toxic = np.bincount(bucket, y[owner], minlength=BUCKETS).astype(np.int64)
+                at = np.append(np.flatnonzero(n), -1)  # the last row counts documents
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(n[at[:-1]], len(y))), pa.array(np.append(toxic[at[:-1]], int(y.sum())))], ["bucket", "n", "toxic"])
+
+    counts = chosen.mapInArrow(count, "bucket long, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    table = counts.toPandas()  # a row per bucket at most
+    whole = table[table.bucket == -1]
+    rest = table[table.bucket >= 0]
+    with_it, toxic = (np.bincount(rest.bucket, rest[c], minlength=BUCKETS).astype(np.int64) for c in ("n", "toxic"))
+    slot = choose(with_it, toxic, int(whole.n.sum()), float(whole.toxic.sum()))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b, "__text"):
+                owner, bucket = features(s.column("__text"))
+                row = slot[bucket]
+                owner, row = owner[row >= 0], row[row >= 0].astype("<i2")
                 off = np.searchsorted(owner, np.arange(s.num_rows + 1)).tolist()
-                data = bucket.astype("<u4")
-                got = [data[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("__toxic").cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "toxic", "terms"])
-
-    chosen = chosen.mapInArrow(run, "doc_id long, toxic int, terms binary").limit(2 * rows)  # ids may repeat
-    got = sorted(chosen.collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit_machine([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got]))
+                got = [row[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("__toxic").cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "toxic", "rows"])
+
+    picked = chosen.mapInArrow(pick, "doc_id long, toxic int, rows binary").limit(2 * rows)  # ids may repeat
+    got = sorted((r[0], r[1], bytes(r[2])) for r in picked.collect())
+    lists = [np.frombuffer(r[2], "<i2") for r in got]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    row = np.concatenate([np.zeros(0, np.int16), *lists]).astype(np.int64)
+    return fit_machine(slot, owner, row, np.array([r[1] for r in got]))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
