@@ -36,7 +36,7 @@ DROPOUT = 0.1
 SEED = 20_240_601
 VARIANTS = 4
 LONGEST = 40
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 #: Fixed value: the mark for a space in pieces.
 MARK = "▁"
 _BASE = 0xE7037ED1A0B428DB
@@ -55,7 +55,7 @@ def _mix(x: int) -> int:
 class Model:
     """Pieces, scores and the table of merges of a model file."""
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
     _loaded: dict[str, Model] = {}
 
     def __init__(self, path: str):

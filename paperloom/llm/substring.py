@@ -48,7 +48,7 @@ from paperloom.llm.words import mix, normal_form, prefix, range_hash, raw, slice
 WINDOW = 20
 ROUNDS = 2
 POSITION_BITS = 29
-PACKED_BYTES = 256 << 10
+PACKED_BYTES = 128 << 10
 _BASES = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 

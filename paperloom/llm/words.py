@@ -6,6 +6,7 @@ longer document alone), so memory is bounded by the longest document, not by the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -102,6 +103,23 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system: workers are used again by later stages."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _libc = False
+    if _libc and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+_libc = None
 
 
 @dataclass
