@@ -82,7 +82,7 @@ class Model:
                     to.append(i)
         order = np.argsort(keys)
         self.pair, self.merged = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
-        self.byte_ids = np.array([self.byte[b] for b in range(256)], dtype=np.int64)
+        self.table: dict[int, int] | None = None  # the same as a dictionary, once it is needed
         if any("\n" in s or MARK in s.lstrip(MARK) for s in self.id):
             raise ValueError("the model has pieces that span chunks")
         self.char = {s: i for s, i in self.id.items() if len(s) == 1}
@@ -135,7 +135,9 @@ class Model:
         """The agenda over one chunk with a heap."""
         n = len(symbols)
         sym, nxt, prv, heap = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), []
-        table = self.__dict__.setdefault("_table", dict(zip(self.pair.tolist(), self.merged.tolist(), strict=True)))
+        if self.table is None:
+            self.table = dict(zip(self.pair.tolist(), self.merged.tolist(), strict=True))
+        table = self.table
 
         def push(a: int, b: int) -> None:
             if a < 0 or b >= n or sym[a] < 0 or sym[b] < 0:
