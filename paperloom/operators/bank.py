@@ -141,6 +141,15 @@ def bank_record(df: DataFrame, text: str = "text", bank: str | None = None) -> D
                 out = F.when(F.col("detected_bank") == name, make(name)) if out is None else out.when(F.col("detected_bank") == name, make(name))
         return out.otherwise(make("generic"))
 
+    return _with_fields(df, t, by_bank)
+
+
+def one_bank_record(df: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """``bank_record`` for rows that are all of one bank (detected_bank is there already): a far smaller plan."""
+    return _with_fields(df, F.col(text), lambda make: make(name))
+
+
+def _with_fields(df: DataFrame, t: Column, by_bank) -> DataFrame:
     df = df.withColumns(
         {
             "account_number": by_bank(lambda b: account_number(t, b)),

@@ -3,39 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import classify
+from paperloom.functions import classify, rules
 from paperloom.functions.text import clean_text
 from paperloom.operators import bank, pages, payslip, validate
 
 BANK_FIELDS = (*bank.FIELDS, "available_balance")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: its many patterns are evaluated once, in one projection."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))  # local sessions only
-    return df.checkpoint(eager=True)
+_TYPED = (
+    "upload_id {id}, document_number int, text string, classification_confidence double, bank_detection_confidence double, document_type string, detected_bank string"
+)
+
+
+def typed_pages(page_texts: DataFrame) -> DataFrame:
+    """Cleaned pages with type and bank, written in folders by both, so that each kind is read alone."""
+    spark = page_texts.sparkSession
+    df = page_texts.select("upload_id", F.col("document_number").cast("int").alias("document_number"), clean_text(F.col("text")).alias("text"))
+    df = df.withColumns({"__t": classify.document_type(F.col("text")), "__b": classify.issuing_bank(F.col("text"))})
+    df = df.select(
+        "upload_id", "document_number", "text", F.col("__t.confidence").alias("classification_confidence"), F.col("__b.confidence").alias("bank_detection_confidence"),
+        F.col("__t.document_type").alias("document_type"), F.col("__b.bank").alias("detected_bank"),
+    )
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    path = f"{root.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    df.write.partitionBy("document_type", "detected_bank").parquet(path)
+    return spark.read.schema(_TYPED.format(id=df.schema["upload_id"].dataType.simpleString())).parquet(path)
 
 
 def extract_documents(page_texts: DataFrame) -> DataFrame:
     """(upload_id, document_number, text) -> one row per page with its type, fields, score and verdict.
 
-    Nothing is shuffled.  Pages of unknown type have an empty record and the score 0.  Records are
-    written to the checkpoint folder at once, so what follows doesn't extract them again.
+    Nothing is shuffled.  Each bank's pages get that bank's patterns alone: one projection with the
+    patterns of all banks is too large to compile.  Pages of unknown type have an empty record and
+    the score 0.
     """
-    df = page_texts.select("upload_id", "document_number", clean_text(F.col("text")).alias("text"))
-    df = df.withColumn("__t", classify.document_type(F.col("text")))
-    df = df.withColumns({"document_type": F.col("__t.document_type"), "classification_confidence": F.col("__t.confidence")}).drop("__t")
-    ours = _written(bank.bank_record(df.where("document_type = 'bank_statement'")))
+    df = typed_pages(page_texts)
+    ours = None
+    for name in rules.BANKS:
+        one = bank.one_bank_record(df.where((F.col("document_type") == "bank_statement") & (F.col("detected_bank") == name)), name)
+        ours = one if ours is None else ours.unionByName(one)
     ours = ours.withColumns({"raw_confidence": bank.bank_completeness(ours), "__v": validate.bank_verdict(by_bank=True)})
-    theirs = _written(payslip.payslip_record(df.where("document_type = 'payslip'")))
+    theirs = payslip.payslip_record(df.where("document_type = 'payslip'").drop("detected_bank", "bank_detection_confidence"))
     theirs = theirs.withColumns({"raw_confidence": payslip.payslip_completeness(), "__v": validate.payslip_verdict(), "validation_errors": validate.range_errors()})
-    rest = df.where("document_type = 'unknown'").withColumn("raw_confidence", F.lit(0.0))
+    rest = df.where("document_type = 'unknown'").drop("detected_bank", "bank_detection_confidence").withColumn("raw_confidence", F.lit(0.0))
     out = ours.unionByName(theirs, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
     return out.withColumns(
         {
@@ -68,6 +83,10 @@ def record(names: tuple[str, ...]) -> Column:
 def result_records(page_texts: DataFrame) -> DataFrame:
     """One nested result per upload; pages of one account are merged, the summary is over pages before that."""
     documents = extract_documents(page_texts)
+    spark = documents.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))  # local sessions only
+    documents = documents.checkpoint()  # read twice below
     merged = pages.merged_documents(pages.carry_forward(documents))
     names = [c for c in (*BANK_FIELDS, "detected_bank", *payslip.FIELDS, "validation_errors") if c in merged.columns]
     one = F.struct(
