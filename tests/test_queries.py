@@ -1,9 +1,9 @@
 """Registered queries against their SQL on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +25,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else x.item() if hasattr(x, "item") else x
+    clean = lambda x: None if pd.isna(x) else x.item() if hasattr(x, "item") else x
     return sorted((tuple(clean(x) for x in r) for r in df.itertuples(index=False)), key=repr)
 
 
