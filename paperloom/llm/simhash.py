@@ -16,6 +16,10 @@
    passes on a spanning star of each connected set, not its pairs.
 6. Connected components over the stars; the least document id names each.
 
+``keep_one`` is the pipeline's stage.  Near copies of a similarity of 0.8 are some nine of 64 bits
+apart, so it takes fingerprints of 256 bits over five-word shingles, candidates by sampled bits,
+the same pivots, stars and components, and checks survivors on sketches of their shingles.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; null ids are never the least of a component (a
 component of null ids alone has a null name); repeated rows get one row each; an empty table
@@ -42,18 +46,22 @@ BITS = 4
 SEED = 42
 PIVOTS = 16
 TILE = 512
+BINS = 256
 
 
 def simhash(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The fingerprints of texts, as uint64."""
+    return wide_simhash(column, shingle, seed, 1)[:, 0]
+
+
+def _shingles(column: pa.Array, shingle: int, seed: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, indices of those with words, shingles of each, their running total, hashes of all shingles)."""
     w = split(column)
     data, start, end = normal_form(w, lower=True)
-    n = len(w.text) - 1
-    out = np.zeros(n, dtype=np.uint64)
     per = w.per_text
     full = np.flatnonzero(per > 0)
     if not len(full):
-        return out
+        return len(per), full, full, full, np.zeros(0, np.uint64)
     count = np.maximum(per[full] - shingle + 1, 1)
     stop = np.cumsum(count)
     ramp = np.arange(stop[-1]) - np.repeat(stop - count, count)
@@ -61,15 +69,47 @@ def simhash(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.nd
     last = np.minimum(first + shingle, np.repeat(w.first[full + 1], count)) - 1
     whole, digest = data.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(whole[a:z], seed) for a, z in zip(start[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
-    for a in range(0, len(full), 256):
-        z = min(a + 256, len(full))
-        lo, hi = stop[a] - count[a], stop[z - 1]
-        bits = np.unpackbits(h[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, stop[a:z] - count[a:z] - lo, axis=0, dtype=np.int32)
-        out[full[a:z]] = np.packbits(2 * votes > count[a:z, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return len(per), full, count, stop, h
+
+
+def wide_simhash(column: pa.Array, shingle: int, seed: int = SEED, n_words: int = 4) -> np.ndarray:
+    """Fingerprints of ``n_words`` words of 64 bits; words after the first come from the shingles' hashes, mixed again."""
+    return _votes(_shingles(column, shingle, seed), n_words)
+
+
+def _votes(hashed, n_words: int) -> np.ndarray:
+    n, full, count, stop, h = hashed
+    out = np.zeros((n, n_words), dtype=np.uint64)
+    for k in range(n_words):
+        own = h if k == 0 else mix(h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        for a in range(0, len(full), 256):
+            z = min(a + 256, len(full))
+            lo, hi = stop[a] - count[a], stop[z - 1]
+            bits = np.unpackbits(own[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, stop[a:z] - count[a:z] - lo, axis=0, dtype=np.int32)
+            out[full[a:z], k] = np.packbits(2 * votes > count[a:z, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def _sketch(hashed) -> list[bytes]:
+    """One byte for each of ``BINS`` parts of the hashes: from the least hash in the part, 0 for none."""
+    n, full, count, _, h = hashed
+    least = np.full(n * BINS, (1 << 64) - 1, dtype=np.uint64)
+    h = mix(h)
+    np.minimum.at(least, np.repeat(full, count) * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h)
+    none = least == np.uint64((1 << 64) - 1)
+    out = (mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    out[none] = 0
+    return [x.tobytes() for x in out.reshape(n, BINS)]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles from rows of sketches; two empty ones are the same."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``keep`` columns (all but the text, by default) and fp, the fingerprint as a signed long."""
     own = [c for c in (docs.columns if keep is None else keep) if c != "fp" and (keep is not None or c != text)]
@@ -118,17 +158,22 @@ def block_keys(fp: Column, blocks: int, d: int = BITS) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("kind"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
 
 
-def _stars(d: int):
-    """Rows sorted by group (kind, key, low, high) -> edges (a, b) from each linked row to the least of its set."""
+def _stars(d: int, words: tuple[str, ...] = ("fp",), entry: str = "u1"):
+    """Rows sorted by group (kind, key, low, high) -> edges (a, b) from each linked row to the least of its set.
+
+    Rows have an id, their fingerprint's words, and pivot distances packed into p0 and p1 as ``entry``.
+    """
 
     def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n = len(c["fp"])
+        n = len(c["id"])
         group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in ("kind", "key", "low", "high")], axis=0)])) if n else np.zeros(0, int)
-        table = np.column_stack([c["p0"], c["p1"]]).astype("<i8").view(np.uint8).reshape(n, -1).astype(np.int16)
+        table = np.column_stack([c["p0"], c["p1"]]).astype("<i8").view(entry).reshape(n, -1).astype(np.int16)
         order = np.lexsort((table[:, 0], group))
-        group, table, fp = group[order], table[order], c["fp"][order].view(np.uint64)
+        group, table, ids = group[order], table[order], c["id"][order]
+        parts = [c[k][order].view(np.uint64) for k in words]
+        sketches = np.frombuffer(b"".join(c["sketch"][order]), np.uint8).reshape(n, BINS) if "sketch" in c else None
         side, cross = c["tile"][order], (c["low"] != c["high"])[order]
-        at = group * 256 + table[:, 0]
+        at = group * 1024 + table[:, 0]
         until = np.searchsorted(at, at + d, "right")  # rows of the group within d by the first pivot
         label = np.arange(n)
         low, high = [], []
@@ -141,7 +186,10 @@ def _stars(d: int):
             for k in range(1, table.shape[1]):  # the largest coordinate difference, pivot by pivot
                 near = np.abs(table[i, k] - table[j, k]) <= d
                 i, j = i[near], j[near]
-            same = np.bitwise_count(fp[i] ^ fp[j]) <= d
+            same = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in parts) <= d
+            if sketches is not None:
+                i, j = i[same], j[same]
+                same = similarity(sketches[i], sketches[j]) >= NEAR_LEAST
             low.append(i[same])
             high.append(j[same])
             lag += 1
@@ -161,9 +209,9 @@ def _stars(d: int):
                 break
             label = new
         x = np.flatnonzero(label != np.arange(n))
-        return fp[x].view(np.int64), fp[label[x]].view(np.int64)
+        return ids[x], ids[label[x]]
 
-    names = ("kind", "key", "low", "high", "tile", "fp", "p0", "p1")
+    names = ("kind", "key", "low", "high", "tile", "id", "p0", "p1", *words, *(["sketch"] if words == NEAR_WORDS else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -180,7 +228,7 @@ def _stars(d: int):
                 cut = changes[-1] + 1
                 yield out({k: v[:cut] for k, v in held.items()})
                 held = {k: v[cut:] for k, v in held.items()}
-        if held is not None and len(held["fp"]):
+        if held is not None and len(held["id"]):
             yield out(held)
 
     return run
@@ -193,17 +241,80 @@ def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
     """
     table = pivot_table(nodes)
     blocks = blocks_for(nodes.count(), d)
-    keyed = checkpointed(table.withColumn("k", F.explode(block_keys(F.col("fp"), blocks, d))).select("k.*", "fp", "p0", "p1"))
+    keys = block_keys(F.col("fp"), blocks, d)
+    return _stars_of(table.withColumn("id", F.col("fp")), keys, d, tile, ("fp",), "u1")
+
+
+def _stars_of(table: DataFrame, keys: Column, d: int, tile: int, words: tuple[str, ...], entry: str, sketches: DataFrame | None = None) -> DataFrame:
+    """Edges of nodes that share one of ``keys``, pass the pivots, are at most d bits apart, and similar by ``sketches`` (id, sketch), if given."""
+    own = ["id", *words, "p0", "p1"]
+    keyed = checkpointed(table.withColumn("k", F.explode(keys)).select("k.*", *own))
     groups = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(groups, ["kind", "key"])
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    met = met.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("fp"), tiles).cast("int")})
+    met = met.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles).cast("int")})
     each = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("low"), F.greatest(t, F.col("tile")).alias("high"))
     )
-    met = met.withColumn("t", F.explode(each)).select("kind", "key", "t.low", "t.high", "tile", "fp", "p0", "p1")
+    met = met.withColumn("t", F.explode(each)).select("kind", "key", "t.low", "t.high", "tile", *own)
+    if sketches is not None:  # only nodes that share a key need theirs
+        met = met.join(sketches, "id")
     by = ["kind", "key", "low", "high"]
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d), "a long, b long")
+    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d, words, entry), "a long, b long")
+
+
+#: Near copies by similarity: shingles, words of 64 bits, most differing bits, keys, and bits a key has beyond log2 of the nodes.
+NEAR_SHINGLE = 5
+NEAR_WORDS = ("f0", "f1", "f2", "f3")
+NEAR_BITS = 52
+NEAR_LEAST = 0.79
+NEAR_KEYS = 64
+NEAR_SPARE = 4
+
+
+def near_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, the four words of a 256-bit fingerprint, a sketch of the shingles, and id, a hash of these."""
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b, "__text"):
+                hashed = _shingles(s.column("__text"), NEAR_SHINGLE, SEED)
+                fp = _votes(hashed, 4).view(np.int64)
+                cols = [*(pa.array(fp[:, k].copy()) for k in range(4)), pa.array(_sketch(hashed), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), *cols], [*keep, *NEAR_WORDS, "sketch"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{w} long" for w in NEAR_WORDS] + ["sketch binary"])
+    return rows.mapInArrow(run, schema).withColumn("id", F.xxhash64(*NEAR_WORDS, "sketch"))
+
+
+def near_linked(nodes: DataFrame, d: int = NEAR_BITS, keys: int = NEAR_KEYS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between ids of ``nodes`` (id, f0..f3, sketch): at most d of 256 bits apart and similar by their sketches.
+
+    Texts whose five-word shingles have a similarity of 0.8 differ in about 36 bits, unrelated
+    ones in about 128.  Block keys that lose no pair don't exist at such distances, so candidates
+    share all of log2(n) + ``NEAR_SPARE`` bits at fixed random places, for one of ``keys`` choices
+    of places: at 2**18 nodes a pair 36 bits apart is met with probability 0.9, one 20 bits apart
+    with 0.999.  Whatever is met is decided by pivots, then by the fingerprints, then by the share
+    of common shingles as the sketches estimate it (standard error 0.025 at 0.8).
+    """
+    n = max(nodes.count(), 2)
+    size = int(np.ceil(np.log2(n))) + NEAR_SPARE
+    rnd = np.random.default_rng(SEED)
+    refs = rnd.integers(0, 1 << 64, (8, 4), dtype=np.uint64).view(np.int64)
+    packed = {}
+    for k in (0, 4):
+        far = [sum((F.bit_count(F.col(w).bitwiseXOR(F.lit(int(r)))) for w, r in zip(NEAR_WORDS, refs[k + i], strict=True)), F.lit(0)) for i in range(4)]
+        parts = [F.shiftleft(x.cast("long"), 16 * i) for i, x in enumerate(far)]
+        packed[f"p{k // 4}"] = sum(parts[1:], parts[0])
+    choices = []
+    for i in range(keys):
+        masks = [0] * 4
+        for b in rnd.choice(256, size, replace=False).tolist():
+            masks[b // 64] |= 1 << b % 64
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        choices.append(F.struct(F.lit(i).alias("kind"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(NEAR_WORDS, signed, strict=True)]).alias("key")))
+    return _stars_of(nodes.drop("sketch").withColumns(packed), F.array(*choices), d, tile, NEAR_WORDS, "<i2", nodes.select("id", "sketch"))
 
 
 def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
@@ -218,8 +329,11 @@ def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
     return docs.select(*own).join(whole, "fp").select(*own, "component_id", "root")
 
 
-def keep_one(docs: DataFrame, d: int = BITS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with one document of each class: the least id, then the least text hash.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each class of near copies: the least id, then the least text hash.
+
+    Near copies are texts of a similarity of about 0.8 or more over five-word shingles (see
+    ``near_linked``), and what chains of such pairs connect; equal texts always meet.
 
     Only short rows are shuffled; texts meet the list of rows to drop, which is broadcast while it
     is short (``join_small``).  Null ids come last.
@@ -227,8 +341,11 @@ def keep_one(docs: DataFrame, d: int = BITS) -> DataFrame:
     own, most = docs.columns, F.lit((1 << 63) - 1)
     known = F.coalesce(F.col("doc_id").cast("long"), most)
     tagged = docs.withColumns({"__doc": known, "__t": F.xxhash64("text")})
-    rows = checkpointed(fingerprints(tagged.select("__doc", "__t", "text")).withColumnRenamed("__doc", "doc_id"))
-    rooted = checkpointed(classes(rows, d).select("doc_id", "__t", "root"))
+    rows = checkpointed(near_fingerprints(tagged, keep=("__doc", "__t")))
+    nodes = checkpointed(rows.dropDuplicates(["id"]).select("id", *NEAR_WORDS, "sketch"))
+    roots = components(near_linked(nodes))
+    rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rooted = checkpointed(rooted.select(F.col("__doc").alias("doc_id"), "__t", F.coalesce("root", "id").alias("root")))
     least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("least"))
     lose = rooted.join(least, "root").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("__t") != F.col("least.__t")))
     lose = lose.select(F.col("doc_id").alias("__doc"), "__t").distinct()
