@@ -216,10 +216,27 @@ def test_simhash(spark, docs, rows, none):
             least[k] = min(r[0], least.get(k, r[0]))
     assert got == Counter((r[0], f, least.get(k)) for r, f, k in zip(rows, fps, roots, strict=True))
     kept = simhash.keep_one(docs).collect()
-    assert len(kept) == len(set(roots)) and kept[0].asDict().keys() == dict(zip(docs.columns, docs.columns, strict=True)).keys()
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept) <= len({r[1] or "" for r in rows}) and kept[0].asDict().keys() == dict(zip(docs.columns, docs.columns, strict=True)).keys()
     assert simhash.classes(simhash.fingerprints(none)).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_takes_near_copies(spark):
+    rnd = random.Random(6)
+    made, groups = [], 0
+    for g in range(40):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.randrange(80, 300))]
+        groups += 1
+        made.append((len(made), " ".join(base)))
+        if g % 2 == 0:
+            other = list(base)
+            for _ in range(max(1, len(base) // 100)):  # a similarity of about 0.9
+                other[rnd.randrange(len(base))] = "new"
+            made.append((len(made), " ".join(other)))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert groups <= len(kept) <= groups + 1 and kept >= {d for d, t in made if "new" not in t}
+
+
 @pytest.mark.parametrize("tile", [4, 512])
 def test_links_of_dense_fingerprints(spark, tile):
     rnd = random.Random(3)
