@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import classify, dates, numbers, rules
 from paperloom.functions.text import clean_text, postprocess
-from paperloom.operators import bank, ensemble, pages, payslip, spatial, tokens, validate
+from paperloom.operators import bank, ensemble, older, pages, payslip, spatial, tokens, validate
 from paperloom.plans import render, results
 from paperloom.plans.render import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
 
@@ -310,6 +310,34 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("upload_id", bank.bank_completeness(r).alias("completeness"))
 
 
+@_query(f"""
+WITH {SQL_STATEMENTS} SELECT upload_id, 'Alpha ' || letters AS account_holder_name, '51-' || lpad(upload_id::VARCHAR, 7, '0') || '-' || upload_id % 10 AS account_number,
+  {_FULL.format("d0")} AS statement_date, opening::VARCHAR AS opening_balance, closing::VARCHAR AS closing_balance FROM st
+""")
+def extract_older_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("upload_id").cast("string")
+    text = F.concat(
+        F.date_format("d0", "dd/MM/yyyy"), F.lit(" Alpha "), F.col("letters"), F.lit(" 12, JALAN SATU Account 51-"), F.lpad(k, 7, "0"), F.lit("-"), (F.col("upload_id") % 10).cast("string"),
+        F.lit("\nOPENING BALANCE "), F.format_number("opening", 2), F.lit("\nCLOSING BALANCE "), F.format_number("closing", 2), F.lit(" End of Statement"),
+    )
+    r = older.bank_record(render.statement_values(spark, sf_dir).select("upload_id", text.alias("text")))
+    return r.select("upload_id", "account_holder_name", "account_number", "statement_date", "opening_balance", "closing_balance")
+
+
+@_query(f"""
+WITH {SQL_PAYSLIPS} SELECT upload_id, 'ALPHA ' || letters AS name, floor(gross)::BIGINT || '.00' AS gross_income, floor(deduction)::BIGINT || '.00' AS total_deduction, (floor(gross)::BIGINT - floor(deduction)::BIGINT) || '.00' AS net_income,
+  lpad(month::VARCHAR, 2, '0') || '/2024' AS month_year FROM ps
+""")
+def extract_older_payslip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda c: F.format_number(F.floor(c), 0)
+    text = F.concat(
+        F.lit("Nama ALPHA "), F.col("letters"), F.lit("\nNo 7\nGaji Pokok "), whole("gross"), F.lit("\nJumlah Potongan "), whole("deduction"),
+        F.lit("\nBulan "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("/2024"),
+    )
+    r = older.payslip_record(render.payslip_values(spark, sf_dir).select("upload_id", text.alias("text")))
+    return r.select("upload_id", "name", "gross_income", "total_deduction", "net_income", "month_year")
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 _ISLANDS = f"""{SQL_PAGES}, m AS (
