@@ -17,8 +17,8 @@
 6. Connected components over the stars; the least document id names each.
 
 ``keep_one`` is the pipeline's stage.  Near copies of a similarity of 0.8 are some nine of 64 bits
-apart, so it takes fingerprints of 256 bits over five-word shingles, candidates by sampled bits,
-the same pivots, stars and components, and checks survivors on sketches of their shingles.
+apart, out of reach of exact block keys, so it takes no fingerprints (and no pivots, which tell
+nothing apart at such distances) but the sets of five-word shingles themselves, see ``near_linked``.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; null ids are never the least of a component (a
@@ -29,7 +29,7 @@ gives an empty one; columns of the input named like an output are replaced.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,6 @@ BITS = 4
 SEED = 42
 PIVOTS = 16
 TILE = 512
-BINS = 256
 
 
 def simhash(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -91,25 +90,6 @@ def _votes(hashed, n_words: int) -> np.ndarray:
     return out
 
 
-def _sketch(hashed) -> list[bytes]:
-    """One byte for each of ``BINS`` parts of the hashes: from the least hash in the part, 0 for none."""
-    n, full, count, _, h = hashed
-    least = np.full(n * BINS, (1 << 64) - 1, dtype=np.uint64)
-    h = mix(h)
-    np.minimum.at(least, np.repeat(full, count) * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h)
-    none = least == np.uint64((1 << 64) - 1)
-    out = (mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    out[none] = 0
-    return [x.tobytes() for x in out.reshape(n, BINS)]
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles from rows of sketches; two empty ones are the same."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
-
-
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``keep`` columns (all but the text, by default) and fp, the fingerprint as a signed long."""
     own = [c for c in (docs.columns if keep is None else keep) if c != "fp" and (keep is not None or c != text)]
@@ -158,20 +138,19 @@ def block_keys(fp: Column, blocks: int, d: int = BITS) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("kind"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
 
 
-def _stars(d: int, words: tuple[str, ...] = ("fp",), entry: str = "u1"):
+def _stars(d: int):
     """Rows sorted by group (kind, key, low, high) -> edges (a, b) from each linked row to the least of its set.
 
-    Rows have an id, their fingerprint's words, and pivot distances packed into p0 and p1 as ``entry``.
+    Rows have an id, which is their fingerprint, and pivot distances packed into p0 and p1.
     """
 
     def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n = len(c["id"])
         group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in ("kind", "key", "low", "high")], axis=0)])) if n else np.zeros(0, int)
-        table = np.column_stack([c["p0"], c["p1"]]).astype("<i8").view(entry).reshape(n, -1).astype(np.int16)
+        table = np.column_stack([c["p0"], c["p1"]]).astype("<i8").view("u1").reshape(n, -1).astype(np.int16)
         order = np.lexsort((table[:, 0], group))
         group, table, ids = group[order], table[order], c["id"][order]
-        parts = [c[k][order].view(np.uint64) for k in words]
-        sketches = np.frombuffer(b"".join(c["sketch"][order]), np.uint8).reshape(n, BINS) if "sketch" in c else None
+        fp = ids.view(np.uint64)
         side, cross = c["tile"][order], (c["low"] != c["high"])[order]
         at = group * 1024 + table[:, 0]
         until = np.searchsorted(at, at + d, "right")  # rows of the group within d by the first pivot
@@ -186,10 +165,7 @@ def _stars(d: int, words: tuple[str, ...] = ("fp",), entry: str = "u1"):
             for k in range(1, table.shape[1]):  # the largest coordinate difference, pivot by pivot
                 near = np.abs(table[i, k] - table[j, k]) <= d
                 i, j = i[near], j[near]
-            same = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in parts) <= d
-            if sketches is not None:
-                i, j = i[same], j[same]
-                same = similarity(sketches[i], sketches[j]) >= NEAR_LEAST
+            same = np.bitwise_count(fp[i] ^ fp[j]) <= d
             low.append(i[same])
             high.append(j[same])
             lag += 1
@@ -211,19 +187,23 @@ def _stars(d: int, words: tuple[str, ...] = ("fp",), entry: str = "u1"):
         x = np.flatnonzero(label != np.arange(n))
         return ids[x], ids[label[x]]
 
-    names = ("kind", "key", "low", "high", "tile", "id", "p0", "p1", *words, *(["sketch"] if words == NEAR_WORDS else []))
+    return _by_group(links, ("kind", "key", "low", "high"), ("tile", "id", "p0", "p1"), ["a", "b"])
+
+
+def _by_group(links, by: tuple[str, ...], more: tuple[str, ...], out_names: list[str]):
+    """A function for mapInArrow that hands ``links`` the columns of whole groups of rows sorted by ``by``."""
+    names = (*by, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
 
         def out(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-            a, b = links(c)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links(c)], out_names)
 
         for batch in batches:
             new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in names}
-            changes = np.flatnonzero(np.any([held[k][1:] != held[k][:-1] for k in ("kind", "key", "low", "high")], axis=0))
+            changes = np.flatnonzero(np.any([held[k][1:] != held[k][:-1] for k in by], axis=0))
             if len(changes):  # the last group may go on in the next batch
                 cut = changes[-1] + 1
                 yield out({k: v[:cut] for k, v in held.items()})
@@ -242,79 +222,221 @@ def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
     table = pivot_table(nodes)
     blocks = blocks_for(nodes.count(), d)
     keys = block_keys(F.col("fp"), blocks, d)
-    return _stars_of(table.withColumn("id", F.col("fp")), keys, d, tile, ("fp",), "u1")
+    keyed = checkpointed(table.withColumn("k", F.explode(keys)).select("k.*", F.col("fp").alias("id"), "p0", "p1"))
+    by = ["kind", "key", "low", "high"]
+    met = _tiled(keyed, ["kind", "key"], tile).select(*by, "tile", "id", "p0", "p1")
+    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d), "a long, b long")
 
 
-def _stars_of(table: DataFrame, keys: Column, d: int, tile: int, words: tuple[str, ...], entry: str, sketches: DataFrame | None = None) -> DataFrame:
-    """Edges of nodes that share one of ``keys``, pass the pivots, are at most d bits apart, and similar by ``sketches`` (id, sketch), if given."""
-    own = ["id", *words, "p0", "p1"]
-    keyed = checkpointed(table.withColumn("k", F.explode(keys)).select("k.*", *own))
-    groups = keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(groups, ["kind", "key"])
+def _tiled(keyed: DataFrame, key: list[str], tile: int) -> DataFrame:
+    """Rows (key, id, ...) whose key others share, with tile, once for each pair (low, high) of tiles of their key that theirs is in."""
+    groups = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(groups, key)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     met = met.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles).cast("int")})
     each = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("low"), F.greatest(t, F.col("tile")).alias("high"))
     )
-    met = met.withColumn("t", F.explode(each)).select("kind", "key", "t.low", "t.high", "tile", *own)
-    if sketches is not None:  # only nodes that share a key need theirs
-        met = met.join(sketches, "id")
-    by = ["kind", "key", "low", "high"]
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d, words, entry), "a long, b long")
+    return met.withColumn("t", F.explode(each)).withColumns({"low": F.col("t.low"), "high": F.col("t.high")}).drop("t", "n", "tiles")
 
 
-#: Near copies by similarity: shingles, words of 64 bits, most differing bits, keys, and bits a key has beyond log2 of the nodes.
+#: Near copies: words of a shingle; texts sampled for common shingles, the fewest of them one is in, and most kept; bits of a parity.
 NEAR_SHINGLE = 5
-NEAR_WORDS = ("f0", "f1", "f2", "f3")
-NEAR_BITS = 52
-NEAR_LEAST = 0.79
-NEAR_KEYS = 64
-NEAR_SPARE = 4
+SAMPLE_TEXTS = 20_000
+COMMON_LEAST = 4
+COMMON_MOST = 100_000
+PARITY = 512
+
+
+def _shingle_sets(column: pa.Array) -> tuple[int, np.ndarray, np.ndarray]:
+    """(texts, index of its text for each shingle, hash of the shingle): each distinct shingle of a text once, sorted by both."""
+    n, full, count, _, h = _shingles(column, NEAR_SHINGLE, SEED)
+    owner = np.repeat(full, count)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return n, owner[new], h[new]
+
+
+def _set_ids(n: int, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of each text's set of shingles."""
+    total = np.zeros(n, dtype=np.uint64)
+    np.add.at(total, owner, mix(h ^ np.uint64(0x9E3779B97F4A7C15)))
+    return mix(total + np.bincount(owner, minlength=n).astype(np.uint64)).view(np.int64)
 
 
-def near_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the four words of a 256-bit fingerprint, a sketch of the shingles, and id, a hash of these."""
+def _parities(n: int, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set ``PARITY`` bits: whether an odd number of its hashes fall on each."""
+    at = owner * PARITY + (mix(h) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITY), axis=1)
+
+
+def _schema(rows: DataFrame, own: tuple[str, ...], more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema] + [more])
+
+
+def shingle_sets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, id of the set of five-word shingles, and hashes, the set."""
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, "__text"):
-                hashed = _shingles(s.column("__text"), NEAR_SHINGLE, SEED)
-                fp = _votes(hashed, 4).view(np.int64)
-                cols = [*(pa.array(fp[:, k].copy()) for k in range(4)), pa.array(_sketch(hashed), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), *cols], [*keep, *NEAR_WORDS, "sketch"])
+                n, owner, h = _shingle_sets(s.column("__text"))
+                off = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(_set_ids(n, owner, h)), sets], [*keep, "id", "hashes"])
+
+    return rows.mapInArrow(run, _schema(rows, keep, "id long, hashes array<long>"))
+
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{w} long" for w in NEAR_WORDS] + ["sketch binary"])
-    return rows.mapInArrow(run, schema).withColumn("id", F.xxhash64(*NEAR_WORDS, "sketch"))
+def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, how many sampled sets each is in) of the shingles that a sample of texts has most often."""
+    every = max(1, docs.count() // SAMPLE_TEXTS)
+    sets = shingle_sets(docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0), text).dropDuplicates(["id"])
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def near_linked(nodes: DataFrame, d: int = NEAR_BITS, keys: int = NEAR_KEYS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between ids of ``nodes`` (id, f0..f3, sketch): at most d of 256 bits apart and similar by their sketches.
+def near_nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, id of the set of shingles, its size and parity, and its first shingles, rare ones first."""
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    known, often = common
 
-    Texts whose five-word shingles have a similarity of 0.8 differ in about 36 bits, unrelated
-    ones in about 128.  Block keys that lose no pair don't exist at such distances, so candidates
-    share all of log2(n) + ``NEAR_SPARE`` bits at fixed random places, for one of ``keys`` choices
-    of places: at 2**18 nodes a pair 36 bits apart is met with probability 0.9, one 20 bits apart
-    with 0.999.  Whatever is met is decided by pivots, then by the fingerprints, then by the share
-    of common shingles as the sketches estimate it (standard error 0.025 at 0.8).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b, "__text"):
+                n, owner, h = _shingle_sets(s.column("__text"))
+                size = np.bincount(owner, minlength=n)
+                ids, odd = _set_ids(n, owner, h), _parities(n, owner, h)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, often[at], 0)
+                    h = h[np.lexsort((h, rank, owner))]
+                first = np.cumsum(size) - size
+                take = np.arange(len(h)) - first[owner] <= size[owner] // 5
+                off = np.concatenate([[0], np.cumsum(np.where(size > 0, size // 5 + 1, 0))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(off), pa.array(h[take].view(np.int64)))
+                cols = [pa.array(ids), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in odd], pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), *cols], [*keep, "id", "size", "parity", "first"])
+
+    return rows.mapInArrow(run, _schema(rows, keep, "id long, size int, parity binary, first array<long>"))
+
+
+def _near_pairs(trust: bool):
+    """Rows sorted by group (key, low, high) -> (a, b, sure): pairs that may be similar and aren't known to be connected.
+
+    Rows have an id, size and parity, and the root that they are known to belong to.  With
+    ``trust``, pairs that sure ones connect are left out.
     """
-    n = max(nodes.count(), 2)
-    size = int(np.ceil(np.log2(n))) + NEAR_SPARE
-    rnd = np.random.default_rng(SEED)
-    refs = rnd.integers(0, 1 << 64, (8, 4), dtype=np.uint64).view(np.int64)
-    packed = {}
-    for k in (0, 4):
-        far = [sum((F.bit_count(F.col(w).bitwiseXOR(F.lit(int(r)))) for w, r in zip(NEAR_WORDS, refs[k + i], strict=True)), F.lit(0)) for i in range(4)]
-        parts = [F.shiftleft(x.cast("long"), 16 * i) for i, x in enumerate(far)]
-        packed[f"p{k // 4}"] = sum(parts[1:], parts[0])
-    choices = []
-    for i in range(keys):
-        masks = [0] * 4
-        for b in rnd.choice(256, size, replace=False).tolist():
-            masks[b // 64] |= 1 << b % 64
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        choices.append(F.struct(F.lit(i).alias("kind"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(NEAR_WORDS, signed, strict=True)]).alias("key")))
-    return _stars_of(nodes.drop("sketch").withColumns(packed), F.array(*choices), d, tile, NEAR_WORDS, "<i2", nodes.select("id", "sketch"))
+
+    def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(c["id"])
+        by = ("key", "low", "high")
+        group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in by], axis=0)])) if n else np.zeros(0, int)
+        order = np.lexsort((c["id"], c["size"], group))
+        group, ids, size = group[order], c["id"][order], c["size"][order].astype(np.int64)
+        odd = np.frombuffer(b"".join(c["parity"][order]), np.uint64).reshape(n, PARITY // 64)
+        side, cross = c["tile"][order], (c["low"] != c["high"])[order]
+        label = np.unique(c["root"][order], return_inverse=True)[1]
+        until = np.searchsorted((group << 32) + size, (group << 32) + size * 5 // 4, "right")  # a similarity of 0.8 needs sizes within 4 : 5
+        out = []
+        live = np.flatnonzero(until > np.arange(n) + 1)
+        lag = 1
+        while len(live):
+            i, j = live, live + lag
+            ok = (~cross[i] | (side[i] != side[j])) & (label[i] != label[j])
+            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)  # no more than the shingles that only one has
+            both = size[i] + size[j]
+            near = 9 * differ <= both
+            i, j, differ, both = i[near], j[near], differ[near], both[near]
+            sure = -np.log1p(-2 * np.minimum(differ, PARITY // 2 - 1) / PARITY) * (PARITY / 2) * 12 <= both
+            out.append((ids[i], ids[j], sure))
+            if trust and sure.any():
+                i, j = i[sure], j[sure]
+                while (label[i] != label[j]).any():
+                    x, y = label[i], label[j]
+                    to = np.arange(label.max() + 1)
+                    np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+                    label = to[label]
+            lag += 1
+            live = live[live + lag < until[live]]
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        a, b, sure = (np.concatenate(x) for x in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b), sure
+
+    return _by_group(links, ("key", "low", "high"), ("tile", "id", "size", "parity", "root"), ["a", "b", "sure"])
+
+
+def near_pairs(nodes: DataFrame, trust: bool, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b, sure) of ``nodes`` (id, size, parity, first, root) that may be similar, see ``near_linked``."""
+    by = ["key", "low", "high"]
+    met = _tiled(nodes.select(F.explode("first").alias("key"), "id"), ["key"], tile)
+    met = met.join(nodes.select("id", "size", "parity", "root"), "id").select(*by, "tile", "id", "size", "parity", "root")
+    pairs = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_near_pairs(trust), "a long, b long, sure boolean")
+    return checkpointed(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each node's to its least neighbour, and those between what these connect."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return checkpointed(least.unionByName(_between(edges, components(least)).select("a", "b")))
+
+
+def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges whose ends are not of the same of ``roots`` (node, root)."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    return edges.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*edges.columns)
+
+
+def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (id, size, parity, first) of a similarity of 0.8 or more.
+
+    Similarity is the share of common ones among two texts' distinct five-word shingles, by their
+    64-bit hashes.  No pair of 0.8 is lost, whatever the number of nodes: with all shingles in one
+    order, such a pair shares one of the first size / 5 + 1 of each, sizes are within 4 : 5, and
+    parities differ in no more bits than shingles are in one set alone, which is (sum of sizes) / 9
+    at most.  Which order is taken decides only the work: common shingles come last.
+
+    Every edge is verified on the sets themselves, which ``sets`` returns (id, hashes) for a table of
+    ids.  Pairs whose parities leave little doubt are verified first, as a forest where they are
+    many; others only if these haven't connected them.  If one of the former fails, the pairs that
+    were left out because of it are taken up again.
+    """
+
+    def verified(edges: DataFrame) -> DataFrame:
+        ends = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        known = checkpointed(sets(ends).dropDuplicates(["id"]))
+        a, b = (known.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
+        common = F.size(F.array_intersect("ha", "hb"))
+        return checkpointed(edges.join(a, "a").join(b, "b").select("a", "b", (9 * common >= 4 * (F.size("ha") + F.size("hb"))).alias("similar")))
+
+    nodes = nodes.withColumn("root", F.col("id"))
+    pairs = near_pairs(nodes, True, tile)
+    sure = pairs.where("sure").select("a", "b")
+    if sure.count() > 2 * sure.select(F.explode(F.array("a", "b")).alias("id")).distinct().count():
+        sure = _forest(sure)
+    first = verified(sure)
+    good = first.where("similar").select("a", "b")
+    more = checkpointed(_between(pairs.where("not sure").select("a", "b"), components(good)))
+    good = good.unionByName(verified(more).where("similar").select("a", "b"))
+    failed = first.where("not similar")
+    if not failed.isEmpty():
+        whole = components(pairs.select("a", "b"))
+        parts = whole.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+        again = whole.join(parts, "root", "left_semi").select(F.col("node").alias("id"))
+        roots = components(good).select(F.col("node").alias("id"), F.col("root").alias("own"))
+        left = nodes.join(again, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("own", "root")).drop("own")
+        good = good.unionByName(verified(near_pairs(checkpointed(left), False, tile).select("a", "b")).where("similar").select("a", "b"))
+    return good
 
 
 def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
@@ -332,8 +454,8 @@ def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one document of each class of near copies: the least id, then the least text hash.
 
-    Near copies are texts of a similarity of about 0.8 or more over five-word shingles (see
-    ``near_linked``), and what chains of such pairs connect; equal texts always meet.
+    Near copies are texts of a similarity of 0.8 or more over distinct five-word shingles (see
+    ``near_linked``), and what chains of such pairs connect.
 
     Only short rows are shuffled; texts meet the list of rows to drop, which is broadcast while it
     is short (``join_small``).  Null ids come last.
@@ -341,9 +463,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own, most = docs.columns, F.lit((1 << 63) - 1)
     known = F.coalesce(F.col("doc_id").cast("long"), most)
     tagged = docs.withColumns({"__doc": known, "__t": F.xxhash64("text")})
-    rows = checkpointed(near_fingerprints(tagged, keep=("__doc", "__t")))
-    nodes = checkpointed(rows.dropDuplicates(["id"]).select("id", *NEAR_WORDS, "sketch"))
-    roots = components(near_linked(nodes))
+    rows = checkpointed(near_nodes(tagged, common_shingles(docs), keep=("__doc", "__t")))
+    nodes = checkpointed(rows.dropDuplicates(["id"]).select("id", "size", "parity", "first"))
+    rows = rows.select("__doc", "__t", "id")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        one = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("__doc", "__t")).alias("one")).select("one.*")
+        return shingle_sets(join_small(tagged.select("__doc", "__t", "text"), one, ["__doc", "__t"], "left_semi"))
+
+    roots = components(near_linked(nodes, sets))
     rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = checkpointed(rooted.select(F.col("__doc").alias("doc_id"), "__t", F.coalesce("root", "id").alias("root")))
     least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("least"))
