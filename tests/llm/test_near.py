@@ -41,3 +41,23 @@ def kept(spark, texts):
 def test_no_pair_at_the_limit_is_lost(spark):
     made = pairs(300, 0.8, 0.83, 1)
     assert kept(spark, [t for p in made for t in p]) == set(range(0, 600, 2))
+
+
+def test_no_text_below_the_limit_goes(spark):
+    made = pairs(300, 0.74, 0.8, 2)
+    assert kept(spark, [t for p in made for t in p]) == set(range(600))
+
+
+def test_chains_match_exact_classes(spark):
+    """Clusters with similarities on both sides of the limit, in which many share their keys."""
+    rnd, texts = random.Random(3), []
+    for size in (40, 12, 5, 3):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(changed(rnd, base, rnd.randrange(0, 7))) for _ in range(size)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and alike(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert kept(spark, texts) == set(root)
