@@ -61,3 +61,12 @@ def test_chains_match_exact_classes(spark):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     assert kept(spark, texts) == set(root)
+
+
+def test_repeats_do_not_part_near_copies(spark):
+    rnd, texts = random.Random(4), []
+    for k in range(40):
+        base, line = ([f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (200, 10))
+        texts += [" ".join(base + line), " ".join(base + line * (5, 10, 30)[k % 3])]
+        assert alike(*texts[-2:]) > 0.9
+    assert kept(spark, texts) == set(range(0, 80, 2))
