@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, pieces, simhash, substring, toxicity
@@ -60,9 +60,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids), with merge-dropout."""
+    """(doc_id, lang, source, n_tokens, ids), with merge-dropout that cuts a document's copies apart."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = pieces.encode(docs, model, keep=("doc_id", "lang", "source"))
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
+    numbered = docs.select("doc_id", "lang", "source", "text").withColumn("copy", F.row_number().over(copies) - 1)
+    out = pieces.encode(numbered, model, keep=("doc_id", "lang", "source"), copy="copy")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

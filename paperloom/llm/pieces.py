@@ -3,19 +3,22 @@
 The model file gives pieces and scores.  A text is cut into chunks that no piece spans (at the
 start of each run of spaces, and around line breaks); in each chunk adjacent symbols merge by the
 agenda: the candidate with the best score first, the leftmost of equals.  With dropout each
-candidate merge is skipped if a keyed hash of (seed, variant, chunk, position, left, right) says
-so, with the given probability; a skipped candidate stays off the agenda until one of its sides
-changes.  A document's variant is a keyed hash of its id, one of ``VARIANTS``, so the same word is
-cut differently in different documents, and everything is the same in a rerun.
+candidate merge is skipped if a keyed hash of (seed, document id, copy, place of the chunk in the
+text, position, left, right) says so, with the given probability; a skipped candidate stays off the
+agenda until one of its sides changes.  So each occurrence of a word is cut on its own, and
+everything is the same in a rerun.
 
 Chunks of up to ``LONGEST`` symbols are processed together, one merge of each chunk per step, in
-numpy; longer ones by a heap.  The ids of up to ``CACHE_CHUNKS`` (chunk, variant) pairs are kept.
+numpy; longer ones by a heap.  What is kept, for up to ``CACHE_CHUNKS`` of them, are the ids of a
+chunk and the set of its skipped candidates, with the candidates that its agenda met: an occurrence
+draws for these, and goes on to the chunk with what it skips added until it skips no more.  That is
+what its own agenda gives, as an agenda is the same up to the first candidate it skips.
 
 Symbols without a piece become byte pieces.  So does a literal U+2581, the mark that stands for a
 space in pieces, which makes decoding lossless for every text.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; a null id has
-variant 0; repeated rows encode alike; an empty table gives an empty one; null in ids decodes as
+Defined results: a null or empty text has no ids and decodes to an empty text; null ids draw
+alike; repeated rows encode alike unless a copy number tells them apart; an empty table gives an empty one; null in ids decodes as
 no ids; columns of the input named like an output are replaced.
 """
 
@@ -34,7 +37,6 @@ from paperloom.llm.words import mix, prefix, range_hash, raw, slices, strings
 
 DROPOUT = 0.1
 SEED = 20_240_601
-VARIANTS = 4
 LONGEST = 40
 CACHE_CHUNKS = 600_000
 #: Fixed value: the mark for a space in pieces.
@@ -104,6 +106,8 @@ class Model:
         self.row = np.zeros(self.SLOTS, dtype=np.int64)
         self.kept = np.zeros(1 << 20, dtype=np.int32)
         self.off = np.zeros(CACHE_CHUNKS + 1, dtype=np.int64)
+        self.met = np.zeros(1 << 20, dtype=np.uint64)  # candidates that rows met and didn't skip
+        self.met_off = np.zeros(CACHE_CHUNKS + 1, dtype=np.int64)
         self.rows = 0
 
     # symbols are vocabulary ids, or -1 - code point where there is no piece
@@ -161,8 +165,12 @@ class Model:
             push(a, nxt[a])
         return [s for s, g in zip(sym, gone, strict=True) if not g]
 
-    def together(self, flat: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda over many chunks, one merge of each per step; flat has their symbols in a row, as has the result."""
+    def together(self, flat: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int, skip: np.ndarray | None = None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda over many chunks, one merge of each per step; flat has their symbols in a row, as has the result.
+
+        With ``skip``, sorted ``skipping`` of chunks and candidates, these are skipped instead of what key and limit say; ``met``
+        gets the (chunks, candidates) that weren't.
+        """
         n, width = len(size), int(size.max())
         cols = np.arange(width)
         sym = np.full((n, width), -1, dtype=np.int64)
@@ -178,8 +186,16 @@ class Model:
             got = self.merge(left, right)
             value = np.where(got >= 0, self.score[got], -np.inf)
             if limit:
-                pair = (left << 32 | right).astype(np.uint64) + place[r, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                value[mix(key[live[r]] ^ mix(pair)) < np.uint64(limit)] = -np.inf
+                at = np.flatnonzero(got >= 0)
+                pair = (left[at] << 32 | right[at]).astype(np.uint64) + place[r[at], c[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                pair, own = mix(pair), live[r[at]]
+                if skip is None:
+                    off = mix(key[own] ^ pair) < np.uint64(limit)
+                else:
+                    off = np.isin(skipping(own, pair), skip) if len(skip) else np.zeros(len(at), dtype=bool)
+                value[at[off]] = -np.inf
+                if met is not None:
+                    met.append((own[~off], pair[~off]))
             to[r, c], score[r, c] = got, value
 
         renew(*np.nonzero(cols < size[:, None] - 1))
@@ -204,7 +220,8 @@ class Model:
 
     # many texts
 
-    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, seed: int, limit: int) -> np.ndarray:
+    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, own: np.ndarray, limit: int, skips: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """New rows for chunks that skip the candidates in skips (chunk, candidate), or for long ones what their own keys say."""
         length = end - start
         stop = np.cumsum(length)
         data = text[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]
@@ -212,15 +229,20 @@ class Model:
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         size = chars[stop] - chars[stop - length]
         first = np.cumsum(size) - size
-        own = mix(keys ^ np.uint64(seed & _MASK))
-        count = np.zeros(len(keys), dtype=np.int64)
+        count, where = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []  # chunks and their ids in a row
+        seen: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]  # chunks and candidates
         for low, high in ((0, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
             at = np.flatnonzero((size > low) & (size <= high))
             for k in range(0, len(at), 16384):
                 part = at[k : k + 16384]
-                n = size[part]
-                ids, m = self.together(flat[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, own[part], limit)
+                n, met = size[part], []
+                where[:] = -1
+                where[part] = np.arange(len(part))
+                mine = where[skips[0]] >= 0
+                off = np.sort(skipping(where[skips[0][mine]], skips[1][mine]))
+                ids, m = self.together(flat[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, own[part], limit, off, met)
+                seen += [(part[c], x) for c, x in met]
                 if (ids < 0).any():
                     owner = np.repeat(np.arange(len(part)), m)
                     rows = [self.expand([x]) if x < 0 else [x] for x in ids.tolist()]
@@ -242,19 +264,29 @@ class Model:
             self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
         self.kept[at : at + len(flat)] = flat
         self.off[r + 1 : r + 1 + len(keys)] = at + np.cumsum(count)
+        of, cand = (np.concatenate(x) for x in zip(*seen, strict=True))
+        order = np.lexsort((cand, of))
+        of, cand = of[order], cand[order]
+        new = np.ones(len(of), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (cand[1:] != cand[:-1])
+        of, cand, at = of[new], cand[new], self.met_off[r]
+        while at + len(cand) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        self.met[at : at + len(cand)] = cand
+        self.met_off[r + 1 : r + 1 + len(keys)] = at + np.cumsum(np.bincount(of, minlength=len(keys)))
         self.rows += len(keys)
         rows = np.arange(r, self.rows)
         slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
         self.key[slot], self.row[slot] = keys, rows
         return rows
 
-    def encode(self, column: pa.Array, variant: np.ndarray, seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and where each text's begin and end in it."""
+    def encode(self, column: pa.Array, drawn: np.ndarray, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, whose keys are ``drawn``, in a row, and where each text's begin and end in it."""
         data, off = raw(strings(column))
         limit = int(dropout * 2.0**64)
-        if (seed, limit) != self.__dict__.get("_of"):
+        if limit != self.__dict__.get("_of"):
             self.clear()
-            self._of = (seed, limit)
+            self._of = limit
         full = np.flatnonzero(np.diff(off) > 0)
         if not len(full):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
@@ -268,35 +300,59 @@ class Model:
         end = np.append(start[1:], len(text))
         p = prefix(text.astype(np.uint64) + np.uint64(1), _BASE)
         of = np.searchsorted(first, start, "right") - 1
-        h = mix(range_hash(p, start, end, _BASE) + (end - start).astype(np.uint64)) ^ mix(variant[full][of].astype(np.uint64))
-        h |= np.uint64(1)
-        out = self._ids(h, start, end, text, seed, limit)
+        h = mix(range_hash(p, start, end, _BASE) + (end - start).astype(np.uint64))
+        own = mix(drawn[full][of] ^ mix((start - first[of]).astype(np.uint64)))
+        if limit:  # long chunks are what their own keys say, and kept so
+            chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
+            long = chars[end] - chars[start] > LONGEST
+            h[long] = mix(h[long] ^ own[long])
+        out = self._ids(h, start, end, text, own, limit)
         edge = np.concatenate([[0], out[1]])[np.append(np.searchsorted(start, first), len(start))]
         at = np.zeros(len(off), dtype=np.int64)
         at[full + 1] = np.diff(edge)
         return out[0], np.cumsum(at)
 
-    def _ids(self, h, start, end, text, seed, limit) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, h, start, end, text, own, limit) -> tuple[np.ndarray, np.ndarray]:
         """All chunks' ids in a row, and each chunk's end in it."""
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        row = np.where(self.key[slot] == h, self.row[slot], -1)
-        missing = np.flatnonzero(row < 0)
-        if len(missing):
-            u, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            if self.rows + len(u) > CACHE_CHUNKS:
-                self.clear()
-                if len(missing) < len(h) or len(u) > CACHE_CHUNKS:
-                    half = max(1, len(h) // 2) if len(u) > CACHE_CHUNKS else 0
-                    if half:  # more chunks than are kept: one half after the other
-                        a = self._ids(h[:half], start[:half], end[:half], text, seed, limit)
-                        b = self._ids(h[half:], start[half:], end[half:], text, seed, limit)
-                        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + len(a[0])])
-                    return self._ids(h, start, end, text, seed, limit)
-            at = missing[at]
-            row[missing] = self._add(u, start[at], end[at], text, seed, limit)[back]
+        row = self._rows(h, start, end, text, own, limit)
+        if row is None:
+            self.clear()
+            row = self._rows(h, start, end, text, own, limit)
+        if row is None:  # more than is kept: one half after the other
+            half = len(h) // 2
+            a, b = (self._ids(h[x], start[x], end[x], text, own[x], limit) for x in (slice(half), slice(half, None)))
+            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + len(a[0])])
         size = self.off[row + 1] - self.off[row]
         stop = np.cumsum(size)
-        return self.kept[np.repeat(self.off[row] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], stop
+        return self.kept[_spans(self.off[row], size)], stop
+
+    def _rows(self, h, start, end, text, own, limit) -> np.ndarray | None:
+        """The kept row of each chunk, or None if there is no room for all."""
+        row, state, live = np.zeros(len(h), dtype=np.int64), h | np.uint64(1), np.arange(len(h))
+        of, skipped = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # candidates that chunks skip, in order of chunks
+        while len(live):
+            now = state[live]
+            slot = (now & np.uint64(self.SLOTS - 1)).astype(np.int64)
+            got = np.where(self.key[slot] == now, self.row[slot], -1)
+            missing = np.flatnonzero(got < 0)
+            if len(missing):
+                u, at, back = np.unique(now[missing], return_index=True, return_inverse=True)
+                if self.rows + len(u) > CACHE_CHUNKS:
+                    return None
+                at = live[missing[at]]
+                low, high = np.searchsorted(of, at), np.searchsorted(of, at, "right")
+                skips = np.repeat(np.arange(len(u)), high - low), skipped[_spans(low, high - low)]
+                got[missing] = self._add(u, start[at], end[at], text, own[at], limit, skips)[back]
+            row[live] = got
+            n = self.met_off[got + 1] - self.met_off[got]
+            cand, who = self.met[_spans(self.met_off[got], n)], np.repeat(live, n)
+            hit = mix(own[who] ^ cand) < np.uint64(limit)
+            who, cand = who[hit], cand[hit]
+            live = np.unique(who)
+            np.add.at(state, who, mix(cand) << np.uint64(1))  # the same for the same set
+            order = np.argsort(np.concatenate([of, who]), kind="stable")
+            of, skipped = np.concatenate([of, who])[order], np.concatenate([skipped, cand])[order]
+        return row
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The texts of ids[off[i]:off[i + 1]]."""
@@ -307,27 +363,39 @@ class Model:
         return [flat[a + 1 : z] if z > a else b"" for a, z in zip(edge[:-1], edge[1:], strict=True)]  # without the space before
 
 
-def variants(ids: np.ndarray, known: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Each document's variant."""
-    return np.where(known, (mix(ids.astype(np.int64).view(np.uint64) ^ mix(np.array([seed], dtype=np.uint64))) % np.uint64(VARIANTS)).astype(np.int64), 0)
+def keys(ids: np.ndarray, known: np.ndarray, copies: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Each document's key for its draws."""
+    own = np.where(known, mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)), np.uint64(0))
+    return mix(mix(own ^ np.uint64(seed & _MASK)) + mix(copies.astype(np.int64).view(np.uint64)))
+
+
+def skipping(chunk: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+    """A hash of each chunk and candidate."""
+    return mix(candidate ^ mix(chunk.astype(np.uint64) + np.uint64(1)))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start..start + size - 1 of each, in a row."""
+    stop = np.cumsum(size)
+    return np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
 
 
 def _schema(df: DataFrame, own: list[str], more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema] + [more])
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
-    """``keep`` columns (all, by default) and ids."""
+def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] | None = None, seed: int = SEED, dropout: float = DROPOUT, copy: str | None = None) -> DataFrame:
+    """``keep`` columns (all, by default) and ids; ``copy`` is the column that numbers a document's copies."""
     own = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    rows = docs.select(*own, F.col(text).cast("string").alias("__text"), F.col("doc_id").cast("long").alias("__id"))
+    rows = docs.select(*own, F.col(text).cast("string").alias("__text"), F.col("doc_id").cast("long").alias("__id"), (F.lit(0) if copy is None else F.col(copy)).cast("long").alias("__copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.at(model)
         for b in batches:
             for s in slices(b, "__text"):
                 key = s.column("__id")
-                of = variants(key.fill_null(0).to_numpy(), np.asarray(key.is_valid()), seed)
-                ids, off = m.encode(s.column("__text"), of, seed, dropout)
+                drawn = keys(key.fill_null(0).to_numpy(), np.asarray(key.is_valid()), s.column("__copy").to_numpy(), seed)
+                ids, off = m.encode(s.column("__text"), drawn, dropout)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in own), lists], [*own, "ids"])
 
