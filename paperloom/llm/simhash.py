@@ -242,7 +242,7 @@ def _tiled(keyed: DataFrame, key: list[str], tile: int) -> DataFrame:
 
 #: Near copies: words of a shingle; texts sampled for common shingles, the fewest of them one is in, and most kept; bits of a parity.
 NEAR_SHINGLE = 5
-SAMPLE_TEXTS = 20_000
+SAMPLE_TEXTS = 5_000
 COMMON_LEAST = 4
 COMMON_MOST = 100_000
 PARITY = 512
