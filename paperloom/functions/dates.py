@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules
-from paperloom.functions.text import all_captured, captured
+from paperloom.functions.text import all_captured, captured, let
 
 
 def twelve_digits(text: Column) -> Column:
@@ -110,6 +110,10 @@ def last_transaction_date(text: Column, statement_date: Column, default: str = r
 
 def format_month_year(value: Column, text: Column, default: str = rules.DEFAULT_YEAR) -> Column:
     """A payslip's period as MM/YYYY where it can be told, else the value."""
+    return let(value, lambda v: _month_year(v, text, default))
+
+
+def _month_year(value: Column, text: Column, default: str) -> Column:
     a, b = F.regexp_extract(value, r"^(\d{1,2})/(\d+)$", 1), F.regexp_extract(value, r"^(\d{1,2})/(\d+)$", 2)
     year = captured(text, r"\b(20\d{2})\b")
     first, second = a.try_cast("int"), b.try_cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import let
+
 MONEY = "decimal(18,2)"
 
 
@@ -60,8 +62,7 @@ def normalize_number(text: Column, bank: Column | str) -> Column:
 
 def amount(text: Column, bank: Column | str) -> Column:
     """``normalize_number`` as text, null for zero: a zero amount counts as missing."""
-    value = normalize_number(text, bank)
-    return F.when(text.isNotNull() & (value != 0), money_text(value))
+    return let(text, lambda t: let(normalize_number(t, bank), lambda v: F.when(t.isNotNull() & (v != 0), money_text(v))))
 
 
 def payslip_number(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 NOT_KEPT = r"[^\p{L}\p{N}_\s\-./,:]"
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with value computed once: used several times as it stands, its whole tree is repeated each time."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def captured(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group, or null where there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -124,8 +124,8 @@ def _period(text: Column, bank: str, date: Column, side: int) -> Column:
 def bank_record(df: DataFrame, text: str = "text", bank: str | None = None) -> DataFrame:
     """``df`` with the bank fields, detected_bank and bank_detection_confidence.
 
-    The bank is detected in the text unless a column is named.  Each field is one choice by bank,
-    so a row evaluates only its own bank's patterns.
+    The bank is detected in the text unless a column is named.  Rows are kept together by bank, so
+    that each goes through its own bank's patterns alone: ``df`` is read once per bank.
     """
     t = F.col(text)
     if bank is None:
@@ -133,19 +133,22 @@ def bank_record(df: DataFrame, text: str = "text", bank: str | None = None) -> D
         df = df.withColumns({"detected_bank": F.col("__bank.bank"), "bank_detection_confidence": F.col("__bank.confidence")}).drop("__bank")
     else:
         df = df.withColumns({"detected_bank": F.col(bank), "bank_detection_confidence": F.lit(None).cast("double")})
+    return by_bank_record(df, text)
 
-    def by_bank(make) -> Column:
-        out = None
-        for name in rules.BANKS:
-            if name != "generic":
-                out = F.when(F.col("detected_bank") == name, make(name)) if out is None else out.when(F.col("detected_bank") == name, make(name))
-        return out.otherwise(make("generic"))
 
-    return _with_fields(df, t, by_bank)
+def by_bank_record(df: DataFrame, text: str = "text") -> DataFrame:
+    """The bank fields of rows whose detected_bank is there already, a small plan per bank; unknown banks are generic."""
+    name, out = F.col("detected_bank"), None
+    for b in rules.BANKS:
+        known = [x for x in rules.BANKS if x != "generic"]
+        ours = (name == b) if b != "generic" else F.coalesce(~name.isin(*known), F.lit(True))
+        one = one_bank_record(df.where(ours), b, text)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def one_bank_record(df: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """``bank_record`` for rows that are all of one bank (detected_bank is there already): a far smaller plan."""
+    """``bank_record`` for rows that are all of one bank (detected_bank is there already)."""
     return _with_fields(df, F.col(text), lambda make: make(name))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import numbers, rules
 from paperloom.functions.dates import format_month_year
-from paperloom.functions.text import captured, contains_any
+from paperloom.functions.text import captured, contains_any, let
 from paperloom.operators.bank import completeness
 
 FIELDS = ("name", "id_number", "gross_income", "net_income", "total_deduction", "month_year")
@@ -44,7 +44,7 @@ def text_field(text: Column, name: str) -> Column:
     tried = []
     for w in r["words"]:
         first = F.try_element_at(_matches(text, rf"(?i){w}[:\s]*({r['pattern']})", 50), F.lit(1))
-        tried.append(F.when(first.isNotNull() & ~near(first["context"]), F.trim(first["value"])))
+        tried.append(let(first, lambda m: F.when(m.isNotNull() & ~near(m["context"]), F.trim(m["value"]))))
     for p in r["more"]:
         good = F.filter(_matches(text, "(?i)" + p, 50), lambda m: ~near(m["context"]))
         tried.append(F.trim(F.try_element_at(good, F.lit(1))["value"]))

@@ -43,10 +43,7 @@ def extract_documents(page_texts: DataFrame) -> DataFrame:
     the score 0.
     """
     df = typed_pages(page_texts)
-    ours = None
-    for name in rules.BANKS:
-        one = bank.one_bank_record(df.where((F.col("document_type") == "bank_statement") & (F.col("detected_bank") == name)), name)
-        ours = one if ours is None else ours.unionByName(one)
+    ours = bank.by_bank_record(df.where("document_type = 'bank_statement'"))
     ours = ours.withColumns({"raw_confidence": bank.bank_completeness(ours), "__v": validate.bank_verdict(by_bank=True)})
     theirs = payslip.payslip_record(df.where("document_type = 'payslip'").drop("detected_bank", "bank_detection_confidence"))
     theirs = theirs.withColumns({"raw_confidence": payslip.payslip_completeness(), "__v": validate.payslip_verdict(), "validation_errors": validate.range_errors()})

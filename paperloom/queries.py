@@ -226,9 +226,15 @@ def _bank_sql(name: str, account: str, holder: str, day: str, opening: str, clos
   {closing} AS closing_balance, {debit} AS total_debit, {credit} AS total_credit, {start} AS statement_period_from, {end} AS statement_period_to, '{name}' AS detected_bank FROM st WHERE bank = '{name}'"""
 
 
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned statements with the bank that is detected in their text."""
+    s = render.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text")).withColumn("__b", classify.issuing_bank(F.col("text")))
+    return s.select("upload_id", "text", F.col("__b.bank").alias("detected_bank"), F.col("__b.confidence").alias("bank_detection_confidence"))
+
+
 def _extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    s = render.statements(spark, sf_dir).where(F.col("bank") == name).select("upload_id", clean_text(F.col("text")).alias("text"))
-    return bank.bank_record(s).select("upload_id", *bank.FIELDS, "detected_bank")
+    s = _detected(spark, sf_dir).where(F.col("detected_bank") == name)
+    return bank.one_bank_record(s, name).select("upload_id", *bank.FIELDS, "detected_bank")
 
 
 _FULL = "strftime({}, '%d/%m/%Y')"
@@ -305,8 +311,7 @@ WITH {SQL_STATEMENTS}, n AS (SELECT upload_id, CASE bank WHEN 'cimb' THEN 9 WHEN
 SELECT upload_id, known / whole AS completeness FROM n
 """)
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = render.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text"))
-    r = bank.bank_record(s)
+    r = bank.by_bank_record(_detected(spark, sf_dir))
     return r.select("upload_id", bank.bank_completeness(r).alias("completeness"))
 
 
@@ -476,12 +481,15 @@ def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {SQL_TOKENS}, {_MATCH}, b AS (SELECT * FROM best WHERE n = 1),
-r AS (
-  SELECT t.upload_id, t.token_ix, t.text, t.confidence, x.text AS xt, x.confidence AS xc, y.text AS yt, y.confidence AS yc
-  FROM tok t LEFT JOIN b x ON x.upload_id = t.upload_id AND x.token_ix = t.token_ix AND x.engine_ix = 1 LEFT JOIN b y ON y.upload_id = t.upload_id AND y.token_ix = t.token_ix AND y.engine_ix = 2
-), k AS (SELECT *, CASE WHEN confidence >= 0.6 THEN 0 WHEN xc > confidence THEN 1 WHEN yc > confidence THEN 2 ELSE 0 END AS used FROM r)
-SELECT upload_id, token_ix::INT AS token_ix, CASE used WHEN 1 THEN xt WHEN 2 THEN yt ELSE text END AS text, CASE used WHEN 1 THEN xc WHEN 2 THEN yc ELSE confidence END AS confidence, used AS engine_used FROM k
+WITH {SQL_TOKENS.replace("tok AS (", "tok AS MATERIALIZED (", 1)}, j AS ({_JITTER.format(k=1)} UNION ALL {_JITTER.format(k=2)}),
+every AS (
+  SELECT a.upload_id, a.token_ix, b.engine_ix, b.token_ix AS other, b.confidence > a.confidence AS better, b.text, b.confidence, {_IOU} AS i
+  FROM tok a JOIN j b ON a.upload_id = b.upload_id AND a.page = b.page WHERE a.confidence < 0.6
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY upload_id, token_ix, engine_ix ORDER BY i / (96 + 96 - i) DESC, other) AS n FROM every WHERE i / (96 + 96 - i) > 0.5
+), took AS (SELECT upload_id, token_ix, arg_min(text, engine_ix) AS text, arg_min(confidence, engine_ix) AS confidence, min(engine_ix) AS used FROM best WHERE n = 1 AND better GROUP BY ALL)
+SELECT t.upload_id, t.token_ix::INT AS token_ix, coalesce(k.text, t.text) AS text, coalesce(k.confidence, t.confidence) AS confidence, coalesce(k.used, 0) AS engine_used
+FROM tok t LEFT JOIN took k ON k.upload_id = t.upload_id AND k.token_ix = t.token_ix
 """)
 def retry_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = render.tokens(spark, sf_dir)
@@ -511,8 +519,7 @@ WITH {SQL_STATEMENTS} SELECT upload_id, bank = 'cimb' AS is_valid,
   bank IN ('cimb', 'bsn', 'generic') AS valid_by_bank FROM st
 """)
 def validate_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = render.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text"))
-    r = bank.bank_record(s).withColumns({"v": validate.bank_verdict(), "w": validate.bank_verdict(by_bank=True)})
+    r = bank.by_bank_record(_detected(spark, sf_dir)).withColumns({"v": validate.bank_verdict(), "w": validate.bank_verdict(by_bank=True)})
     return r.select("upload_id", "v.is_valid", "v.validation_message", F.col("w.is_valid").alias("valid_by_bank"))
 
 

@@ -11,8 +11,6 @@ from paperloom import queries as documents
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["customer", "supplier", "orders", "lineitem", "documents", "pages", "conversations", "labels"]
-#: Heavy ones are covered by the others' parts and by the driver.
-SLOW = {"result_records", "extract_payslip", "extract_bsn", "extract_bank_islam", "extract_public_islamic", "completeness", "validate_bank"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def rows(df):
     return sorted((tuple(clean(x) for x in r) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in documents.ORACLES if n not in SLOW])
+@pytest.mark.parametrize("name", list(documents.ORACLES))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     expected = duck.execute(entry.oracle_sql()[name]).fetch_df()
