@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import SPACE, mix, prefix, range_hash, slices, split
+from paperloom.llm.words import SPACE, distinct, slices, split
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims")
 
@@ -40,7 +40,6 @@ POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": tuple(RULES),
 }
-_LINE_BASE = 0xA0761D6478BD642F
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[0x0A] = True
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -55,7 +54,6 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     """The measurements of each text."""
     w = split(column)
     n, owner, off = len(w.text) - 1, w.owner, w.text
-    salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
 
     def per_text(flags: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(flags)])
@@ -65,18 +63,18 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     lines = split(column, _NEWLINE)
     filled = np.concatenate([[0], np.cumsum(inside)])
     real = filled[lines.end] > filled[lines.start]
-    p = prefix(w.data.astype(np.uint64) + np.uint64(1), _LINE_BASE)
     of = lines.owner[real]
-    keys = mix(range_hash(p, lines.start[real], lines.end[real], _LINE_BASE) ^ salt[of]) if len(of) else np.zeros(0, np.uint64)
-    first = np.unique(keys, return_index=True)[1]
+    line, values = distinct(w.data, lines.start[real], lines.end[real])
+    first = np.unique(of * len(values) + line, return_index=True)[1]
     n_lines = np.bincount(of, minlength=n)
 
-    h = w.hashes()
-    covered = np.zeros(len(h), dtype=bool)
-    if len(h) > 2:
+    word, values = w.distinct()
+    covered = np.zeros(len(word), dtype=bool)
+    if len(word) > 2:
         whole = np.flatnonzero(owner[2:] == owner[:-2])
-        three = h[whole] * np.uint64(3) + mix(h[whole + 1]) * np.uint64(5) + mix(mix(h[whole + 2]))
-        _, back, count = np.unique(mix(three ^ salt[owner[whole]]), return_inverse=True, return_counts=True)
+        two = np.unique(word[:-1] * len(values) + word[1:], return_inverse=True)[1]  # numbers of pairs, then of windows, then by text
+        three = np.unique(two[whole] * len(values) + word[whole + 2], return_inverse=True)[1]
+        _, back, count = np.unique(three * n + owner[whole], return_inverse=True, return_counts=True)
         twice = whole[count[back] >= 2]
         for k in range(3):
             covered[twice + k] = True

@@ -21,7 +21,8 @@ own positions, joined with its text by rank; texts are written once, compressed
 rank, so these joins move no text.  Nothing is collected to the driver.
 
 Names and comparisons rely on hashes: 64 bits where a collision only costs work (a symbol then
-counts as shared), 128 bits where it would remove words.
+counts as shared), 128 bits where it would remove words.  The two halves come from separate hashes of
+the words' bytes, so words that agree in one half don't agree in the other.
 
 Defined results: a null text has no words; null ids come after all others; texts with one id
 are ordered by their words' hash; repeated rows (same id and words) are one document with one
@@ -106,9 +107,9 @@ class Parsed:
     def __init__(self, column: pa.Array, window: int):
         self.words = w = split(column)
         self.window = window
-        h = w.hashes()
+        h, other = w.hashes()
         n, texts = len(h), len(w.text) - 1
-        self.sums = prefix(h, _BASES[0]), prefix(mix(h), _BASES[1])
+        self.sums = prefix(h, _BASES[0]), prefix(other, _BASES[1])
         count = np.maximum(w.per_text - window + 1, 0)
         stop = np.cumsum(count)
         self.owner = np.repeat(np.arange(texts), count)  # of windows

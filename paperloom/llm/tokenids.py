@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import fresh_dir, read_blobs, write_blobs
-from paperloom.llm.words import mix, prefix, range_hash, raw, slices, strings
+from paperloom.llm.words import distinct, raw, slices, strings
 
 #: Fixed values of the format: (ids, bits) by selector, the escape slot, magic and footer.
 SHAPES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
@@ -45,8 +45,7 @@ HEADER = struct.Struct(">8sqqqqqq")  # magic, place, ids, documents, ids in a bl
 BLOCK = 1024
 FILE_IDS = 1 << 20
 END_ID = 2
-CACHE_PIECES = 400_000
-_PIECE_BASE = 0xC2B2AE3D27D4EB4F
+CACHE_PIECES = 300_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,13 +172,11 @@ class Encoder:
     """The vocabulary file's encoder.
 
     Byte-level pieces are encoded independently of each other.  In plain texts the pieces are cut
-    by byte classes, all at once; the ids of up to ``CACHE_PIECES`` pieces are kept (by 64-bit
-    hash), and only new pieces go to the encoder.  Texts with apostrophes, rarer characters or
+    by byte classes, all at once; the ids of up to ``CACHE_PIECES`` pieces are kept, and only new
+    pieces go to the encoder.  Texts with apostrophes, rarer characters or
     the vocabulary's special token go to it whole.
     """
 
-    SLOTS = 1 << 20
-
     def __init__(self, path: str):
         import os
 
@@ -197,30 +194,25 @@ class Encoder:
         return _loaded[path]
 
     def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, dtype=np.uint64)
-        self.row = np.zeros(self.SLOTS, dtype=np.int64)
+        self.row: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
         self.off = np.zeros(CACHE_PIECES + 1, dtype=np.int64)
-        self.rows = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    def _add(self, pieces: list[bytes]) -> None:
         encode = self.whole.model.tokenize  # a piece needs no further splitting
         got = [[t.id for t in encode(p.decode("latin1").translate(_ALPHABET))] for p in pieces]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        r, at = self.rows, self.off[self.rows]
+        r = len(self.row)
+        at = self.off[r]
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
         while at + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[at : at + len(flat)] = flat
         self.off[r + 1 : r + 1 + len(got)] = at + np.cumsum(size)
-        self.rows += len(got)
-        rows = np.arange(r, self.rows)
-        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        self.key[slot], self.row[slot] = hashes, rows
-        return rows
+        self.row.update(zip(pieces, range(r, r + len(got)), strict=True))
 
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain texts without empty ones, and how many each has."""
@@ -237,27 +229,21 @@ class Encoder:
         begins |= new & ~space & ~joined
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
-        p = prefix(data.astype(np.uint64) + np.uint64(1), _PIECE_BASE)
-        h = mix(range_hash(p, start, end, _PIECE_BASE) + (end - start).astype(np.uint64)) | np.uint64(1 << 63)
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        row = np.where(self.key[slot] == h, self.row[slot], -1)
-        missing = np.flatnonzero(row < 0)
-        if len(missing):
-            u, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            if self.rows + len(u) > CACHE_PIECES and self.rows:
-                self.clear()
-                return self._plain(data, off)
-            if len(u) > CACHE_PIECES:  # one text with more pieces than are kept
-                half = len(off) // 2
-                if half and len(off) > 2:
-                    a, b = self._plain(data[: off[half]], off[: half + 1]), self._plain(data[off[half] :], off[half:] - off[half])
-                    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-                got = self._encode([data.tobytes().decode()])[0]
-                return np.array(got, dtype=np.uint32), np.array([len(got)])
-            at = missing[at]
-            whole = data.tobytes()
-            pieces = [whole[a:z] for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            row[missing] = self._add(u, pieces)[back]
+        number, values = distinct(data, start, end)
+        pieces = values.to_pylist()
+        missing = [p for p in pieces if p not in self.row]
+        if len(self.row) + len(missing) > CACHE_PIECES and self.row:
+            self.clear()
+            return self._plain(data, off)
+        if len(missing) > CACHE_PIECES:  # one text with more pieces than are kept
+            half = len(off) // 2
+            if half and len(off) > 2:
+                a, b = self._plain(data[: off[half]], off[: half + 1]), self._plain(data[off[half] :], off[half:] - off[half])
+                return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+            got = self._encode([data.tobytes().decode()])[0]
+            return np.array(got, dtype=np.uint32), np.array([len(got)])
+        self._add(missing)
+        row = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))[number]
         size = self.off[row + 1] - self.off[row]
         stop = np.cumsum(size)
         out = self.ids[np.repeat(self.off[row] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]

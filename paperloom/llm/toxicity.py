@@ -45,11 +45,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each text, each once and ascending: (owner, bucket)."""
     w = split(column, NOT_TERM)
     low, owner = LOWER[w.data], w.owner
-    found = [(owner, w.hashes(low))]
+    found = [(owner, w.hashes(low)[0])]
     for k in PREFIXES:
         longer = w.end - w.start > k
         stem = Words(w.data, w.text, w.start[longer], w.start[longer] + k, w.first)
-        found.append((owner[longer], stem.hashes(low) + np.uint64(k)))
+        found.append((owner[longer], stem.hashes(low)[0] + np.uint64(k)))
     both = np.concatenate([o.astype(np.uint64) * np.uint64(BUCKETS) + (h & np.uint64(BUCKETS - 1)) for o, h in found])
     both = np.unique(both)
     return (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(BUCKETS - 1)).astype(np.int64)

@@ -7,6 +7,7 @@ longer document alone), so memory is bounded by the longest document, not by the
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,6 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE_BASE = 0x9E6C63D0876A9A47
-_WORD_BASES = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,10 +67,36 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
 
 
 def range_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the values in [start, end), equal for equal sequences wherever they stand."""
+    """Hash of the values in [start, end), equal for equal sequences wherever they stand.
+
+    For short runs of values that are themselves hashes; long runs of two chosen values can collide.
+    """
     return (p[end] - p[start]) * powers(base, len(p))[1][start]
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(the number of each byte range's value, the values by number), told apart by their bytes.
+
+    Ranges are in ascending order and don't overlap.
+    """
+    if not len(start):
+        return np.zeros(0, dtype=np.int64), pa.array([], pa.large_binary())
+    gapless = bool((end[:-1] == start[1:]).all())
+    if gapless:
+        edges = np.append(start, end[-1])
+    else:  # what lies between two ranges is a value of its own, left out below
+        edges = np.column_stack([start, end]).ravel()
+    column = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    return np.asarray(coded.indices)[:: 1 if gapless else 2].astype(np.int64), coded.dictionary
+
+
+def digests(values: pa.Array) -> np.ndarray:
+    """Two independent 64-bit hashes of each value's bytes, as (values, 2)."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(v, digest_size=16).digest() for v in values.to_pylist()]), "<u8").reshape(-1, 2)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as one Arrow array with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -141,11 +166,15 @@ class Words:
         """The index of each word's text."""
         return np.repeat(np.arange(len(self.text) - 1), self.per_text)
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the words' bytes."""
-        data = self.data if data is None else data
-        p = prefix(data.astype(U64) + U64(1), _BYTE_BASE)
-        return mix(range_hash(p, self.start, self.end, _BYTE_BASE))
+    def distinct(self, data: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word's value, and the values by number."""
+        return distinct(self.data if data is None else data, self.start, self.end)
+
+    def hashes(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of the words' bytes."""
+        number, values = self.distinct(data)
+        both = digests(values)
+        return both[number, 0], both[number, 1]
 
 
 def split(column: pa.Array, separators: np.ndarray = SPACE) -> Words:
