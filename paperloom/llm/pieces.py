@@ -8,11 +8,12 @@ text, position, left, right) says so, with the given probability; a skipped cand
 agenda until one of its sides changes.  So each occurrence of a word is cut on its own, and
 everything is the same in a rerun.
 
-Chunks of up to ``LONGEST`` symbols are processed together, one merge of each chunk per step, in
-numpy; longer ones by a heap.  What is kept, for up to ``CACHE_CHUNKS`` of them, are the ids of a
-chunk and the set of its skipped candidates, with the candidates that its agenda met: an occurrence
-draws for these, and goes on to the chunk with what it skips added until it skips no more.  That is
-what its own agenda gives, as an agenda is the same up to the first candidate it skips.
+The agenda of a chunk of up to ``LONGEST`` characters is kept as a tree: a node is a state (symbols
+and skipped candidates), asks for one draw, that of its best candidate, and leads to one node if the
+candidate merges and to another if it is skipped.  All chunks of a slice walk down their trees
+together, in numpy, each with its own draws; nodes are made when a walk first reaches them and kept,
+up to about ``CACHE_NODES`` of them, so a state is worked out once however many occurrences reach it.
+Chunks are told apart by their bytes.  Longer chunks are worked out by a heap, each on its own.
 
 Symbols without a piece become byte pieces.  So does a literal U+2581, the mark that stands for a
 space in pieces, which makes decoding lossless for every text.
@@ -33,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import mix, prefix, range_hash, raw, slices, strings
+from paperloom.llm.words import distinct, mix, raw, slices, strings
 
 DROPOUT = 0.1
 SEED = 20_240_601
 LONGEST = 40
-CACHE_CHUNKS = 600_000
+CACHE_NODES = 1_000_000
+BLOCK_CHUNKS = 1 << 16
 #: Fixed value: the mark for a space in pieces.
 MARK = "▁"
-_BASE = 0xE7037ED1A0B428DB
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
 
@@ -57,7 +59,7 @@ def _mix(x: int) -> int:
 class Model:
     """Pieces, scores and the table of merges of a model file."""
 
-    SLOTS = 1 << 20
+    SLOT_BITS = 21
     _loaded: dict[str, Model] = {}
 
     def __init__(self, path: str):
@@ -84,6 +86,12 @@ class Model:
                     to.append(i)
         order = np.argsort(keys)
         self.pair, self.merged = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
+        # a table of pairs by slot; pairs that share a slot are looked up by bisection
+        slot = self._slot(self.pair)
+        self.slot_pair = np.full(1 << self.SLOT_BITS, -1, dtype=np.int64)
+        self.slot_merged = np.full(1 << self.SLOT_BITS, -1, dtype=np.int32)
+        self.slot_pair[slot], self.slot_merged[slot] = self.pair, self.merged
+        self.slot_shared = np.bincount(slot, minlength=1 << self.SLOT_BITS) > 1
         self.table: dict[int, int] | None = None  # the same as a dictionary, once it is needed
         if any("\n" in s or MARK in s.lstrip(MARK) for s in self.id):
             raise ValueError("the model has pieces that span chunks")
@@ -102,13 +110,20 @@ class Model:
         return cls._loaded[path]
 
     def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, dtype=np.uint64)
-        self.row = np.zeros(self.SLOTS, dtype=np.int64)
-        self.kept = np.zeros(1 << 20, dtype=np.int32)
-        self.off = np.zeros(CACHE_CHUNKS + 1, dtype=np.int64)
-        self.met = np.zeros(1 << 20, dtype=np.uint64)  # candidates that rows met and didn't skip
-        self.met_off = np.zeros(CACHE_CHUNKS + 1, dtype=np.int64)
-        self.rows = 0
+        """Forgets all nodes."""
+        n = 1 << 16
+        self.root: dict[bytes, int] = {}  # chunk -> node
+        self.nodes = 0
+        self.draw = np.zeros(n, dtype=np.uint64)  # what the node's candidate is drawn by
+        self.best = np.zeros(n, dtype=np.int8)  # its place, or -1: no candidate is left
+        self.to = np.zeros(n, dtype=np.int32)  # what it merges to
+        self.next = np.zeros(2 * n, dtype=np.int32)  # node 2 * i merges, 2 * i + 1 skips; -1: not reached yet
+        self.first = np.zeros(n, dtype=np.int64)  # the node's symbols, in the three arrays below
+        self.size = np.zeros(n, dtype=np.int8)
+        self.used = 0
+        self.sym = np.zeros(8 * n, dtype=np.int32)
+        self.place = np.zeros(8 * n, dtype=np.int8)  # where each symbol begins
+        self.off = np.zeros(8 * n, dtype=bool)  # whether the candidate of a symbol and the next is skipped
 
     # symbols are vocabulary ids, or -1 - code point where there is no piece
 
@@ -129,11 +144,19 @@ class Model:
                 out += [self.byte[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")]
         return out
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (mix(pair.astype(np.uint64)) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of each pair's merge, or -1."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.pair[at] == key), self.merged[at], -1)
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slot(key)
+        out = np.where((left >= 0) & (right >= 0) & (self.slot_pair[slot] == key), self.slot_merged[slot], -1)
+        rare = np.flatnonzero(self.slot_shared[slot] & (out < 0) & (left >= 0) & (right >= 0))
+        if len(rare):
+            at = np.minimum(np.searchsorted(self.pair, key[rare]), len(self.pair) - 1)
+            out[rare] = np.where(self.pair[at] == key[rare], self.merged[at], -1)
+        return out
 
     def by_heap(self, symbols: list[int], key: int, limit: int) -> list[int]:
         """The agenda over one chunk with a heap."""
@@ -165,194 +188,163 @@ class Model:
             push(a, nxt[a])
         return [s for s, g in zip(sym, gone, strict=True) if not g]
 
-    def together(self, flat: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int, skip: np.ndarray | None = None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda over many chunks, one merge of each per step; flat has their symbols in a row, as has the result.
-
-        With ``skip``, sorted ``skipping`` of chunks and candidates, these are skipped instead of what key and limit say; ``met``
-        gets the (chunks, candidates) that weren't.
-        """
-        n, width = len(size), int(size.max())
-        cols = np.arange(width)
-        sym = np.full((n, width), -1, dtype=np.int64)
-        sym[cols < size[:, None]] = flat
-        place = np.broadcast_to(cols, sym.shape).copy()  # where each symbol begins
-        to = np.full((n, width), -1, dtype=np.int64)  # what each symbol and the next merge to
+    # trees of states
+
+    def _new(self, sym: np.ndarray, place: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Nodes for states, a row each, padded to one width."""
+        n, width = sym.shape
+        inside = np.arange(width) < size[:, None]
         score = np.full((n, width), -np.inf)
-        done, done_size, live = sym.copy(), size.copy(), np.arange(n)
-
-        def renew(r: np.ndarray, c: np.ndarray) -> None:
-            """Candidates of (row, column): minus infinity where there is none or it is skipped."""
-            left, right = sym[r, c], sym[r, c + 1]
-            got = self.merge(left, right)
-            value = np.where(got >= 0, self.score[got], -np.inf)
-            if limit:
-                at = np.flatnonzero(got >= 0)
-                pair = (left[at] << 32 | right[at]).astype(np.uint64) + place[r[at], c[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                pair, own = mix(pair), live[r[at]]
-                if skip is None:
-                    off = mix(key[own] ^ pair) < np.uint64(limit)
-                else:
-                    off = np.isin(skipping(own, pair), skip) if len(skip) else np.zeros(len(at), dtype=bool)
-                value[at[off]] = -np.inf
-                if met is not None:
-                    met.append((own[~off], pair[~off]))
-            to[r, c], score[r, c] = got, value
-
-        renew(*np.nonzero(cols < size[:, None] - 1))
+        to = np.full((n, width), -1, dtype=np.int32)
+        r, c = np.nonzero(inside[:, 1:] & ~off[:, :-1])
+        got = self.merge(sym[r, c], sym[r, c + 1])
+        to[r, c], score[r, c] = got, np.where(got >= 0, self.score[got], -np.inf)
+        rows, best = np.arange(n), score.argmax(axis=1)
+        some = score[rows, best] > -np.inf
+        nxt = np.minimum(best + 1, width - 1)
+        pair = (sym[rows, best].astype(np.int64) << 32 | sym[rows, nxt]).astype(np.uint64)
+        total = int(size.sum())
+        self._room(self.nodes + n, self.used + total)
+        a, z = self.nodes, self.nodes + n
+        self.draw[a:z] = mix(pair + place[rows, best].astype(np.uint64) * _STEP)
+        self.best[a:z] = np.where(some, best, -1)
+        self.to[a:z] = to[rows, best]
+        self.next[2 * a : 2 * z] = -1
+        self.size[a:z] = size
+        self.first[a:z] = self.used + np.cumsum(size) - size
+        for kept, x in ((self.sym, sym), (self.place, place), (self.off, off)):
+            kept[self.used : self.used + total] = x[inside]
+        self.nodes, self.used = z, self.used + total
+        return np.arange(a, z)
+
+    def _room(self, nodes: int, symbols: int) -> None:
+        for names, need, per in ((("draw", "best", "to", "first", "size"), nodes, 1), (("next",), nodes, 2), (("sym", "place", "off"), symbols, 1)):
+            for name in names:
+                x = getattr(self, name)
+                if len(x) < need * per:
+                    setattr(self, name, np.concatenate([x, np.zeros(max(len(x), need * per - len(x)), dtype=x.dtype)]))
+
+    def _after(self, node: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """New nodes: what ``node`` leads to if its candidate merges, or where ``skip``, is skipped."""
+        out = np.zeros(len(node), dtype=np.int64)
+        sizes = self.size[node].astype(np.int64)
+        for low, high in ((1, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
+            part = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, len(part), 16384):
+                at = part[k : k + 16384]
+                size, skipped, who = sizes[at], skip[at], node[at]
+                cols, rows = np.arange(size.max()), np.arange(len(at))
+                where = np.minimum(self.first[who][:, None] + cols, self.used - 1)
+                sym, place, off = self.sym[where], self.place[where], self.off[where]
+                best = self.best[who].astype(np.int64)
+                off[rows, best] = skipped
+                met = np.flatnonzero(~skipped)
+                sym[met, best[met]] = self.to[who[met]]
+                left = met[best[met] > 0]
+                off[left, best[left] - 1] = False
+                after = ~skipped[:, None] & (cols[:-1] > best[:, None])  # columns that take over their right neighbour
+                for x in (sym, place, off):
+                    np.copyto(x[:, :-1], x[:, 1:].copy(), where=after)
+                out[at] = self._new(sym, place, off, size - ~skipped)
+        return out
+
+    def _roots(self, chunks: list[bytes]) -> np.ndarray:
+        """The node that each chunk begins at."""
+        missing = [c for c in chunks if c not in self.root]
+        if missing:
+            text = [c.decode() for c in missing]
+            size = np.fromiter(map(len, text), np.int64, len(text))
+            flat = self.symbols("".join(text))
+            first = np.cumsum(size) - size
+            for low, high in ((0, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
+                part = np.flatnonzero((size > low) & (size <= high))
+                for k in range(0, len(part), 16384):
+                    at = part[k : k + 16384]
+                    cols = np.arange(size[at].max())
+                    sym = flat[np.minimum(first[at][:, None] + cols, len(flat) - 1)]
+                    place = np.broadcast_to(cols.astype(np.int8), sym.shape)
+                    nodes = self._new(sym, place, np.zeros(sym.shape, dtype=bool), size[at])
+                    self.root.update(zip([missing[i] for i in at.tolist()], nodes.tolist(), strict=True))
+        return np.fromiter(map(self.root.__getitem__, chunks), np.int64, len(chunks))
+
+    def _walk(self, node: np.ndarray, own: np.ndarray, limit: int) -> np.ndarray:
+        """The node without candidates that each chunk, drawing by ``own``, comes to from ``node``."""
+        node, live = node.copy(), np.arange(len(node))
         while True:
-            best = score.argmax(axis=1)
-            on = score[np.arange(len(live)), best] > -np.inf
-            if not on.all():
-                done[live[~on]], done_size[live[~on]] = sym[~on], size[~on]
-                live, sym, place, to, score, best, size = (x[on] for x in (live, sym, place, to, score, best, size))
+            live = live[self.best[node[live]] >= 0]
             if not len(live):
-                return done[cols < done_size[:, None]], done_size
-            rows = np.arange(len(live))
-            sym[rows, best] = to[rows, best]
-            after = cols[:-1] > best[:, None]  # columns that take over their right neighbour
-            for x in (sym, place, to, score):
-                np.copyto(x[:, :-1], x[:, 1:].copy(), where=after)
-            size = size - 1
-            score[rows, np.maximum(size - 1, 0)] = -np.inf
-            for c in (best - 1, best):
-                ok = (c >= 0) & (c < size - 1)
-                renew(rows[ok], c[ok])
-
-    # many texts
-
-    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, own: np.ndarray, limit: int, skips: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """New rows for chunks that skip the candidates in skips (chunk, candidate), or for long ones what their own keys say."""
-        length = end - start
-        stop = np.cumsum(length)
-        data = text[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]
-        flat = self.symbols(data.tobytes().decode())
-        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        size = chars[stop] - chars[stop - length]
-        first = np.cumsum(size) - size
-        count, where = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []  # chunks and their ids in a row
-        seen: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]  # chunks and candidates
-        for low, high in ((0, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
-            at = np.flatnonzero((size > low) & (size <= high))
-            for k in range(0, len(at), 16384):
-                part = at[k : k + 16384]
-                n, met = size[part], []
-                where[:] = -1
-                where[part] = np.arange(len(part))
-                mine = where[skips[0]] >= 0
-                off = np.sort(skipping(where[skips[0][mine]], skips[1][mine]))
-                ids, m = self.together(flat[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, own[part], limit, off, met)
-                seen += [(part[c], x) for c, x in met]
-                if (ids < 0).any():
-                    owner = np.repeat(np.arange(len(part)), m)
-                    rows = [self.expand([x]) if x < 0 else [x] for x in ids.tolist()]
-                    m = np.bincount(owner, [len(x) for x in rows], minlength=len(part)).astype(np.int64)
-                    ids = np.array([x for row in rows for x in row])
-                count[part] = m
-                found.append((part, ids))
-        for i in np.flatnonzero(size > LONGEST).tolist():
-            ids = self.expand(self.by_heap(flat[first[i] : first[i] + size[i]].tolist(), int(own[i]), limit))
-            count[i] = len(ids)
-            found.append((np.array([i]), np.array(ids)))
-        flat = np.zeros(int(count.sum()), dtype=np.int32)
-        to = np.cumsum(count) - count
-        for part, ids in found:
-            n = count[part]
-            flat[np.repeat(to[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        r, at = self.rows, self.off[self.rows]
-        while at + len(flat) > len(self.kept):
-            self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
-        self.kept[at : at + len(flat)] = flat
-        self.off[r + 1 : r + 1 + len(keys)] = at + np.cumsum(count)
-        of, cand = (np.concatenate(x) for x in zip(*seen, strict=True))
-        order = np.lexsort((cand, of))
-        of, cand = of[order], cand[order]
-        new = np.ones(len(of), dtype=bool)
-        new[1:] = (of[1:] != of[:-1]) | (cand[1:] != cand[:-1])
-        of, cand, at = of[new], cand[new], self.met_off[r]
-        while at + len(cand) > len(self.met):
-            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
-        self.met[at : at + len(cand)] = cand
-        self.met_off[r + 1 : r + 1 + len(keys)] = at + np.cumsum(np.bincount(of, minlength=len(keys)))
-        self.rows += len(keys)
-        rows = np.arange(r, self.rows)
-        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        self.key[slot], self.row[slot] = keys, rows
-        return rows
+                return node
+            now = node[live]
+            skip = mix(own[live] ^ self.draw[now]) < np.uint64(limit)
+            edge = 2 * now + skip
+            to = self.next[edge].astype(np.int64)
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
+                u, back = np.unique(edge[missing], return_inverse=True)
+                new = self._after(u >> 1, (u & 1).astype(bool))
+                self.next[u] = new
+                to[missing] = new[back]
+            node[live] = to
 
     def encode(self, column: pa.Array, drawn: np.ndarray, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, whose keys are ``drawn``, in a row, and where each text's begin and end in it."""
         data, off = raw(strings(column))
-        limit = int(dropout * 2.0**64)
-        if limit != self.__dict__.get("_of"):
-            self.clear()
-            self._of = limit
+        limit = min(int(dropout * 2.0**64), _MASK)
         full = np.flatnonzero(np.diff(off) > 0)
         if not len(full):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         text = np.insert(data, off[full], 0x20)  # the space that stands before every text
         first = off[full] + np.arange(len(full))
-        begins = np.zeros(len(text), dtype=bool)
         before = np.concatenate([[0x0A], text[:-1]])
-        begins |= (text == 0x20) & (before != 0x20) | (text == 0x0A) != (before == 0x0A)
+        begins = (text == 0x20) & (before != 0x20) | (text == 0x0A) != (before == 0x0A)
         begins[first] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(text))
-        p = prefix(text.astype(np.uint64) + np.uint64(1), _BASE)
         of = np.searchsorted(first, start, "right") - 1
-        h = mix(range_hash(p, start, end, _BASE) + (end - start).astype(np.uint64))
         own = mix(drawn[full][of] ^ mix((start - first[of]).astype(np.uint64)))
-        if limit:  # long chunks are what their own keys say, and kept so
-            chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
-            long = chars[end] - chars[start] > LONGEST
-            h[long] = mix(h[long] ^ own[long])
-        out = self._ids(h, start, end, text, own, limit)
-        edge = np.concatenate([[0], out[1]])[np.append(np.searchsorted(start, first), len(start))]
+        got = [self._block(text, start[k : k + BLOCK_CHUNKS], end[k : k + BLOCK_CHUNKS], own[k : k + BLOCK_CHUNKS], limit) for k in range(0, len(start), BLOCK_CHUNKS)]
+        ids, size = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        edge = np.concatenate([[0], np.cumsum(size)])[np.append(np.searchsorted(start, first), len(start))]
         at = np.zeros(len(off), dtype=np.int64)
         at[full + 1] = np.diff(edge)
-        return out[0], np.cumsum(at)
+        return ids, np.cumsum(at)
 
-    def _ids(self, h, start, end, text, own, limit) -> tuple[np.ndarray, np.ndarray]:
-        """All chunks' ids in a row, and each chunk's end in it."""
-        row = self._rows(h, start, end, text, own, limit)
-        if row is None:
+    def _block(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some chunks in a row, and how many each has."""
+        if self.nodes > CACHE_NODES:
             self.clear()
-            row = self._rows(h, start, end, text, own, limit)
-        if row is None:  # more than is kept: one half after the other
-            half = len(h) // 2
-            a, b = (self._ids(h[x], start[x], end[x], text, own[x], limit) for x in (slice(half), slice(half, None)))
-            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + len(a[0])])
-        size = self.off[row + 1] - self.off[row]
+        chars = np.concatenate([[0], np.cumsum((text[start[0] : end[-1]] & 0xC0) != 0x80)])
+        short = chars[end - start[0]] - chars[start - start[0]] <= LONGEST
+        number, values = distinct(text, start, end)
+        used = np.unique(number[short])
+        root = np.zeros(len(values), dtype=np.int64)
+        root[used] = self._roots(values.take(pa.array(used)).to_pylist())
+        leaf = self._walk(root[number[short]], own[short], limit)
+        size = np.zeros(len(start), dtype=np.int64)
+        size[short] = n = self.size[leaf]
+        flat = self.sym[_spans(self.first[leaf], n.astype(np.int64))]
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):  # characters without a piece
+            rows = [self.expand([x]) for x in flat[odd].tolist()]
+            more = np.fromiter(map(len, rows), np.int64, len(rows))
+            size[short] += np.bincount(np.repeat(np.arange(len(n)), n)[odd], more - 1, minlength=len(n)).astype(np.int64)
+            width = np.ones(len(flat), dtype=np.int64)
+            width[odd] = more
+            flat = np.repeat(flat, width)
+            flat[_spans((np.cumsum(width) - width)[odd], more)] = [x for row in rows for x in row]
+        long = {}
+        for i in np.flatnonzero(~short).tolist():
+            symbols = self.symbols(text[start[i] : end[i]].tobytes().decode())
+            long[i] = self.expand(self.by_heap(symbols.tolist(), int(own[i]), limit))
+            size[i] = len(long[i])
+        if not long:
+            return flat, size
         stop = np.cumsum(size)
-        return self.kept[_spans(self.off[row], size)], stop
-
-    def _rows(self, h, start, end, text, own, limit) -> np.ndarray | None:
-        """The kept row of each chunk, or None if there is no room for all."""
-        row, state, live = np.zeros(len(h), dtype=np.int64), h | np.uint64(1), np.arange(len(h))
-        of, skipped = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # candidates that chunks skip, in order of chunks
-        while len(live):
-            now = state[live]
-            slot = (now & np.uint64(self.SLOTS - 1)).astype(np.int64)
-            got = np.where(self.key[slot] == now, self.row[slot], -1)
-            missing = np.flatnonzero(got < 0)
-            if len(missing):
-                u, at, back = np.unique(now[missing], return_index=True, return_inverse=True)
-                if self.rows + len(u) > CACHE_CHUNKS:
-                    return None
-                at = live[missing[at]]
-                low, high = np.searchsorted(of, at), np.searchsorted(of, at, "right")
-                skips = np.repeat(np.arange(len(u)), high - low), skipped[_spans(low, high - low)]
-                got[missing] = self._add(u, start[at], end[at], text, own[at], limit, skips)[back]
-            row[live] = got
-            n = self.met_off[got + 1] - self.met_off[got]
-            cand, who = self.met[_spans(self.met_off[got], n)], np.repeat(live, n)
-            hit = mix(own[who] ^ cand) < np.uint64(limit)
-            who, cand = who[hit], cand[hit]
-            live = np.unique(who)
-            np.add.at(state, who, mix(cand) << np.uint64(1))  # the same for the same set
-            order = np.argsort(np.concatenate([of, who]), kind="stable")
-            of, skipped = np.concatenate([of, who])[order], np.concatenate([skipped, cand])[order]
-        return row
+        out = np.zeros(int(stop[-1]), dtype=np.int32)
+        out[_spans((stop - size)[short], size[short])] = flat
+        for i, ids in long.items():
+            out[stop[i] - size[i] : stop[i]] = ids
+        return out, size
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The texts of ids[off[i]:off[i + 1]]."""
@@ -369,11 +361,6 @@ def keys(ids: np.ndarray, known: np.ndarray, copies: np.ndarray, seed: int = SEE
     return mix(mix(own ^ np.uint64(seed & _MASK)) + mix(copies.astype(np.int64).view(np.uint64)))
 
 
-def skipping(chunk: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """A hash of each chunk and candidate."""
-    return mix(candidate ^ mix(chunk.astype(np.uint64) + np.uint64(1)))
-
-
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start..start + size - 1 of each, in a row."""
     stop = np.cumsum(size)

@@ -20,8 +20,9 @@ def test_every_occurrence_is_its_own_agenda(monkeypatch):
     texts = [" ".join(rnd.choice(some) for _ in range(rnd.randrange(0, 300))) for _ in range(30)]
     drawn = pieces.keys(np.arange(30) // 2, np.ones(30, bool), np.arange(30) % 2)
     limit = int(0.3 * 2.0**64)
-    for most in (pieces.CACHE_CHUNKS, 100):
-        monkeypatch.setattr(pieces, "CACHE_CHUNKS", most)
+    for most, block in ((pieces.CACHE_NODES, pieces.BLOCK_CHUNKS), (100, 7)):
+        monkeypatch.setattr(pieces, "CACHE_NODES", most)
+        monkeypatch.setattr(pieces, "BLOCK_CHUNKS", block)
         m.clear()
         ids, off = m.encode(pa.array(texts), drawn, 0.3)
         for i, t in enumerate(texts):
