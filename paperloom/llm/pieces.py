@@ -40,7 +40,11 @@ DROPOUT = 0.1
 SEED = 20_240_601
 LONGEST = 40
 CACHE_NODES = 1_000_000
-BLOCK_CHUNKS = 1 << 16
+SLICE_BYTES = 2 << 20
+BLOCK_CHUNKS = 1 << 18
+_NONE = (1 << 31) - 1
+_SKIPPED = 64
+_WIDTHS = ((0, 8), (8, 16), (16, LONGEST))
 #: Fixed value: the mark for a space in pieces.
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +63,7 @@ def _mix(x: int) -> int:
 class Model:
     """Pieces, scores and the table of merges of a model file."""
 
-    SLOT_BITS = 21
+    SLOT_BITS = 19
     _loaded: dict[str, Model] = {}
 
     def __init__(self, path: str):
@@ -84,6 +88,8 @@ class Model:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     to.append(i)
+        # pieces by score, the best first; equal scores share a place, and -1, no piece, comes last
+        self.rank = np.append(np.unique(-self.score, return_inverse=True)[1], _NONE).astype(np.int32)
         order = np.argsort(keys)
         self.pair, self.merged = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
         # a table of pairs by slot; pairs that share a slot are looked up by bisection
@@ -118,12 +124,11 @@ class Model:
         self.best = np.zeros(n, dtype=np.int8)  # its place, or -1: no candidate is left
         self.to = np.zeros(n, dtype=np.int32)  # what it merges to
         self.next = np.zeros(2 * n, dtype=np.int32)  # node 2 * i merges, 2 * i + 1 skips; -1: not reached yet
-        self.first = np.zeros(n, dtype=np.int64)  # the node's symbols, in the three arrays below
+        self.first = np.zeros(n, dtype=np.int64)  # the node's symbols, in the two arrays below
         self.size = np.zeros(n, dtype=np.int8)
         self.used = 0
         self.sym = np.zeros(8 * n, dtype=np.int32)
-        self.place = np.zeros(8 * n, dtype=np.int8)  # where each symbol begins
-        self.off = np.zeros(8 * n, dtype=bool)  # whether the candidate of a symbol and the next is skipped
+        self.mark = np.zeros(8 * n, dtype=np.int8)  # where each symbol begins, and _SKIPPED if the candidate of it and the next is
 
     # symbols are vocabulary ids, or -1 - code point where there is no piece
 
@@ -145,14 +150,14 @@ class Model:
         return out
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
-        return (mix(pair.astype(np.uint64)) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        return ((pair.astype(np.uint64) * _STEP) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
 
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of each pair's merge, or -1."""
-        key = left.astype(np.int64) << 32 | right
+        key = left.astype(np.int64) << 32 | right  # negative symbols give keys that no pair has
         slot = self._slot(key)
-        out = np.where((left >= 0) & (right >= 0) & (self.slot_pair[slot] == key), self.slot_merged[slot], -1)
-        rare = np.flatnonzero(self.slot_shared[slot] & (out < 0) & (left >= 0) & (right >= 0))
+        out = np.where(self.slot_pair[slot] == key, self.slot_merged[slot], -1)
+        rare = np.flatnonzero(self.slot_shared[slot] & (out < 0))
         if len(rare):
             at = np.minimum(np.searchsorted(self.pair, key[rare]), len(self.pair) - 1)
             out[rare] = np.where(self.pair[at] == key[rare], self.merged[at], -1)
@@ -190,35 +195,34 @@ class Model:
 
     # trees of states
 
-    def _new(self, sym: np.ndarray, place: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _new(self, sym: np.ndarray, mark: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Nodes for states, a row each, padded to one width."""
         n, width = sym.shape
         inside = np.arange(width) < size[:, None]
-        score = np.full((n, width), -np.inf)
-        to = np.full((n, width), -1, dtype=np.int32)
-        r, c = np.nonzero(inside[:, 1:] & ~off[:, :-1])
-        got = self.merge(sym[r, c], sym[r, c + 1])
-        to[r, c], score[r, c] = got, np.where(got >= 0, self.score[got], -np.inf)
-        rows, best = np.arange(n), score.argmax(axis=1)
-        some = score[rows, best] > -np.inf
-        nxt = np.minimum(best + 1, width - 1)
-        pair = (sym[rows, best].astype(np.int64) << 32 | sym[rows, nxt]).astype(np.uint64)
+        rank = np.full((n, width), _NONE, dtype=np.int32)
+        at = np.flatnonzero(inside[:, 1:] & (mark[:, :-1] < _SKIPPED))
+        at += at // (width - 1) if width > 1 else 0
+        flat = sym.ravel()
+        rank.ravel()[at] = self.rank[self.merge(flat[at], flat[at + 1])]
+        rows, best = np.arange(n), rank.argmin(axis=1)
+        some = rank[rows, best] < _NONE
+        left, right = sym[rows, best].astype(np.int64), sym[rows, np.minimum(best + 1, width - 1)]
         total = int(size.sum())
         self._room(self.nodes + n, self.used + total)
         a, z = self.nodes, self.nodes + n
-        self.draw[a:z] = mix(pair + place[rows, best].astype(np.uint64) * _STEP)
+        self.draw[a:z] = mix((left << 32 | right).astype(np.uint64) + (mark[rows, best] & (_SKIPPED - 1)).astype(np.uint64) * _STEP)
         self.best[a:z] = np.where(some, best, -1)
-        self.to[a:z] = to[rows, best]
+        self.to[a:z] = self.merge(left, right)
         self.next[2 * a : 2 * z] = -1
         self.size[a:z] = size
         self.first[a:z] = self.used + np.cumsum(size) - size
-        for kept, x in ((self.sym, sym), (self.place, place), (self.off, off)):
+        for kept, x in ((self.sym, sym), (self.mark, mark)):
             kept[self.used : self.used + total] = x[inside]
         self.nodes, self.used = z, self.used + total
         return np.arange(a, z)
 
     def _room(self, nodes: int, symbols: int) -> None:
-        for names, need, per in ((("draw", "best", "to", "first", "size"), nodes, 1), (("next",), nodes, 2), (("sym", "place", "off"), symbols, 1)):
+        for names, need, per in ((("draw", "best", "to", "first", "size"), nodes, 1), (("next",), nodes, 2), (("sym", "mark"), symbols, 1)):
             for name in names:
                 x = getattr(self, name)
                 if len(x) < need * per:
@@ -228,24 +232,24 @@ class Model:
         """New nodes: what ``node`` leads to if its candidate merges, or where ``skip``, is skipped."""
         out = np.zeros(len(node), dtype=np.int64)
         sizes = self.size[node].astype(np.int64)
-        for low, high in ((1, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
+        for low, high in _WIDTHS:
             part = np.flatnonzero((sizes > low) & (sizes <= high))
             for k in range(0, len(part), 16384):
                 at = part[k : k + 16384]
                 size, skipped, who = sizes[at], skip[at], node[at]
                 cols, rows = np.arange(size.max()), np.arange(len(at))
                 where = np.minimum(self.first[who][:, None] + cols, self.used - 1)
-                sym, place, off = self.sym[where], self.place[where], self.off[where]
+                sym, mark = self.sym[where], self.mark[where]
                 best = self.best[who].astype(np.int64)
-                off[rows, best] = skipped
+                mark[rows[skipped], best[skipped]] |= _SKIPPED
                 met = np.flatnonzero(~skipped)
                 sym[met, best[met]] = self.to[who[met]]
                 left = met[best[met] > 0]
-                off[left, best[left] - 1] = False
+                mark[left, best[left] - 1] &= _SKIPPED - 1
                 after = ~skipped[:, None] & (cols[:-1] > best[:, None])  # columns that take over their right neighbour
-                for x in (sym, place, off):
+                for x in (sym, mark):
                     np.copyto(x[:, :-1], x[:, 1:].copy(), where=after)
-                out[at] = self._new(sym, place, off, size - ~skipped)
+                out[at] = self._new(sym, mark, size - ~skipped)
         return out
 
     def _roots(self, chunks: list[bytes]) -> np.ndarray:
@@ -256,14 +260,13 @@ class Model:
             size = np.fromiter(map(len, text), np.int64, len(text))
             flat = self.symbols("".join(text))
             first = np.cumsum(size) - size
-            for low, high in ((0, 6), (6, 10), (10, 16), (16, 26), (26, LONGEST)):
+            for low, high in _WIDTHS:
                 part = np.flatnonzero((size > low) & (size <= high))
                 for k in range(0, len(part), 16384):
                     at = part[k : k + 16384]
                     cols = np.arange(size[at].max())
                     sym = flat[np.minimum(first[at][:, None] + cols, len(flat) - 1)]
-                    place = np.broadcast_to(cols.astype(np.int8), sym.shape)
-                    nodes = self._new(sym, place, np.zeros(sym.shape, dtype=bool), size[at])
+                    nodes = self._new(sym, np.broadcast_to(cols.astype(np.int8), sym.shape), size[at])
                     self.root.update(zip([missing[i] for i in at.tolist()], nodes.tolist(), strict=True))
         return np.fromiter(map(self.root.__getitem__, chunks), np.int64, len(chunks))
 
@@ -379,7 +382,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.at(model)
         for b in batches:
-            for s in slices(b, "__text"):
+            for s in slices(b, "__text", SLICE_BYTES):
                 key = s.column("__id")
                 drawn = keys(key.fill_null(0).to_numpy(), np.asarray(key.is_valid()), s.column("__copy").to_numpy(), seed)
                 ids, off = m.encode(s.column("__text"), drawn, dropout)
