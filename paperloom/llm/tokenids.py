@@ -20,7 +20,6 @@ ignored.
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,7 +44,8 @@ HEADER = struct.Struct(">8sqqqqqq")  # magic, place, ids, documents, ids in a bl
 BLOCK = 1024
 FILE_IDS = 1 << 20
 END_ID = 2
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,8 +172,8 @@ class Encoder:
     """The vocabulary file's encoder.
 
     Byte-level pieces are encoded independently of each other.  In plain texts the pieces are cut
-    by byte classes, all at once; the ids of up to ``CACHE_PIECES`` pieces are kept, and only new
-    pieces go to the encoder.  Texts with apostrophes, rarer characters or
+    by byte classes, all at once; the ids of the last ``CACHE_PIECES`` pieces at least are kept, and
+    only new pieces go to the encoder.  Texts with apostrophes, rarer characters or
     the vocabulary's special token go to it whole.
     """
 
@@ -185,7 +185,8 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.clear()
+        self.kept: dict[bytes, bytes] = {}  # piece -> its ids, little-endian
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -193,26 +194,24 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.off = np.zeros(CACHE_PIECES + 1, dtype=np.int64)
-
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, pieces: list[bytes]) -> None:
-        encode = self.whole.model.tokenize  # a piece needs no further splitting
-        got = [[t.id for t in encode(p.decode("latin1").translate(_ALPHABET))] for p in pieces]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        r = len(self.row)
-        at = self.off[r]
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
-        while at + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[at : at + len(flat)] = flat
-        self.off[r + 1 : r + 1 + len(got)] = at + np.cumsum(size)
-        self.row.update(zip(pieces, range(r, r + len(got)), strict=True))
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, each as bytes."""
+        if len(self.kept) > CACHE_PIECES:
+            self.kept, self.older = {}, self.kept
+        kept, older, encode = self.kept, self.older, self.whole.model.tokenize  # a piece needs no further splitting
+        out = list(map(kept.get, pieces))
+        for i, ids in enumerate(out):
+            if ids is None:
+                p = pieces[i]
+                ids = older.get(p)
+                if ids is None:
+                    got = [t.id for t in encode(p.decode("latin1").translate(_ALPHABET))]
+                    ids = struct.pack(f"<{len(got)}I", *got)
+                kept[p] = out[i] = ids
+        return out
 
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain texts without empty ones, and how many each has."""
@@ -230,23 +229,11 @@ class Encoder:
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         number, values = distinct(data, start, end)
-        pieces = values.to_pylist()
-        missing = [p for p in pieces if p not in self.row]
-        if len(self.row) + len(missing) > CACHE_PIECES and self.row:
-            self.clear()
-            return self._plain(data, off)
-        if len(missing) > CACHE_PIECES:  # one text with more pieces than are kept
-            half = len(off) // 2
-            if half and len(off) > 2:
-                a, b = self._plain(data[: off[half]], off[: half + 1]), self._plain(data[off[half] :], off[half:] - off[half])
-                return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-            got = self._encode([data.tobytes().decode()])[0]
-            return np.array(got, dtype=np.uint32), np.array([len(got)])
-        self._add(missing)
-        row = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))[number]
-        size = self.off[row + 1] - self.off[row]
+        found = self._ids_of(values.to_pylist())
+        of = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size, first = of[number], (np.cumsum(of) - of)[number]
         stop = np.cumsum(size)
-        out = self.ids[np.repeat(self.off[row] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        out = np.frombuffer(b"".join(found), "<u4")[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
         edge = np.concatenate([[0], stop])[np.searchsorted(start, off)]
         return out, np.diff(edge)
 
@@ -295,7 +282,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["file"])
 
         for b in batches:
-            for piece in slices(b, "text"):
+            for piece in slices(b, "text", SLICE_BYTES):
                 keys += piece.column("doc_id").to_pylist()
                 new = [np.concatenate([x, end]) for x in encoder.encode(piece.column("text"))]
                 held += new
