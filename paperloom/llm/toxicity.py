@@ -6,15 +6,14 @@ are the buckets present in its whole text.  The machine scores
 w0 + sum of w_i + sum over pairs of <v_i, v_j>, so two terms that are harmless alone can add up
 to more than their weights, which a linear model can't express.
 
-Fitting takes at most ``TRAIN_ROWS`` labelled documents, those whose hashed ids are smallest, and
-of their buckets the ``FEATURES`` that tell the classes apart best; it runs in numpy on the
-driver, with memory bounded by those two numbers: class counts come as a row per bucket, and each
-document as the rows of weights that it has.  Scoring reads every text in full, by Arrow
-batches, without a shuffle.
+Fitting takes at most ``TRAIN_ROWS`` labelled documents, those whose hashed ids are smallest, with all
+their buckets; it runs in numpy on the driver, in mini-batches, with memory bounded by that number.
+Buckets that none of them has weigh nothing.  Scoring reads every text in full, by Arrow batches,
+without a shuffle.
 
 Defined results: a null or empty text has no feature and the score of the bias alone; a label
-that is null is no label, and of several labels of one id the largest holds; without labels of
-both classes the score is the smoothed share of toxic labels; a null id belongs to the held-out
+that is null is no label, and of several labels of one id the largest holds; of several documents
+with one labelled id that with the least list of buckets is learned from; without labels of both classes the score is the smoothed share of toxic labels; a null id belongs to the held-out
 part; repeated rows score alike; columns of the input named like an output are replaced.
 """
 
@@ -33,9 +32,12 @@ from paperloom.llm.words import LOWER, NOT_TERM, Words, slices, split
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 20_000
-FEATURES = 2048
 FACTORS = 8
-EPOCHS = 300
+#: Passes over the sample, and steps at least.
+EPOCHS = 5
+STEPS = 300
+BATCH = 256
+SURE = 6.0
 #: Lengths in bytes of the prefixes that longer terms are hashed by as well (stems with endings).
 PREFIXES = (4, 5)
 FOLDS = 5
@@ -57,71 +59,82 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """slot: each bucket's row of weights, or -1; bias, linear weights, factors."""
+    """Bias, linear weights and factors by bucket, the bucket's value in a document multiplied in."""
 
-    slot: np.ndarray
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
-    def score(self, owner: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities of n texts from (owner, row of weights) pairs."""
-        z = np.full(n, self.bias) + np.bincount(owner, self.linear[row], minlength=n)
-        for v in self.factors.T:
-            s = np.bincount(owner, v[row], minlength=n)
-            z += 0.5 * (s * s - np.bincount(owner, v[row] ** 2, minlength=n))
+    def score(self, owner: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of n texts from (owner, bucket) pairs."""
+        z = np.full(n, self.bias) + np.bincount(owner, self.linear[bucket], minlength=n)
+        v = self.factors[bucket].astype(np.float64)
+        for f in v.T:
+            s = np.bincount(owner, f, minlength=n)
+            z += 0.5 * (s * s - np.bincount(owner, f * f, minlength=n))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score_texts(self, column: pa.Array) -> np.ndarray:
         owner, bucket = features(column)
-        row = self.slot[bucket].astype(np.int64)
-        return self.score(owner[row >= 0], row[row >= 0], len(column))
+        return self.score(owner, bucket, len(column))
 
 
-def choose(with_it: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
-    """The rows of weights of the buckets that tell the classes apart best, -1 for the others.
+def values(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each bucket's value where it is present, in [0, 1): the surer it tells the classes apart, the nearer to 1.
 
-    with_it and toxic count the documents with each bucket, and the toxic ones among them.
+    z is the bucket's distance between the classes in standard errors; the value is z^2 / (z^2 + SURE^2).
     """
-    slot = np.full(BUCKETS, -1, dtype=np.int16)
-    if n == 0 or positive in (0, n):
-        return slot
-    a, b = (toxic + 0.5) / (positive + 1), (with_it - toxic + 0.5) / (n - positive + 1)
+    n, positive = len(labels), float(labels.sum())
+    with_it = np.bincount(bucket, minlength=BUCKETS)
+    toxic = np.bincount(bucket, labels[owner], minlength=BUCKETS)
+    a, b = toxic / positive, (with_it - toxic) / (n - positive)
     pooled = (with_it + 1) / (n + 2)
-    z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / (positive + 1) + 1 / (n - positive + 1)))
-    z[with_it < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z > 2).sum()))])
-    slot[chosen] = np.arange(len(chosen))
-    return slot
+    z = (a - b) ** 2 / (pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)))
+    return z / (z + SURE**2)
 
 
-def fit_machine(slot: np.ndarray, owner: np.ndarray, row: np.ndarray, labels: np.ndarray, seed: int = 1, l2: float = 2e-5, rate: float = 0.05) -> Machine:
-    """Fits on (owner, row of weights) pairs by full-batch Adam; the same input gives the same machine."""
+def fit_machine(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, seed: int = 1, l2: float = 1e-5, rate: float = 0.05) -> Machine:
+    """Fits on (owner, bucket) pairs, ascending by owner, by Adagrad over mini-batches; the same input gives the same machine."""
     y = labels.astype(np.float64)
     n, positive = len(y), float(y.sum())
     prior = (positive + 1) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
-    m = int(slot.max()) + 1
-    if m == 0:
-        return Machine(slot, bias, np.zeros(0), np.zeros((0, FACTORS)))
-    theta = np.concatenate([[bias], np.zeros(m), np.random.default_rng(seed).normal(0, 0.02, m * FACTORS)])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, EPOCHS + 1):
-        lin, fac = theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS)
-        score = Machine(slot, theta[0], lin, fac).score(owner, row, n)
-        g = (score - y) / n
-        grad = np.empty_like(theta)
-        grad[0] = g.sum()
-        per = np.bincount(row, g[owner], minlength=m)
-        grad[1 : m + 1] = per + l2 * lin
-        gf = grad[m + 1 :].reshape(m, FACTORS)
-        for f in range(FACTORS):
-            s = np.bincount(owner, fac[row, f], minlength=n)
-            gf[:, f] = np.bincount(row, (g * s)[owner], minlength=m) - fac[:, f] * per + l2 * fac[:, f]
-        first += 0.1 * (grad - first)
-        second += 0.01 * (grad * grad - second)
-        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Machine(slot, float(theta[0]), theta[1 : m + 1].copy(), theta[m + 1 :].reshape(m, FACTORS).copy())
+    linear, factors = np.zeros(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, FACTORS), dtype=np.float32)
+    if positive in (0, n):
+        return Machine(bias, linear, factors)
+    used, row = np.unique(bucket, return_inverse=True)
+    value = values(owner, bucket, labels)[used]
+    rng = np.random.default_rng(seed)
+    theta = np.concatenate([np.zeros((len(used), 1)), rng.normal(0, 0.02, (len(used), FACTORS))], axis=1)  # linear weight, factors
+    past, past_bias = np.full(theta.shape, 1e-8), 1e-8
+    first = np.searchsorted(owner, np.arange(n + 1))
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
+        order = rng.permutation(n)
+        for k in range(0, n, BATCH):
+            docs = order[k : k + BATCH]
+            size = first[docs + 1] - first[docs]
+            who = np.repeat(np.arange(len(docs)), size)
+            rows, own = np.unique(row[np.repeat(first[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_inverse=True)
+            x = value[rows, None]
+            w = theta[rows] * x
+            z = bias + np.bincount(who, w[own, 0], minlength=len(docs))
+            sums = [np.bincount(who, w[own, f], minlength=len(docs)) for f in range(1, FACTORS + 1)]
+            for f, s in enumerate(sums, 1):
+                z += 0.5 * (s * s - np.bincount(who, w[own, f] ** 2, minlength=len(docs)))
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]
+            grad = np.zeros_like(w)
+            per = np.bincount(own, g[who], minlength=len(rows))
+            grad[:, 0] += per
+            for f, s in enumerate(sums, 1):
+                grad[:, f] += np.bincount(own, (g * s)[who], minlength=len(rows)) - w[:, f] * per
+            grad = grad * x + l2 * theta[rows]
+            past[rows] += grad * grad
+            theta[rows] -= rate * grad / np.sqrt(past[rows])
+            past_bias += g.sum() ** 2
+            bias -= rate * float(g.sum() / np.sqrt(past_bias))
+    theta *= value[:, None]
+    linear[used], factors[used] = theta[:, 0], theta[:, 1:]
+    return Machine(bias, linear, factors)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,40 +147,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = join_small(docs.select("doc_id", F.col("text").cast("string").alias("__text")), known, "doc_id", "inner")
 
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in slices(b, "__text"):
-                owner, bucket = features(s.column("__text"))
-                y = s.column("__toxic").to_numpy(zero_copy_only=False)
-                n = np.bincount(bucket, minlength=BUCKETS)
-                toxic = np.bincount(bucket, y[owner], minlength=BUCKETS).astype(np.int64)
-                at = np.append(np.flatnonzero(n), -1)  # the last row counts documents
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(n[at[:-1]], len(y))), pa.array(np.append(toxic[at[:-1]], int(y.sum())))], ["bucket", "n", "toxic"])
-
-    counts = chosen.mapInArrow(count, "bucket long, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    table = counts.toPandas()  # a row per bucket at most
-    whole = table[table.bucket == -1]
-    rest = table[table.bucket >= 0]
-    with_it, toxic = (np.bincount(rest.bucket, rest[c], minlength=BUCKETS).astype(np.int64) for c in ("n", "toxic"))
-    slot = choose(with_it, toxic, int(whole.n.sum()), float(whole.toxic.sum()))
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, "__text"):
                 owner, bucket = features(s.column("__text"))
-                row = slot[bucket]
-                owner, row = owner[row >= 0], row[row >= 0].astype("<i2")
+                bucket = bucket.astype("<i4")
                 off = np.searchsorted(owner, np.arange(s.num_rows + 1)).tolist()
-                got = [row[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("__toxic").cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "toxic", "rows"])
+                got = [bucket[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("__toxic").cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "toxic", "buckets"])
 
-    picked = chosen.mapInArrow(pick, "doc_id long, toxic int, rows binary").limit(2 * rows)  # ids may repeat
-    got = sorted((r[0], r[1], bytes(r[2])) for r in picked.collect())
-    lists = [np.frombuffer(r[2], "<i2") for r in got]
+    picked = chosen.mapInArrow(pick, "doc_id long, toxic int, buckets binary")
+    one = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets"))  # ids may repeat
+    got = sorted((r[0], r[1], bytes(r[2])) for r in one.collect())  # TRAIN_ROWS at most
+    lists = [np.frombuffer(r[2], "<i4") for r in got]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    row = np.concatenate([np.zeros(0, np.int16), *lists]).astype(np.int64)
-    return fit_machine(slot, owner, row, np.array([r[1] for r in got]))
+    return fit_machine(owner, np.concatenate([np.zeros(0, np.int32), *lists]), np.array([r[1] for r in got]))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
