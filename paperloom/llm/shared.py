@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.plans.scratch import checkpointed, delete
+from paperloom.plans.scratch import fresh as fresh_dir
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset (tests in local
-    mode) a folder of our own is made and set, so that ``checkpoint()`` works there too.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; no two calls return the same one."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, lineage cut; survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "delete", "fresh_dir", "join_small", "read_blobs", "saved", "write_blobs"]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

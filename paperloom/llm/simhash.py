@@ -8,17 +8,17 @@
 4. Candidates share the bits of some set of blocks: with the 64 bits in b blocks, fingerprints at
    most d bits apart agree in b - d blocks at least, so keys over all sets of b - d blocks lose
    none.  b grows with the number of fingerprints, so that keys stay about as long as its
-   logarithm; every b gives the same links.
+   logarithm; every b gives the same links.  A key that too many fingerprints share is replaced by
+   finer ones in the same way.
 5. Within a key, rows are sorted by their distance to the first pivot and compared only within d
    of it; pairs are discarded by the largest coordinate difference over all pivots, and the
-   survivors are verified on the fingerprints themselves.  Keys with over ``TILE`` fingerprints
-   are dealt out as pairs of tiles of about that size, so no task holds such a group, and a task
-   passes on a spanning star of each connected set, not its pairs.
+   survivors are verified on the fingerprints themselves.  Finest keys with over ``TILE``
+   fingerprints are dealt out as pairs of tiles of about that size, so no task holds such a group,
+   and a task passes on a spanning star of each connected set, not its pairs.
 6. Connected components over the stars; the least document id names each.
 
-``keep_one`` is the pipeline's stage.  Near copies of a similarity of 0.8 are some nine of 64 bits
-apart, out of reach of exact block keys, so it takes no fingerprints (and no pivots, which tell
-nothing apart at such distances) but the sets of five-word shingles themselves, see ``near_linked``.
+``keep_one`` is the pipeline's stage: copies up to four bits apart are found so, over five-word
+shingles, then verified and completed to all pairs of a similarity of 0.8, see ``near_linked``.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; null ids are never the least of a component (a
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.graph import components
-from paperloom.llm.shared import checkpointed, join_small
+from paperloom.llm.shared import checkpointed, delete, fresh_dir, join_small
 from paperloom.llm.words import mix, normal_form, slices, split
 
 SHINGLE = 4
@@ -46,6 +46,7 @@ BITS = 4
 SEED = 42
 PIVOTS = 16
 TILE = 512
+LEVELS = 2
 
 
 def simhash(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -128,25 +129,38 @@ def blocks_for(n: int, d: int = BITS) -> int:
     return b
 
 
-def block_keys(fp: Column, blocks: int, d: int = BITS) -> Column:
-    """An array of (set of blocks, bits of fp in them)."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = []
-    for chosen in itertools.combinations(range(blocks), blocks - d):
-        m = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    return F.array(*[F.struct(F.lit(i).alias("kind"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+def _cut(bits: list[int], blocks: int, least: int) -> list[int]:
+    """Masks of all sets of ``least`` blocks, the bits being cut into ``blocks`` of about one size."""
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    part = [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(blocks)]
+    return [sum(part[i] for i in chosen) for chosen in itertools.combinations(range(blocks), least)]
+
+
+def block_masks(blocks: int, d: int = BITS) -> list[int]:
+    """Masks of the sets of blocks, one of which any two fingerprints at most d bits apart agree in."""
+    return _cut(list(range(64)), blocks, blocks - d)
+
+
+def finer_masks(masks: list[int], d: int = BITS) -> list[int]:
+    """For each mask, it and two of the d + 2 blocks that the other bits are cut into: as many masks for each, in a row."""
+    return [m | x for m in masks for x in _cut([b for b in range(64) if not m >> b & 1], d + 2, 2)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _stars(d: int):
-    """Rows sorted by group (kind, key, low, high) -> edges (a, b) from each linked row to the least of its set.
+    """Rows sorted by group (level, kind, key, low, high) -> edges (a, b) from each linked row to the least of its set.
 
     Rows have an id, which is their fingerprint, and pivot distances packed into p0 and p1.
     """
 
+    by = ("level", "kind", "key", "low", "high")
+
     def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n = len(c["id"])
-        group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in ("kind", "key", "low", "high")], axis=0)])) if n else np.zeros(0, int)
+        group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in by], axis=0)])) if n else np.zeros(0, int)
         table = np.column_stack([c["p0"], c["p1"]]).astype("<i8").view("u1").reshape(n, -1).astype(np.int16)
         order = np.lexsort((table[:, 0], group))
         group, table, ids = group[order], table[order], c["id"][order]
@@ -187,7 +201,7 @@ def _stars(d: int):
         x = np.flatnonzero(label != np.arange(n))
         return ids[x], ids[label[x]]
 
-    return _by_group(links, ("kind", "key", "low", "high"), ("tile", "id", "p0", "p1"), ["a", "b"])
+    return _by_group(links, by, ("tile", "id", "p0", "p1"), ["a", "b"])
 
 
 def _by_group(links, by: tuple[str, ...], more: tuple[str, ...], out_names: list[str]):
@@ -217,20 +231,34 @@ def _by_group(links, by: tuple[str, ...], more: tuple[str, ...], out_names: list
 def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``nodes`` (fp) at most d bits apart.
 
-    Each edge joins fingerprints that a chain of verified pairs connects.
+    Each edge joins fingerprints that a chain of verified pairs connects.  A key that more than
+    ``tile`` fingerprints share is replaced by finer ones: its other bits are cut into d + 2 blocks,
+    of which two at least agree as well, and so on up to ``LEVELS`` times.  Only what is still
+    larger is dealt out as pairs of tiles.
     """
-    table = pivot_table(nodes)
-    blocks = blocks_for(nodes.count(), d)
-    keys = block_keys(F.col("fp"), blocks, d)
-    keyed = checkpointed(table.withColumn("k", F.explode(keys)).select("k.*", F.col("fp").alias("id"), "p0", "p1"))
-    by = ["kind", "key", "low", "high"]
-    met = _tiled(keyed, ["kind", "key"], tile).select(*by, "tile", "id", "p0", "p1")
+    masks = block_masks(blocks_for(nodes.count(), d), d)
+    keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for i, m in enumerate(masks)])
+    keyed = checkpointed(pivot_table(nodes).withColumn("k", F.explode(keys)).select("k.*", F.col("fp").alias("id"), "p0", "p1"))
+    by = ["level", "kind", "key", "low", "high"]
+    met = None
+    for level in range(LEVELS + 1):
+        groups = checkpointed(keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"))
+        large = groups.where(F.col("n") > tile) if level < LEVELS else groups.limit(0)
+        last = large.isEmpty()
+        tiles = _tiled(keyed, groups if last else groups.where(F.col("n") <= tile), ["kind", "key"], tile).withColumn("level", F.lit(level)).select(*by, "tile", "id", "p0", "p1")
+        met = tiles if met is None else met.unionByName(tiles)
+        if last:
+            break
+        was, masks = len(masks), finer_masks(masks, d)
+        table = [(k * was // len(masks), k, _signed(m)) for k, m in enumerate(masks)]  # 126 * 15 * 15 rows at most
+        table = nodes.sparkSession.createDataFrame(table, "kind int, finer int, mask long").hint("broadcast")
+        again = keyed.join(large.select("kind", "key"), ["kind", "key"], "left_semi").join(table, "kind")
+        keyed = checkpointed(again.select(F.col("finer").alias("kind"), F.col("id").bitwiseAND(F.col("mask")).alias("key"), "id", "p0", "p1"))
     return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d), "a long, b long")
 
 
-def _tiled(keyed: DataFrame, key: list[str], tile: int) -> DataFrame:
-    """Rows (key, id, ...) whose key others share, with tile, once for each pair (low, high) of tiles of their key that theirs is in."""
-    groups = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+def _tiled(keyed: DataFrame, groups: DataFrame, key: list[str], tile: int) -> DataFrame:
+    """Rows (key, id, ...) of ``groups`` (key, n), with tile, once for each pair (low, high) of tiles of their key that theirs is in."""
     met = keyed.join(groups, key)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     met = met.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("id"), tiles).cast("int")})
@@ -273,6 +301,22 @@ def _parities(n: int, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, PARITY), axis=1)
 
 
+def _wide_parities(n: int, size: np.ndarray, owner: np.ndarray, h: np.ndarray) -> pa.ListArray:
+    """The same over a power of two of bits, twice as many as hashes at least, as lists of longs; see ``_apart``."""
+    bits = np.maximum(2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), PARITY)
+    off = np.concatenate([[0], np.cumsum(bits)])
+    at = off[owner] + (mix(h) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(off[-1])).astype(np.uint8) & 1
+    return pa.ListArray.from_arrays(pa.array((off // 64).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view("<i8")))
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two wide parities differ at least; the longer is folded to the length of the other, half its own."""
+    n = F.least(F.size(a), F.size(b))
+    of = lambda c, i: F.when(F.size(c) > n, F.get(c, i).bitwiseXOR(F.get(c, i + n))).otherwise(F.get(c, i))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + F.bit_count(of(a, i).bitwiseXOR(of(b, i))))
+
+
 def _schema(rows: DataFrame, own: tuple[str, ...], more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema] + [more])
 
@@ -304,7 +348,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
 
 
 def near_nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, id of the set of shingles, its size and parity, and its first shingles, rare ones first."""
+    """``keep`` columns, id of the set of shingles, its size, parities and fingerprint, and its first shingles, rare ones first."""
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     known, often = common
 
@@ -313,7 +357,9 @@ def near_nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str
             for s in slices(b, "__text"):
                 n, owner, h = _shingle_sets(s.column("__text"))
                 size = np.bincount(owner, minlength=n)
-                ids, odd = _set_ids(n, owner, h), _parities(n, owner, h)
+                ids, odd, wide = _set_ids(n, owner, h), _parities(n, owner, h), _wide_parities(n, size, owner, h)
+                full = np.flatnonzero(size)
+                fp = _votes((n, full, size[full], np.cumsum(size[full]), h), 1)[:, 0]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, often[at], 0)
@@ -322,10 +368,10 @@ def near_nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str
                 take = np.arange(len(h)) - first[owner] <= size[owner] // 5
                 off = np.concatenate([[0], np.cumsum(np.where(size > 0, size // 5 + 1, 0))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(off), pa.array(h[take].view(np.int64)))
-                cols = [pa.array(ids), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in odd], pa.binary()), keys]
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), *cols], [*keep, "id", "size", "parity", "first"])
+                cols = [pa.array(ids), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in odd], pa.binary()), wide, pa.array(fp.view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), *cols], [*keep, "id", "size", "parity", "wide", "fp", "first"])
 
-    return rows.mapInArrow(run, _schema(rows, keep, "id long, size int, parity binary, first array<long>"))
+    return rows.mapInArrow(run, _schema(rows, keep, "id long, size int, parity binary, wide array<long>, fp long, first array<long>"))
 
 
 def _near_pairs(trust: bool):
@@ -356,7 +402,8 @@ def _near_pairs(trust: bool):
             both = size[i] + size[j]
             near = 9 * differ <= both
             i, j, differ, both = i[near], j[near], differ[near], both[near]
-            sure = -np.log1p(-2 * np.minimum(differ, PARITY // 2 - 1) / PARITY) * (PARITY / 2) * 12 <= both
+            high = np.minimum(differ + 4 * np.sqrt(differ * (1 - differ / PARITY)) + 1, PARITY * 0.45)  # four standard deviations more
+            sure = (-np.log1p(-2 * high / PARITY) * (PARITY / 2) * 9 <= both) & (high < PARITY * 0.45)
             out.append((ids[i], ids[j], sure))
             if trust and sure.any():
                 i, j = i[sure], j[sure]
@@ -375,11 +422,12 @@ def _near_pairs(trust: bool):
     return _by_group(links, ("key", "low", "high"), ("tile", "id", "size", "parity", "root"), ["a", "b", "sure"])
 
 
-def near_pairs(nodes: DataFrame, trust: bool, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b, sure) of ``nodes`` (id, size, parity, first, root) that may be similar, see ``near_linked``."""
+def near_pairs(nodes: DataFrame, known: DataFrame, trust: bool, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b, sure) of ``nodes`` (id, first) and ``known`` (id, size, parity, root) that may be similar, see ``near_linked``."""
     by = ["key", "low", "high"]
-    met = _tiled(nodes.select(F.explode("first").alias("key"), "id"), ["key"], tile)
-    met = met.join(nodes.select("id", "size", "parity", "root"), "id").select(*by, "tile", "id", "size", "parity", "root")
+    keyed = nodes.select(F.explode("first").alias("key"), "id")
+    met = _tiled(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], tile)
+    met = met.join(known, "id").select(*by, "tile", "id", "size", "parity", "root")
     pairs = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_near_pairs(trust), "a long, b long, sure boolean")
     return checkpointed(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")))
 
@@ -398,14 +446,18 @@ def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``nodes`` (id, size, parity, first) of a similarity of 0.8 or more.
+    """Edges (a, b) whose components are those of all pairs of ``nodes`` (id, size, parity, wide, fp, first) of a similarity of 0.8 or more.
 
     Similarity is the share of common ones among two texts' distinct five-word shingles, by their
-    64-bit hashes.  No pair of 0.8 is lost, whatever the number of nodes: with all shingles in one
-    order, such a pair shares one of the first size / 5 + 1 of each, sizes are within 4 : 5, and
+    64-bit hashes.  First, sets whose fingerprints ``linked`` connects through pivot tables, which most
+    copies are, are joined where their similarity bears it out.  Fingerprints of sets at 0.8 are some
+    nine bits apart, though, where no key of agreeing blocks is exact, so the others are found by the
+    shingles themselves, and no pair of 0.8 is lost, whatever the number of nodes: with all shingles in
+    one order, such a pair shares one of the first size / 5 + 1 of each, sizes are within 4 : 5, and
     parities differ in no more bits than shingles are in one set alone, which is (sum of sizes) / 9
     at most.  Which order is taken decides only the work: common shingles come last.
 
+    Pairs that these leave in doubt are looked at by parities of as many bits as twice their shingles.
     Every edge is verified on the sets themselves, which ``sets`` returns (id, hashes) for a table of
     ids.  Pairs whose parities leave little doubt are verified first, as a forest where they are
     many; others only if these haven't connected them.  If one of the former fails, the pairs that
@@ -419,24 +471,37 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
         common = F.size(F.array_intersect("ha", "hb"))
         return checkpointed(edges.join(a, "a").join(b, "b").select("a", "b", (9 * common >= 4 * (F.size("ha") + F.size("hb"))).alias("similar")))
 
-    nodes = nodes.withColumn("root", F.col("id"))
-    pairs = near_pairs(nodes, True, tile)
+    def possible(edges: DataFrame) -> DataFrame:
+        a, b = (nodes.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+        return edges.join(a, "a").join(b, "b").where(9 * _apart("wa", "wb") <= F.col("na") + F.col("nb")).select("a", "b")
+
+    fps = checkpointed(nodes.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    of = fps.select("fp", "least")
+    a, b = (of.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
+    stars = linked(of.select("fp"), tile=tile).join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    twins = join_small(nodes.select("id", "fp"), fps.where("n > 1").select("fp", "least"), "fp", "inner").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    close = verified(checkpointed(stars.unionByName(twins).distinct())).where("similar").select("a", "b")
+    roots = components(close)
+    short = nodes.select("id", "size", "parity")
+    known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
+    pairs = near_pairs(nodes, known, True, tile)
     sure = pairs.where("sure").select("a", "b")
-    if sure.count() > 2 * sure.select(F.explode(F.array("a", "b")).alias("id")).distinct().count():
-        sure = _forest(sure)
-    first = verified(sure)
+    doubt = checkpointed(possible(pairs.where("not sure").select("a", "b")))
+    forest = _forest(sure) if sure.count() > 2 * sure.select(F.explode(F.array("a", "b")).alias("id")).distinct().count() else sure
+    first = verified(forest)
     good = first.where("similar").select("a", "b")
-    more = checkpointed(_between(pairs.where("not sure").select("a", "b"), components(good)))
+    more = checkpointed(_between(doubt, components(good.unionByName(close))))
     good = good.unionByName(verified(more).where("similar").select("a", "b"))
     failed = first.where("not similar")
     if not failed.isEmpty():
-        whole = components(pairs.select("a", "b"))
+        whole = components(sure.unionByName(doubt).unionByName(close))
         parts = whole.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
-        again = whole.join(parts, "root", "left_semi").select(F.col("node").alias("id"))
-        roots = components(good).select(F.col("node").alias("id"), F.col("root").alias("own"))
-        left = nodes.join(again, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("own", "root")).drop("own")
-        good = good.unionByName(verified(near_pairs(checkpointed(left), False, tile).select("a", "b")).where("similar").select("a", "b"))
-    return good
+        again = checkpointed(whole.join(parts, "root", "left_semi").select(F.col("node").alias("id")))
+        roots = components(good.unionByName(close)).select(F.col("node").alias("id"), "root")
+        known = checkpointed(short.join(again, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        left = possible(near_pairs(nodes.join(again, "id", "left_semi"), known, False, tile).select("a", "b"))
+        good = good.unionByName(verified(left).where("similar").select("a", "b"))
+    return good.unionByName(close)
 
 
 def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
@@ -446,9 +511,10 @@ def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
     roots = components(linked(nodes.select("fp"), d))
     named = nodes.join(roots, nodes.fp == roots.node)
     names = named.groupBy("root").agg(F.min("least").alias("__least"))
-    chained = named.join(names, "root").select("fp", "root", "__least")
-    whole = nodes.join(chained, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("__least")).alias("component_id"))
-    return docs.select(*own).join(whole, "fp").select(*own, "component_id", "root")
+    chained = join_small(named, names, "root", "inner").select("fp", "root", "__least")
+    single = F.col("root").isNull()
+    whole = nodes.join(chained, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(single, F.col("least")).otherwise(F.col("__least")).alias("component_id"))
+    return join_small(docs.select(*own), whole, "fp", "inner").select(*own, "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -463,9 +529,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own, most = docs.columns, F.lit((1 << 63) - 1)
     known = F.coalesce(F.col("doc_id").cast("long"), most)
     tagged = docs.withColumns({"__doc": known, "__t": F.xxhash64("text")})
-    rows = checkpointed(near_nodes(tagged, common_shingles(docs), keep=("__doc", "__t")))
-    nodes = checkpointed(rows.dropDuplicates(["id"]).select("id", "size", "parity", "first"))
-    rows = rows.select("__doc", "__t", "id")
+    path = fresh_dir(docs.sparkSession, "near")
+    near_nodes(tagged, common_shingles(docs), keep=("__doc", "__t")).write.option("compression", "zstd").parquet(path)
+    whole = docs.sparkSession.read.parquet(path)
+    nodes = checkpointed(whole.dropDuplicates(["id"]).select("id", "size", "parity", "wide", "fp", "first"))
+    rows = checkpointed(whole.select("__doc", "__t", "id"))
+    delete(docs.sparkSession, path)
 
     def sets(ids: DataFrame) -> DataFrame:
         one = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("__doc", "__t")).alias("one")).select("one.*")
@@ -474,8 +543,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = components(near_linked(nodes, sets))
     rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = checkpointed(rooted.select(F.col("__doc").alias("doc_id"), "__t", F.coalesce("root", "id").alias("root")))
-    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("least"))
-    lose = rooted.join(least, "root").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("__t") != F.col("least.__t")))
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lose = join_small(rooted, least, "root", "inner").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("__t") != F.col("least.__t")))
     lose = lose.select(F.col("doc_id").alias("__doc"), "__t").distinct()
     kept = join_small(tagged, lose, ["__doc", "__t"], "left_anti")
     again = checkpointed(rooted.groupBy("doc_id", "__t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__doc"), "__t"))
