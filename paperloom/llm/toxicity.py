@@ -6,8 +6,9 @@ are the buckets present in its whole text.  The machine scores
 w0 + sum of w_i + sum over pairs of <v_i, v_j>, so two terms that are harmless alone can add up
 to more than their weights, which a linear model can't express.
 
-Fitting takes at most ``TRAIN_ROWS`` labelled documents, those whose hashed ids are smallest, with all
-their buckets; it runs in numpy on the driver, in mini-batches, with memory bounded by that number.
+Fitting takes labelled documents with all their buckets, those whose hashed ids are smallest, at most
+``TRAIN_ROWS`` of them and ``TRAIN_BUCKETS`` buckets in all; it runs in numpy on the driver, in
+mini-batches, with memory bounded by these numbers.
 Buckets that none of them has weigh nothing.  Scoring reads every text in full, by Arrow batches,
 without a shuffle.
 
@@ -24,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import join_small
-from paperloom.llm.words import LOWER, NOT_TERM, Words, slices, split
+from paperloom.llm.shared import checkpointed, join_small
+from paperloom.llm.words import LOWER, NOT_TERM, Words, raw, slices, split, strings
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 20_000
+TRAIN_BUCKETS = 8_000_000
 FACTORS = 8
 #: Passes over the sample, and steps at least.
 EPOCHS = 5
@@ -79,42 +82,44 @@ class Machine:
         return self.score(owner, bucket, len(column))
 
 
-def values(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def values(bucket: np.ndarray, size: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Each bucket's value where it is present, in [0, 1): the surer it tells the classes apart, the nearer to 1.
 
     z is the bucket's distance between the classes in standard errors; the value is z^2 / (z^2 + SURE^2).
     """
     n, positive = len(labels), float(labels.sum())
     with_it = np.bincount(bucket, minlength=BUCKETS)
-    toxic = np.bincount(bucket, labels[owner], minlength=BUCKETS)
+    toxic = np.bincount(bucket[np.repeat(labels > 0, size)], minlength=BUCKETS)
     a, b = toxic / positive, (with_it - toxic) / (n - positive)
     pooled = (with_it + 1) / (n + 2)
     z = (a - b) ** 2 / (pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)))
     return z / (z + SURE**2)
 
 
-def fit_machine(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, seed: int = 1, l2: float = 1e-5, rate: float = 0.05) -> Machine:
-    """Fits on (owner, bucket) pairs, ascending by owner, by Adagrad over mini-batches; the same input gives the same machine."""
+def fit_machine(bucket: np.ndarray, size: np.ndarray, labels: np.ndarray, seed: int = 1, l2: float = 1e-5, rate: float = 0.05) -> Machine:
+    """Fits by Adagrad over mini-batches; the same input gives the same machine.
+
+    bucket has the buckets of all documents in a row, size how many each document has.
+    """
     y = labels.astype(np.float64)
     n, positive = len(y), float(y.sum())
     prior = (positive + 1) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
-    linear, factors = np.zeros(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, FACTORS), dtype=np.float32)
+    theta = np.zeros((BUCKETS, FACTORS + 1))  # linear weight, factors
     if positive in (0, n):
-        return Machine(bias, linear, factors)
-    used, row = np.unique(bucket, return_inverse=True)
-    value = values(owner, bucket, labels)[used]
+        return Machine(bias, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
+    value = values(bucket, size, labels)
     rng = np.random.default_rng(seed)
-    theta = np.concatenate([np.zeros((len(used), 1)), rng.normal(0, 0.02, (len(used), FACTORS))], axis=1)  # linear weight, factors
+    theta[:, 1:] = rng.normal(0, 0.02, (BUCKETS, FACTORS))
     past, past_bias = np.full(theta.shape, 1e-8), 1e-8
-    first = np.searchsorted(owner, np.arange(n + 1))
+    first = np.cumsum(size) - size
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             docs = order[k : k + BATCH]
-            size = first[docs + 1] - first[docs]
-            who = np.repeat(np.arange(len(docs)), size)
-            rows, own = np.unique(row[np.repeat(first[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_inverse=True)
+            count = size[docs]
+            who = np.repeat(np.arange(len(docs)), count)
+            rows, own = np.unique(bucket[np.repeat(first[docs] - (np.cumsum(count) - count), count) + np.arange(count.sum())], return_inverse=True)
             x = value[rows, None]
             w = theta[rows] * x
             z = bias + np.bincount(who, w[own, 0], minlength=len(docs))
@@ -132,16 +137,15 @@ def fit_machine(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, seed:
             theta[rows] -= rate * grad / np.sqrt(past[rows])
             past_bias += g.sum() ** 2
             bias -= rate * float(g.sum() / np.sqrt(past_bias))
-    theta *= value[:, None]
-    linear[used], factors[used] = theta[:, 0], theta[:, 1:]
-    return Machine(bias, linear, factors)
+    theta *= value[:, None]  # nothing for buckets that no document has
+    return Machine(bias, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BUCKETS) -> Machine:
     """A machine from the labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -158,10 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
 
     picked = chosen.mapInArrow(pick, "doc_id long, toxic int, buckets binary")
     one = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets"))  # ids may repeat
-    got = sorted((r[0], r[1], bytes(r[2])) for r in one.collect())  # TRAIN_ROWS at most
-    lists = [np.frombuffer(r[2], "<i4") for r in got]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return fit_machine(owner, np.concatenate([np.zeros(0, np.int32), *lists]), np.array([r[1] for r in got]))
+    one = checkpointed(one.withColumns({"h": F.xxhash64("doc_id"), "n": F.expr("length(buckets) div 4")}))
+    rows_ = sorted(map(tuple, one.select("h", "doc_id", "n").collect()))  # TRAIN_ROWS at most
+    fits = int(np.searchsorted(np.cumsum([r[2] for r in rows_]), most, "right"))
+    if fits < len(rows_):
+        h, doc = (rows_[fits - 1] if fits else (-(1 << 63), -(1 << 63)))[:2]
+        one = one.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") <= doc)))
+    got = one.select("h", "doc_id", "toxic", "buckets").toArrow()
+    got = got.take(pc.sort_indices(got, [("h", "ascending"), ("doc_id", "ascending")])).combine_chunks()
+    column = strings(got.column("buckets"))
+    flat, off = raw(column)
+    return fit_machine(flat.view("<i4"), np.diff(off) // 4, got.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def made(n, seed):
 
 def machine(rows):
     owner, bucket = toxicity.features(pa.array([t for _, t, _ in rows]))
-    return toxicity.fit_machine(owner, bucket, np.array([y for _, _, y in rows]))
+    return toxicity.fit_machine(bucket, np.bincount(owner, minlength=len(rows)), np.array([y for _, _, y in rows]))
 
 
 def test_score_is_the_sum_over_all_pairs():
@@ -51,6 +51,21 @@ def test_one_class_gives_its_smoothed_share():
     assert abs(machine(rows).score_texts(pa.array(["anything"]))[0] - 0.1) < 1e-9
 
 
+def test_the_sample_is_bounded_by_documents_and_buckets(spark):
+    rows = made(400, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit_machine
+    toxicity.fit_machine = lambda bucket, size, y: seen.append((len(y), len(bucket))) or real(bucket, size, y)
+    try:
+        for limit in ({}, {"rows": 50}, {"most": 1000}, {"most": 0}):
+            toxicity.fit(docs, labels, **limit)
+    finally:
+        toxicity.fit_machine = real
+    assert seen[0][0] > 300 and seen[1][0] == 50 and 0 < seen[2][1] <= 1000 and seen[3] == (0, 0)
+
+
 def test_repeated_ids_do_not_crowd_out_others(spark):
     rows = made(600, 4)
     hot = [(1, f"filler {k}") for k in range(3000)]
