@@ -1,20 +1,23 @@
 """Transcript parsing: roles recovered by a hidden Markov model, then canonical rendering.
 
-A transcript is messages in order, each of some lines, whose speakers are marked now and then
-("User:", "**Assistant**:", "Q:") and in many spellings, or not at all.  States are (role, begins
-a turn or goes on); a line's observation combines speaker marker, length, closing
-question mark, and whether a message begins with it.  Viterbi finds the most likely states; a line in a begin state opens a turn, its marker is
-taken off, and turns are rendered as <|role|>, lines, <|end|>.
-
-Conversations may be of any length: messages are range-partitioned and sorted by (conversation,
-turn), packed into blocks of at most ``BLOCK_ROWS`` messages or ``BLOCK_BYTES`` bytes of one
-conversation, and written.  For conversations of several blocks each block's best scores from
-every entry state to every exit state form a small matrix; a pass over the matrices alone fixes
-each block's entry and exit state, and blocks are then decoded independently.  Scores are integers
-(millionths of a nat), so cutting a conversation into blocks changes no score.
-
-Probabilities are counted over all labelled messages of the training part, by an aggregation with
-as many rows as there are parameters.
+A raw transcript is lines in order.  Turns are marked now and then by a speaker's name ("User:",
+"**Agent**:", "[Q]:"), in spellings that differ between transcripts, or not at all; where a message
+begins is not told.  States are (role, begins a turn or goes on).  A line's observation is the name
+before a colon, hashed to one of ``NAMES`` buckets, and line features: length, closing question mark,
+kind of first character.  What names mean is learned, with the usual ones as pseudo-counts.  Viterbi finds
+the most likely states; a line in a begin state opens a turn, the name is taken off if lines with it
+nearly always begin turns of one role (so "Note:" stays), and turns are rendered as <|role|>, lines, <|end|>.
+
+Transcripts may be of any length: rows are range-partitioned and sorted by (conversation, turn), packed
+into blocks of at most ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` bytes of one conversation, and written.
+For conversations of several blocks each block's best scores from every entry state to every exit
+state form a small matrix.  Matrices are multiplied in a tree of ``LEVELS`` levels, and entry and exit
+states handed down again, so no task holds more than a node's children; blocks are then decoded
+independently.  Scores are integers (millionths of a nat), so cutting a transcript into blocks changes
+no score.
+
+Probabilities are counted over all labelled rows of the training part, by an aggregation with as many
+rows as there are parameters.
 
 Defined results: a null text is one empty line; null conversation ids form one conversation and
 null turns come first; equal (conversation, turn) are ordered by text; roles other than the known
@@ -24,6 +27,7 @@ ones are not trained on; an empty table gives an empty one; further columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,42 +38,51 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import saved
+from paperloom.llm.shared import checkpointed, saved
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role + (1 if the line goes on)
 START = STATES  # the state before a conversation
-#: Speaker names by role, as written in transcripts.
+#: Usual names by role, known without training.
 SPEAKERS = {
     "system": ("system", "instructions", "context"),
     "user": ("user", "human", "customer", "question", "q"),
     "assistant": ("assistant", "ai", "bot", "model", "answer", "a"),
 }
+USUAL = 5  # lines that a usual name counts as
+NAMES = 256
+SURE = 0.9  # the share of a name's lines that begin turns of one role, for it to be taken off
 LENGTHS = (40, 120, 300)
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 2 << 20
+#: A block's place is partition << 32 | number; nodes of each level of the tree share its bits from here on.
+LEVELS = (0, 6, 32, 38, 63)
 SCALE = 1_000_000
 FOLDS = 5
 NEVER = -(1 << 50)
 
-_ROLE_OF = {name: i + 1 for i, role in enumerate(ROLES) for name in SPEAKERS[role]}
-_MARKER = re.compile(r"[ \t]*[*#>\[(<|]{0,3}[ \t]*([A-Za-z]{1,14})[ \t]*[\])>|*]{0,3}[ \t]*:[*]{0,2}[ \t]*")
-SYMBOLS = (len(ROLES) + 2) * (len(LENGTHS) + 1) * 4
+_MARKER = re.compile(r"[ \t]*[*#>\[(<|]{0,3}[ \t]*([A-Za-z]{1,14})[ \t]*[\])>|*]{0,3}[ \t]*:[*]{0,2}(?!//)[ \t]*")
+FEATURES = (len(LENGTHS) + 1) * 2 * 3
+SYMBOLS = FEATURES * (NAMES + 1)
+
+
+def name_bucket(name: str) -> int:
+    return 1 + zlib.crc32(name.lower().encode()) % NAMES
 
 
 def marker(line: str) -> tuple[int, int]:
-    """(0: none, 1..: role, last: another speaker; length of the marker)."""
+    """(0: none, else the name's bucket; length of the name with what belongs to it)."""
     m = _MARKER.match(line)
-    if m is None:
-        return 0, 0
-    return _ROLE_OF.get(m[1].lower(), len(ROLES) + 1), m.end()
+    return (0, 0) if m is None else (name_bucket(m[1]), m.end())
 
 
-def symbol(line: str, first: bool) -> int:
-    """A line's observation; first: it is its message's first."""
-    kind, _ = marker(line)
-    length = sum(len(line) > k for k in LENGTHS)
-    return (kind * (len(LENGTHS) + 1) + length) * 4 + 2 * first + line.rstrip().endswith("?")
+def symbol(line: str) -> int:
+    """A line's observation."""
+    bucket, at = marker(line)
+    length = sum(len(line) - at > k for k in LENGTHS)
+    head = line[at : at + 1]
+    kind = 0 if not head else 1 if head.isupper() or head.isdigit() else 2
+    return ((length * 2 + line.rstrip().endswith("?")) * 3 + kind) * (NAMES + 1) + bucket
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -109,10 +122,11 @@ def blocks(messages: DataFrame) -> DataFrame:
 
 @dataclass
 class Hmm:
-    """Integer log-probabilities: move[from, to] with START last, emit[state, symbol]."""
+    """Integer log-probabilities: move[from, to] with START last, emit[state, symbol]; and which names are speakers'."""
 
     move: np.ndarray
     emit: np.ndarray
+    speaker: np.ndarray
 
     def matrices(self, rows: list[np.ndarray]) -> np.ndarray:
         """For each row of symbols, best scores from every state (and START) to every state."""
@@ -161,11 +175,11 @@ def train_part(conv_id: Column) -> Column:
 
 
 def fit(packed: DataFrame) -> Hmm:
-    """Counts over all blocks of the training part, with one added to each."""
+    """Counts over all blocks of the training part, with one added to each and more to usual names."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move = np.zeros((STATES + 1, STATES), dtype=np.int64)
-        emit = np.zeros((STATES, SYMBOLS), dtype=np.int64)
+        seen, named = np.zeros((STATES, FEATURES), dtype=np.int64), np.zeros((STATES, NAMES + 1), dtype=np.int64)
         for b in batches:
             for roles, texts in zip(b.column("roles").to_pylist(), b.column("texts").to_pylist(), strict=True):
                 last = START
@@ -177,53 +191,88 @@ def fit(packed: DataFrame) -> Hmm:
                         state = 2 * ROLES.index(role) + (k > 0)
                         if last >= 0:
                             move[last, state] += 1
-                        emit[state, symbol(line, k == 0)] += 1
+                        feature, bucket = divmod(symbol(line), NAMES + 1)
+                        seen[state, feature] += 1
+                        named[state, bucket] += 1
                         last = state
-        for kind, table in enumerate((move, emit)):
+        for kind, table in enumerate((move, seen, named)):
             x, y = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind)), pa.array(x), pa.array(y), pa.array(table[x, y])], ["kind", "x", "y", "n"])
 
     counts = packed.where(train_part(F.col("conv_id"))).select("roles", "texts").mapInArrow(count, "kind long, x long, y long, n long")
-    move, emit = np.ones((STATES + 1, STATES)), np.ones((STATES, SYMBOLS))
+    move, seen, named = np.ones((STATES + 1, STATES)), np.ones((STATES, FEATURES)), np.ones((STATES, NAMES + 1))
+    for i, role in enumerate(ROLES):
+        for name in SPEAKERS[role]:
+            named[2 * i, name_bucket(name)] += USUAL
     for r in counts.groupBy("kind", "x", "y").agg(F.sum("n").alias("n")).collect():  # a row per parameter
-        (move, emit)[r.kind][r.x, r.y] += r.n
-    logs = [np.rint(np.log(t / t.sum(axis=1, keepdims=True)) * SCALE).astype(np.int64) for t in (move, emit)]
-    return Hmm(np.concatenate([logs[0], np.full((STATES + 1, 1), NEVER)], axis=1), logs[1])
+        (move, seen, named)[r.kind][r.x, r.y] += r.n
+    own = named - 1
+    speaker = (own[::2].max(axis=0) >= SURE * own.sum(axis=0)) & (own.sum(axis=0) >= USUAL)
+    speaker[0] = False
+    move, seen, named = (np.rint(np.log(t / t.sum(axis=1, keepdims=True)) * SCALE).astype(np.int64) for t in (move, seen, named))
+    emit = (seen[:, :, None] + named[:, None, :]).reshape(STATES, SYMBOLS)
+    return Hmm(np.concatenate([move, np.full((STATES + 1, 1), NEVER)], axis=1), emit, speaker)
 
 
 def _observed(texts: list[list[str | None]]) -> list[np.ndarray]:
-    return [np.array([symbol(line, k == 0) for t in block for k, line in enumerate(lines_of(t))], dtype=np.int64) for block in texts]
+    return [np.array([symbol(line) for t in block for line in lines_of(t)], dtype=np.int64) for block in texts]
+
+
+def _matrices(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64).reshape(STATES + 1, STATES + 1) for x in column]
+
+
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A node's matrix from those of its children."""
+    pdf = pdf.sort_values("node")
+    out = None
+    for m in _matrices(pdf["m"]):
+        out = m if out is None else np.maximum((out[:, :, None] + m[None]).max(axis=1), 2 * NEVER)
+    return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "node": pdf["parent"].iloc[:1], "m": [out.tobytes()]})
+
+
+def _hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry and exit states of a node's children, from its own."""
+    pdf = pdf.sort_values("node")
+    ms = _matrices(pdf["m"])
+    f = np.full(STATES + 1, NEVER)
+    f[int(pdf["entry"].iloc[0])] = 0
+    reach = [f]
+    for m in ms:
+        f = np.maximum((f[:, None] + m).max(axis=0), 2 * NEVER)
+        reach.append(f)
+    out = int(pdf["leave"].iloc[0])
+    leave = [int(f[:STATES].argmax()) if out < 0 else out]
+    for m, before in zip(ms[:0:-1], reach[-2:0:-1], strict=True):
+        leave.append(int((before + m[:, leave[-1]]).argmax()))
+    leave = leave[::-1]
+    ends = [False] * (len(ms) - 1) + [bool(pdf["ends"].iloc[0])]
+    return pd.DataFrame({"conv": pdf["conv"].to_numpy(), "node": pdf["node"].to_numpy(), "entry": [int(pdf["entry"].iloc[0]), *leave[:-1]], "leave": leave, "ends": ends})
 
 
 def joints(packed: DataFrame, model: Hmm) -> DataFrame:
     """(part, seq, entry, leave, ends) of the blocks of conversations with several."""
     several = packed.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))
+    several = checkpointed(several)
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = model.matrices(_observed(b.column("texts").to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), b.column("seq"), pa.array([x.tobytes() for x in m], pa.binary())], ["conv_id", "part", "seq", "m"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "seq"])
-        ms = [np.frombuffer(x, np.int64).reshape(STATES + 1, STATES + 1) for x in pdf["m"]]
-        f = np.full(STATES + 1, NEVER)
-        f[START] = 0
-        reach = [f]
-        for m in ms:
-            f = np.maximum((f[:, None] + m).max(axis=0), 2 * NEVER)
-            reach.append(f)
-        leave = [int(f[:STATES].argmax())]
-        entry: list[int] = []
-        for m, before in zip(ms[::-1], reach[-2::-1], strict=True):
-            entry.append(int((before + m[:, leave[-1]]).argmax()))
-            leave.append(entry[-1])
-        leave = leave[:-1]
-        return pd.DataFrame({"part": pdf["part"].to_numpy(), "seq": pdf["seq"].to_numpy(), "entry": entry[::-1], "leave": leave[::-1], "ends": [False] * (len(ms) - 1) + [True]})
-
-    rows = packed.join(several, packed.conv_id.eqNullSafe(several.c), "left_semi").select("conv_id", "part", "seq", "texts")
-    small = rows.mapInArrow(matrix, "conv_id long, part int, seq int, m binary")
-    return small.groupBy("conv_id").applyInPandas(chain, "part int, seq int, entry int, leave int, ends boolean")
+            yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("node"), pa.array([x.tobytes() for x in m], pa.binary())], ["conv", "node", "m"])
+
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+    node = F.shiftleft(F.col("part").cast("long"), 32) + F.col("seq")
+    rows = packed.join(several, packed.conv_id.eqNullSafe(several.c), "left_semi").select(conv.alias("conv"), node.alias("node"), "texts")
+    nodes = [checkpointed(rows.mapInArrow(matrix, "conv string, node long, m binary"))]
+    up = [b - a for a, b in zip(LEVELS[:-1], LEVELS[1:], strict=True)]
+    for bits in up:
+        parents = nodes[-1].withColumn("parent", F.shiftright("node", bits))
+        nodes.append(checkpointed(parents.groupBy("conv", "parent").applyInPandas(_product, "conv string, node long, m binary")))
+    known = nodes[-1].select("conv", "node", F.lit(START).alias("entry"), F.lit(-1).alias("leave"), F.lit(True).alias("ends"))
+    for bits, own in zip(up[::-1], nodes[-2::-1], strict=True):
+        children = own.withColumn("parent", F.shiftright("node", bits)).join(known.withColumnRenamed("node", "parent"), ["conv", "parent"])
+        known = checkpointed(children.groupBy("conv", "parent").applyInPandas(_hand_down, "conv string, node long, entry int, leave int, ends boolean"))
+    return known.select(F.shiftright("node", 32).cast("int").alias("part"), F.col("node").bitwiseAND((1 << 32) - 1).cast("int").alias("seq"), "entry", "leave", "ends")
 
 
 def parse(packed: DataFrame, model: Hmm) -> DataFrame:
@@ -252,7 +301,8 @@ def parse(packed: DataFrame, model: Hmm) -> DataFrame:
                         state = int(path[at + j])
                         if state % 2 == 0 or not last:
                             piece.append(("<|end|>\n" if last else "") + f"<|{ROLES[state // 2]}|>\n")
-                            line = line[marker(line)[1] :]
+                            bucket, length = marker(line)
+                            line = line[length:] if model.speaker[bucket] else line
                             opened += 1
                         last = True
                         piece.append(line + "\n")
@@ -267,14 +317,22 @@ def parse(packed: DataFrame, model: Hmm) -> DataFrame:
     return met.select("conv_id", "turns", "roles", "texts", "entry", "leave", "ends").mapInArrow(decode, schema)
 
 
+#: Names that the query writes; the model knows only some of them without training.
+WRITTEN = {
+    "system": ("System", "Setup", "Briefing", "Context"),
+    "user": ("User", "Human", "Caller", "Visitor", "Me", "Q"),
+    "assistant": ("Assistant", "Agent", "Helper", "Desk", "AI", "A"),
+}
+
+
 def as_transcript(conversations: DataFrame) -> DataFrame:
-    """Messages as raw transcripts: seven in ten with one of its role's speaker names, the others unmarked."""
+    """Messages as raw transcripts: seven in ten with a speaker's name, one in twenty with another word and a colon, the others bare."""
     h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1000))
     forms = ("{}: ", "**{}**: ", "[{}]: ", "### {}: ")
     texts = F.coalesce(F.col("text"), F.lit(""))
-    said = texts
+    said = F.when((h >= 700) & (h < 750), F.concat(F.lit("Note: "), texts)).otherwise(texts)
     for role in ROLES:
-        every = [f.format(n.capitalize()) for n in SPEAKERS[role] for f in forms]
+        every = [f.format(n) for n in WRITTEN[role] for f in forms]
         name = F.element_at(F.array(*[F.lit(x) for x in every]), (F.pmod(F.xxhash64("turn", "conv_id"), F.lit(len(every))) + 1).cast("int"))
         said = F.when((F.col("role") == role) & (h < 700), F.concat(name, texts)).otherwise(said)
     return conversations.select("conv_id", "turn", "role", said.alias("text"))
