@@ -31,12 +31,16 @@ def clean_currency(text: Column) -> Column:
     Without a dot, exactly five digits after the last comma mean that its last two are cents;
     other commas are dropped.  Signs and letters are dropped; of several dots the last counts.
     """
+    return let(text, _clean_currency)
+
+
+def _clean_currency(text: Column) -> Column:
     bare = F.regexp_replace(text, r"[, ]", "")
     after = F.regexp_extract(text, r",([^,]*)$", 1)
     cents = F.regexp_replace(F.concat(F.regexp_extract(bare, r"^(.*)(..)$", 1), F.lit("."), F.regexp_extract(bare, r"^(.*)(..)$", 2)), r" ", "")
     dotted = F.when(~F.contains(text, F.lit(".")) & F.contains(text, F.lit(",")) & after.rlike(r"^\s*\d{5}\s*$"), cents).otherwise(bare)
-    digits = last_dot_decimal(F.regexp_replace(dotted, r"[^\d.]", ""))
-    return F.coalesce(money_text(as_money(digits)), F.lit("0.00"))
+    digits = let(F.regexp_replace(dotted, r"[^\d.]", ""), last_dot_decimal)
+    return F.coalesce(let(digits, lambda d: money_text(as_money(d))), F.lit("0.00"))
 
 
 def parse_number(text: Column) -> Column:

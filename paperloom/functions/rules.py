@@ -285,3 +285,22 @@ CONFIDENCE_DEFAULT = 0.6
 CONFIDENCE_PDF = 0.15
 MOST_MONEY = 999999.99
 DEFAULT_YEAR = "2025"
+
+#: Label words of a bank record's fields on a page, and words that must not stand near a value.
+LAYOUT_FIELDS = {
+    "account_holder_name": (("ENCIK", "PUAN", "account holder", "name", "nama", "account name"), ()),
+    "account_number": (("ACCOUNT NO", "NO AKAUN", "account number", "account no", "akaun", "no akaun", "ACC NO", "A/C NO"), ()),
+    "statement_date": (("STATEMENT DATE", "TARIKH PENYATA", "date", "statement date", "tarikh penyata", "tarikh", "period"), ()),
+    "opening_balance": (
+        ("opening", "opening balance", "beginning balance", "baki awal", "BAKI AWAL", "baki hadapan", "BAKI HADAPAN", "BAL B/F", "BAKI B/F"),
+        ("peratus", "rate", "kadar", "%", "percent"),
+    ),
+    "closing_balance": (
+        ("closing", "closing balance", "ending balance", "balance", "baki akhir", "baki penutup", "BAKI AKHIR", "BAKI PENUTUP", "BALANCE", "BAL C/F", "BAKI C/F"),
+        ("peratus", "rate", "kadar", "%", "percent", "available", "tersedia"),
+    ),
+    "total_debit": (("total debit",), ()),
+    "total_credit": (("total credit",), ()),
+    "statement_period_from": (("statement period from",), ()),
+    "statement_period_to": (("statement period to",), ()),
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dates, numbers, rules
 from paperloom.functions.classify import issuing_bank
-from paperloom.functions.text import all_captured, captured, upper_words
+from paperloom.functions.text import all_captured, captured, let, upper_words
 
 FIELDS = (
     "account_number", "account_holder_name", "statement_date", "opening_balance", "closing_balance", "total_debit", "total_credit",
@@ -186,7 +186,7 @@ def generic_field(text: Column, pattern: str | None, words: tuple[str, ...]) ->
     for w in words:
         got = captured(text, rf"(?i){w}[:\s]+([^\n]+?)(?=\n|$|[A-Z][a-z])")
         got = F.trim(F.regexp_replace(F.regexp_replace(F.trim(got), r"\s+", " "), r"[^\w\s\-./,RM]", ""))
-        tried.append(F.when(F.length(got) > 1, got))
+        tried.append(let(got, lambda g: F.when(F.length(g) > 1, g)))
     return _first(*tried)
 
 

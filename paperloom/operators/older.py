@@ -28,6 +28,22 @@ BANK = {
     "opening_balance": (r"[\d,]+\.\d{2}", ("opening", "opening balance", "beginning balance")),
     "closing_balance": (r"[\d,]+\.\d{2}", ("closing", "closing balance", "ending balance", "balance")),
 }
+#: The fields when no settings can be read, with Malay and Arabic words.
+DEFAULT_PAYSLIP = {
+    "name": (None, ("name", "employee name", "nama", "nama pegawai", "الاسم", "اسم الموظف")),
+    "id_number": (r"\d{6}-\d{2}-\d{4}|\d{12}", ("id", "nric", "employee id", "no. k/p", "no k/p", "رقم الهوية", "رقم الموظف")),
+    "gross_income": (r"[\d,]+\.?\d{0,2}", ("gross", "gross income", "gross salary", "gaji kasar", "gaji pokok", "jumlah pendapatan", "الراتب الإجمالي", "الدخل الإجمالي")),
+    "net_income": (r"[\d,]+\.?\d{0,2}", ("net", "net income", "take home", "gaji bersih", "صافي الراتب", "الدخل الصافي")),
+    "total_deduction": (r"[\d,]+\.?\d{0,2}", ("deduction", "total deduction", "jumlah potongan", "الخصم الإجمالي", "إجمالي الخصومات")),
+    "month_year": (r"\d{1,2}/\d{4}|\d{1,2}-\d{4}", ("month", "period", "date", "bulan", "tarikh", "الشهر", "التاريخ")),
+}
+DEFAULT_BANK = {
+    "account_number": (r"\d{2}-\d{7}-\d|\d{10,12}", ("account", "account number", "no. akaun", "رقم الحساب")),
+    "statement_date": (r"\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}", ("date", "statement date", "tarikh", "تاريخ الكشف")),
+    "opening_balance": (r"[\d,]+\.?\d{0,2}", ("opening balance", "baki pembukaan", "الرصيد الافتتاحي")),
+    "closing_balance": (r"[\d,]+\.?\d{0,2}", ("closing balance", "baki penutup", "الرصيد الختامي")),
+}
+#: Patterns of single fields and of lines that are no holder's.
 NAME = r"(?i)Nama\s+([A-Za-z\s]+?)(?:\n|No)"
 BASIC_PAY = r"(?i)Gaji\s+Pokok\s+([\d,\s]+?)(?:\s+\d{4}|$|\n)"
 NET_PAY = (r"(?im)Gaji\s+Bersih\s+([\d,\s]+?)(?:\n|Pendapatan)", r"(?im)Gaji\s+Bersih\s+([\d,\s]+?)$")
@@ -58,9 +74,10 @@ def holder_line(text: Column) -> Column:
     return F.try_element_at(good, F.lit(1))
 
 
-def payslip_record(df: DataFrame, text: str = "text") -> DataFrame:
+def payslip_record(df: DataFrame, text: str = "text", fields: dict = PAYSLIP) -> DataFrame:
+    """``df`` with the payslip fields; ``fields`` are PAYSLIP or, where no settings can be read, DEFAULT_PAYSLIP."""
     t = F.col(text)
-    first = {name: _field(t, PAYSLIP, name) for name in PAYSLIP}
+    first = {name: _field(t, fields, name) for name in fields}
     df = df.withColumns(
         {
             "name": F.coalesce(first["name"], F.trim(captured(t, NAME))),
@@ -76,17 +93,18 @@ def payslip_record(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("net_income", net).drop("__net")
 
 
-def bank_record(df: DataFrame, text: str = "text") -> DataFrame:
+def bank_record(df: DataFrame, text: str = "text", fields: dict = BANK) -> DataFrame:
+    """``df`` with the bank fields; ``fields`` are BANK or DEFAULT_BANK."""
     t = F.col(text)
     named = F.trim(captured(t, HOLDER, 2))
     named = F.when((F.length(named) > 3) & ~named.rlike(NO_HOLDER), named)
     return df.withColumns(
         {
             "account_holder_name": F.coalesce(named, holder_line(t)),
-            "account_number": _field(t, BANK, "account_number"),
-            "statement_date": _field(t, BANK, "statement_date"),
-            "opening_balance": numbers.clean_currency(F.coalesce(_closed_up(captured(t, OPENING)), _field(t, BANK, "opening_balance"))),
-            "closing_balance": numbers.clean_currency(F.coalesce(_closed_up(captured(t, CLOSING)), _field(t, BANK, "closing_balance"))),
+            "account_number": _field(t, fields, "account_number"),
+            "statement_date": _field(t, fields, "statement_date"),
+            "opening_balance": numbers.clean_currency(F.coalesce(_closed_up(captured(t, OPENING)), _field(t, fields, "opening_balance"))),
+            "closing_balance": numbers.clean_currency(F.coalesce(_closed_up(captured(t, CLOSING)), _field(t, fields, "closing_balance"))),
         }
     )
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules
-from paperloom.functions.numbers import parse_number
+from paperloom.functions.numbers import clean_currency, parse_number
 from paperloom.functions.text import contains_any
-from paperloom.operators.tokens import NUMERIC_RUN, PAGE
+from paperloom.operators.tokens import NUMERIC_RUN, PAGE, cluster_lines, merge_runs
 
 _PERCENT = r"(?i)%|peratus|percentage|pct|percent"
 
@@ -116,3 +116,25 @@ def nearest_block(blocks: DataFrame, labels: DataFrame, side: str, tolerance_y:
         p = p.where((F.col("y0") > F.col("l_y1")) & (F.abs(F.col("x0") - F.col("l_x0")) < reach_x)).withColumn("gap", F.col("y0") - F.col("l_y1"))
     value = F.trim(F.regexp_replace(F.trim("text"), r"^:+", ""))
     return _best(p, F.col("gap")).withColumn("text", value)
+
+
+#: Fields of a bank record that are numbers, and those of money.
+NUMERIC_FIELDS = ("opening_balance", "closing_balance")
+MONEY_FIELDS = ("opening_balance", "closing_balance", "total_debit", "total_credit")
+
+
+def bank_record(tokens: DataFrame, fields: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = rules.LAYOUT_FIELDS) -> DataFrame:
+    """(upload_id, page, one column per field): each field's value near its label, null where there is none.
+
+    ``fields`` has the words of a field's label and those that must not stand near.  Opening and
+    closing balance are numbers right of their label or below it, other fields texts to its right.
+    """
+    lined = cluster_lines(merge_runs(tokens).select(*PAGE, "token_ix", "text", "confidence", "x0", "y0", "x1", "y1"))
+    found = None
+    for name, (words, exclude) in fields.items():
+        one = field_values(lined, words, name in NUMERIC_FIELDS, exclude).select(*PAGE, F.lit(name).alias("field"), "value")
+        found = one if found is None else found.unionByName(one)
+    value = {n: F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in fields}
+    out = tokens.select(*PAGE).distinct().join(found.groupBy(*PAGE).agg(*value.values()), list(PAGE), "left")
+    money = {n: clean_currency(F.col(n)) if n in NUMERIC_FIELDS else F.when(F.col(n).isNotNull(), clean_currency(F.col(n))) for n in MONEY_FIELDS if n in fields}
+    return out.withColumns(money | {"account_number": F.trim(F.regexp_replace("account_number", r"^(NO|No|no)\s+", ""))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules
 
-#: Fixed patterns of well-formed values.
+#: Patterns of well-formed values (here) and the messages of verdicts (below).
 ID = r"^\d{6}-\d{2}-\d{4}$"
 ACCOUNT = r"^\d{2}-\d{7}-\d$"
 MONEY = r"^\d+\.\d{2}$"
@@ -36,34 +36,44 @@ def _verdict(missing: Column, checks: list[tuple[Column, str]], good: str) -> Co
     return F.struct((message == good).alias("is_valid"), message.alias("validation_message"))
 
 
-def payslip_verdict() -> Column:
-    """struct(is_valid, validation_message) over the payslip columns."""
+def payslip_verdict(table: dict | None = None) -> Column:
+    """struct(is_valid, validation_message) over the payslip columns; ``table`` overrides patterns and ranges."""
+    rules_, span = table or {}, (table or {}).get("date_range", {})
     required = ("name", "id_number", "gross_income", "net_income", "total_deduction", "month_year")
-    period = r"^(\d{2})/(\d{4})$"
+    money, period = rules_.get("currency_pattern", MONEY), rules_.get("month_year_pattern", r"^\d{2}/\d{4}$")
+    month = _in_range("month_year", r"^(\d+)/", 1, span.get("min_month", 1), span.get("max_month", 12))
     checks = [
-        (_shape("id_number", ID), "Invalid ID number format"),
-        (_shape("gross_income", MONEY, True), "Invalid gross income format"),
-        (_shape("net_income", MONEY, True), "Invalid net income format"),
-        (_shape("total_deduction", MONEY, True), "Invalid total deduction format"),
-        (_shape("month_year", period) & _in_range("month_year", period, 1, 1, 12), "Invalid month/year format"),
+        (_shape("id_number", rules_.get("id_number_pattern", ID)), "Invalid ID number format"),
+        (_shape("gross_income", money, True), "Invalid gross income format"),
+        (_shape("net_income", money, True), "Invalid net income format"),
+        (_shape("total_deduction", money, True), "Invalid total deduction format"),
+        (_shape("month_year", period) & month, "Invalid month/year format"),
     ]
     return _verdict(_missing(required), checks, "Valid payslip data")
 
 
-def bank_verdict(by_bank: bool = False, years: tuple[int, int] = (1900, 2100)) -> Column:
-    """struct(is_valid, validation_message) over the bank columns; by_bank: account shapes of each bank, else one shape for all."""
+def bank_verdict(by_bank: bool = False, years: tuple[int, int] = (1900, 2100), table: dict | None = None) -> Column:
+    """struct(is_valid, validation_message) over the bank columns.
+
+    by_bank: account shapes of each bank, else one shape for all; ``table`` overrides patterns and
+    ranges: account_number_pattern, date_pattern, currency_pattern, and date_range with min_day,
+    max_day, min_month, max_month, min_year and max_year.
+    """
+    rules_, span = table or {}, (table or {}).get("date_range", {})
     required = ("account_holder_name", "account_number", "statement_date", "opening_balance", "closing_balance")
-    date = r"^(\d{2})/(\d{2})/(\d{4})$"
-    account = _shape("account_number", ACCOUNT)
+    money, date = rules_.get("currency_pattern", MONEY), rules_.get("date_pattern", r"^\d{2}/\d{2}/\d{4}$")
+    account = _shape("account_number", rules_.get("account_number_pattern", ACCOUNT))
     if by_bank:
         for bank, pattern in ACCOUNT_BY_BANK.items():
             account = F.when(F.col("detected_bank") == bank, _shape("account_number", pattern)).otherwise(account)
-    good_date = _shape("statement_date", date) & _in_range("statement_date", date, 1, 1, 31) & _in_range("statement_date", date, 2, 1, 12) & _in_range("statement_date", date, 3, *years)
+    good_date = _shape("statement_date", date)
+    for group, (unit, low, high) in enumerate((("day", 1, 31), ("month", 1, 12), ("year", *years)), 1):
+        good_date &= _in_range("statement_date", r"^(\d+)/(\d+)/(\d+)$", group, span.get(f"min_{unit}", low), span.get(f"max_{unit}", high))
     checks = [
         (account, "Invalid account number format"),
         (good_date, "Invalid statement date format"),
-        (_shape("opening_balance", MONEY, True), "Invalid opening balance format"),
-        (_shape("closing_balance", MONEY, True), "Invalid closing balance format"),
+        (_shape("opening_balance", money, True), "Invalid opening balance format"),
+        (_shape("closing_balance", money, True), "Invalid closing balance format"),
     ]
     return _verdict(_missing(required), checks, "Valid bank statement data")
 

@@ -1,16 +1,14 @@
-"""The whole path from page text to result records, their summary, and their sinks."""
+"""The whole path from page text to result records, their summary, and lookups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import classify, rules
 from paperloom.functions.text import clean_text
 from paperloom.operators import bank, pages, payslip, validate
+from paperloom.plans.scratch import checkpointed, fresh
 
 BANK_FIELDS = (*bank.FIELDS, "available_balance")
 
@@ -29,8 +27,7 @@ def typed_pages(page_texts: DataFrame) -> DataFrame:
         "upload_id", "document_number", "text", F.col("__t.confidence").alias("classification_confidence"), F.col("__b.confidence").alias("bank_detection_confidence"),
         F.col("__t.document_type").alias("document_type"), F.col("__b.bank").alias("detected_bank"),
     )
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="paperloom-")
-    path = f"{root.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    path = fresh(spark, "pages")
     df.write.partitionBy("document_type", "detected_bank").parquet(path)
     return spark.read.schema(_TYPED.format(id=df.schema["upload_id"].dataType.simpleString())).parquet(path)
 
@@ -79,11 +76,7 @@ def record(names: tuple[str, ...]) -> Column:
 
 def result_records(page_texts: DataFrame) -> DataFrame:
     """One nested result per upload; pages of one account are merged, the summary is over pages before that."""
-    documents = extract_documents(page_texts)
-    spark = documents.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))  # local sessions only
-    documents = documents.checkpoint()  # read twice below
+    documents = checkpointed(extract_documents(page_texts))  # read twice below
     merged = pages.merged_documents(pages.carry_forward(documents))
     names = [c for c in (*BANK_FIELDS, "detected_bank", *payslip.FIELDS, "validation_errors") if c in merged.columns]
     one = F.struct(
@@ -96,15 +89,6 @@ def result_records(page_texts: DataFrame) -> DataFrame:
     ).select("upload_id", "total_documents", "documents", "summary", "total_text_length", F.current_timestamp().alias("processing_completed_at"))
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Nested JSON, a folder per upload; a rerun replaces it."""
-    results.write.mode("overwrite").partitionBy("upload_id").json(path)
-
-
-def read_result(spark: SparkSession, path: str, upload_id) -> DataFrame:
-    return spark.read.json(path).where(F.col("upload_id") == F.lit(upload_id))
-
-
 def lookup(status: DataFrame, wanted: DataFrame) -> DataFrame:
     """Asked-for uploads with the outcome of the lookup: 200, 202 while processing, 400 if failed, 404 if unknown."""
     code = F.when(F.col("status").isNull(), 404).when(F.col("status") == "processing", 202).when(F.col("status") == "failed", 400).otherwise(200)

@@ -6,8 +6,6 @@ columns and extract them again; their SQL selects the values that went in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +14,7 @@ from paperloom.functions.text import clean_text, postprocess
 from paperloom.operators import bank, ensemble, older, pages, payslip, spatial, tokens, validate
 from paperloom.plans import render, results
 from paperloom.plans.render import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from paperloom.registry import query as _query
 
 def _contains(column: str, words) -> str:
     return " + ".join("contains({}, '{}')::INT".format(column, w.replace("'", "''")) for w in words)
@@ -359,7 +343,7 @@ def page_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {_ISLANDS}
-SELECT upload_id, island, min(document_number) AS document_number, arg_min(account_holder_name, document_number) AS account_holder_name, arg_min(statement_date, document_number) AS statement_date,
+SELECT upload_id, island, min(document_number) AS document_number, min(account_number) AS account_number, min('bank_islam') AS detected_bank, arg_min(account_holder_name, document_number) AS account_holder_name, arg_min(statement_date, document_number) AS statement_date,
   arg_min(opening_balance, document_number) AS opening_balance,
   coalesce(arg_max(closing_balance, document_number) FILTER (closing_balance <> '0.00'), '0.00') AS closing_balance,
   arg_min(total_debit, document_number) FILTER (total_debit IS NOT NULL) AS total_debit, arg_min(total_credit, document_number) FILTER (total_credit IS NOT NULL) AS total_credit,
@@ -371,7 +355,7 @@ FROM isl WHERE island IS NOT NULL GROUP BY upload_id, island
 """)
 def statement_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = pages.merge_islands(pages.islands(render.statement_pages(spark, sf_dir)))
-    return merged.drop("account_number", "detected_bank", "confidence_score")
+    return merged.drop("confidence_score")  # the mean, rounded
 
 
 @_query(f"""
@@ -400,10 +384,11 @@ WITH {SQL_TOKENS}, g AS (
   SELECT *, CASE WHEN regexp_matches(text, '^[\d,.\s\-]+$') AND regexp_matches(lag(text) OVER w, '^[\d,.\s\-]+$') AND x0 - lag(x1) OVER w <= 10
     AND abs((y0 + y1) / 2 - lag((y0 + y1) / 2) OVER w) <= 5 THEN 0 ELSE 1 END AS new FROM tok WINDOW w AS (PARTITION BY upload_id ORDER BY token_ix)
 ), r AS (SELECT *, sum(new) OVER (PARTITION BY upload_id ORDER BY token_ix) AS run FROM g)
-SELECT upload_id, min(token_ix)::INT AS token_ix, string_agg(text, '' ORDER BY token_ix) AS text, min(x0) AS x0, max(x1) AS x1, count(*) AS merged_from FROM r GROUP BY upload_id, run
+SELECT upload_id, min(token_ix)::INT AS token_ix, string_agg(text, '' ORDER BY token_ix) AS text, round(avg(confidence), 6) AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS merged_from
+FROM r GROUP BY upload_id, run
 """)
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.merge_runs(render.tokens(spark, sf_dir)).select("upload_id", "token_ix", "text", "x0", "x1", "merged_from")
+    return tokens.merge_runs(render.tokens(spark, sf_dir)).select("upload_id", "token_ix", "text", F.round("confidence", 6).alias("confidence"), "x0", "y0", "x1", "y1", "merged_from")
 
 
 @_query(f"""
@@ -417,7 +402,22 @@ def token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.page_text(render.tokens(spark, sf_dir)).select("upload_id", "text")
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE {SQL_TOKENS}, o AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY y0, x0, token_ix) AS n FROM tok),
+fold AS (
+  SELECT upload_id, token_ix, x0, y0, n, 0 AS line, [y0] AS low, [y1] AS high FROM o WHERE n = 1
+  UNION ALL
+  SELECT upload_id, token_ix, x0, y0, n, k - 1,
+    CASE WHEN k > len(low) THEN list_append(low, y0) ELSE list_transform(low, lambda v, i: CASE WHEN i = k THEN least(v, y0) ELSE v END) END,
+    CASE WHEN k > len(high) THEN list_append(high, y1) ELSE list_transform(high, lambda v, i: CASE WHEN i = k THEN greatest(v, y1) ELSE v END) END
+  FROM (
+    SELECT o.upload_id, o.token_ix, o.x0, o.y0, o.y1, o.n, f.low, f.high,
+      coalesce(nullif(list_position(list_transform(f.low, lambda v, i: abs((v + f.high[i]) / 2 - (o.y0 + o.y1) / 2) <= {rules.LINE_TOLERANCE}), true), 0), len(f.low) + 1) AS k
+    FROM fold f JOIN o ON o.upload_id = f.upload_id AND o.n = f.n + 1
+  )
+), t AS (SELECT *, min(y0) OVER (PARTITION BY upload_id, line) AS top FROM fold)
+SELECT upload_id, token_ix::INT AS token_ix, line::INT AS line, row_number() OVER (PARTITION BY upload_id ORDER BY top, line, x0, token_ix)::INT AS place FROM t
+""")
 def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     lined = tokens.cluster_lines(render.tokens(spark, sf_dir))
     return tokens.reading_order(lined).select("upload_id", "token_ix", "line", "place")
@@ -580,9 +580,7 @@ SELECT c_custkey AS upload_id, (1 + CASE WHEN s_suppkey IS NULL THEN 0 ELSE 1 EN
 FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
 """)
 def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _all_pages(spark, sf_dir)
-    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload_id"))
-    r = results.result_records(p.join(known, "upload_id", "left_semi"))
+    r = results.result_records(_known_pages(spark, sf_dir))
     bank_doc = F.filter("documents", lambda d: d["document_type"] == "bank_statement")[0]
     return r.select(
         "upload_id", F.size("documents").alias("documents"), F.array_max(F.transform("documents", lambda d: d["merged_from_pages"])).alias("most_pages"),
@@ -601,16 +599,31 @@ def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.lookup(status, wanted).select("upload_id", "outcome")
 
 
-@_query("SELECT doc_id::VARCHAR AS upload_id, 'completed' AS status, 1::BIGINT AS documents FROM documents")
-def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses of a file-arrival stream over the documents table: one per document."""
-    import uuid
+def _known_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_all_pages`` of customers."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload_id"))
+    return _all_pages(spark, sf_dir).join(known, "upload_id", "left_semi")
+
 
+@_query("""
+SELECT c_custkey::VARCHAR AS upload_id, 'completed' AS status, (CASE WHEN s_suppkey IS NULL THEN 2 ELSE 3 END)::BIGINT AS pages, true AS same_as_batch FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
+UNION ALL SELECT 'broken', 'failed', 1, false
+""")
+def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file-arrival stream over all customers' pages and one broken upload: statuses, and whether whole results are the batch job's."""
+    from paperloom.plans.scratch import fresh
     from paperloom.streaming import intake
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/paperloom-stream").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    source = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("upload_id"), F.lit(1).alias("document_number"), "text")
-    source.write.parquet(f"{root}/in")
-    stream = intake.arrivals(spark, f"{root}/in", "upload_id string, document_number int, text string")
-    intake.run_once(stream, intake.documents_of, f"{root}/out", f"{root}/status", f"{root}/checkpoint").awaitTermination()
-    return intake.statuses(spark, f"{root}/status")
+    root = fresh(spark, "stream")
+    given = _known_pages(spark, sf_dir).select(F.col("upload_id").cast("string").alias("upload_id"), "document_number", "text")
+    lines = given.repartition("upload_id").select(F.to_json(F.struct(*given.columns)).alias("value"))
+    broken = spark.range(1).select(F.lit('{"upload_id": "broken", "document_number": "one", "text": "Account No"}').alias("value"))
+    lines.unionByName(broken).write.text(f"{root}/in")
+    intake.run_once(intake.arrivals(spark, f"{root}/in"), intake.results_of, f"{root}/out", f"{root}/status", f"{root}/checkpoint").awaitTermination()
+    batch = results.result_records(given).drop("processing_completed_at")
+    streamed = spark.read.schema(batch.schema).parquet(f"{root}/out")
+    whole = lambda df, name: df.select("upload_id", F.to_json(F.struct(*[c for c in batch.columns if c != "upload_id"])).alias(name))
+    same = whole(batch, "a").join(whole(streamed, "b"), "upload_id").select("upload_id", (F.col("a") == F.col("b")).alias("same"))
+    out = intake.statuses(spark, f"{root}/status").join(same, "upload_id", "left")
+    return out.select("upload_id", "status", "pages", F.coalesce("same", F.lit(False)).alias("same_as_batch"))
+

@@ -11,6 +11,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Engine(Protocol):
@@ -32,11 +33,22 @@ def engine(name: str, language: str = "en") -> Engine:
     return make(language)
 
 
+def engines(names: list[str], language: str = "en") -> list[Engine]:
+    """The first engine, which must load, and those of the others that do."""
+    out = [engine(names[0], language)]
+    for name in names[1:]:
+        try:
+            out.append(engine(name, language))
+        except (ImportError, OSError, RuntimeError, ValueError):
+            continue
+    return out
+
+
 TOKENS = "upload_id string, page int, token_ix int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
 
 
 def recognise(images: DataFrame, make: Callable[[], Engine]) -> DataFrame:
-    """(upload_id, page, content) -> tokens; an image that fails gives none."""
+    """(upload_id, page, content) -> tokens, and a row (token_ix -1, text the error) for each image that fails; see ``tokens_of`` and ``failures``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = make()
@@ -45,10 +57,18 @@ def recognise(images: DataFrame, make: Callable[[], Engine]) -> DataFrame:
             rows = []
             for u, p, content in zip(f["upload_id"], f["page"], f["content"], strict=True):
                 try:
-                    found = reader.tokens(content, p)
-                except Exception:  # a page that can't be read is an empty page
-                    found = []
-                rows += [(u, p, i, *t) for i, t in enumerate(found)]
+                    rows += [(u, p, i, *t) for i, t in enumerate(reader.tokens(content, p))]
+                except Exception as e:  # one page must not end the job; it is reported instead
+                    rows.append((u, p, -1, f"{type(e).__name__}: {e}", None, None, None, None, None))
             yield pd.DataFrame(rows, columns=names)
 
     return images.select("upload_id", "page", "content").mapInPandas(run, TOKENS)
+
+
+def tokens_of(recognised: DataFrame) -> DataFrame:
+    return recognised.where("token_ix >= 0")
+
+
+def failures(recognised: DataFrame) -> DataFrame:
+    """(upload_id, page, error) of images that no engine could read."""
+    return recognised.where("token_ix < 0").select("upload_id", "page", F.col("text").alias("error"))

@@ -1,4 +1,8 @@
-"""File-arrival streams: landing folder to result records, with a status per upload."""
+"""File-arrival streams: landing folder to result records, with a status per upload.
+
+A file is the unit of work: an upload's pages come in one file, so carrying values across pages and
+merging pages happen within a batch and need no state between batches.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.plans.results import extract_documents
+from paperloom.plans.results import result_records
+
+PAGES = "upload_id string, document_number int, text string"
+STATUS = "upload_id string, status string, pages long"
 
-STATUS = "upload_id string, status string, documents long"
 
+def arrivals(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """A stream of files of JSON lines (upload_id, document_number, text) as they land.
 
-def arrivals(spark: SparkSession, folder: str, schema: str, max_files: int = 1000) -> DataFrame:
-    """A stream of Parquet files as they land; a file is the unit of work, so an upload's pages come together."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+    A line that is no page (no JSON, a wrong type, a missing number or text) is marked broken; one
+    without an upload's id belongs to an upload named like its file.
+    """
+    rows = spark.readStream.schema(PAGES + ", line string").option("columnNameOfCorruptRecord", "line").option("maxFilesPerTrigger", max_files).json(folder)
+    broken = F.col("line").isNotNull() | F.col("document_number").isNull() | F.col("text").isNull()
+    return rows.select(F.coalesce("upload_id", F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "")).alias("upload_id"), "document_number", "text", broken.alias("broken"))
 
 
 def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, status: str, checkpoint: str) -> StreamingQuery:
     """Processes all that has landed: results and statuses are written per batch, by batch id.
 
-    Writing to a folder named by the batch id and replacing it makes a repeated batch harmless.
+    An upload is "processing" from when its batch begins; then "failed" if one of its pages is broken,
+    else "completed" with its result.  Writing to a folder named by the batch and replacing it makes a
+    repeated batch harmless.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        work(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        done = rows.groupBy(F.col("upload_id").cast("string").alias("upload_id")).agg(F.count("*").alias("documents"))
-        done.select("upload_id", F.lit("completed").alias("status"), "documents").write.mode("overwrite").parquet(f"{status}/batch={batch_id}")
+        uploads = rows.groupBy("upload_id").agg(F.count("*").alias("pages"), F.bool_or("broken").alias("broken"))
+
+        def say(step: int, state) -> None:
+            uploads.select("upload_id", state.alias("status"), "pages").write.mode("overwrite").parquet(f"{status}/batch={batch_id}/step={step}")
+
+        say(0, F.lit("processing"))
+        good = rows.join(uploads.where("broken").select("upload_id"), "upload_id", "left_anti").drop("broken")
+        work(good).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        say(1, F.when(F.col("broken"), "failed").otherwise("completed"))
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,9 +55,10 @@ def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str
 
 def statuses(spark: SparkSession, status: str) -> DataFrame:
     """The latest status of each upload."""
-    rows = spark.read.schema(STATUS + ", batch long").parquet(status)
-    return rows.groupBy("upload_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("documents", "batch").alias("documents"))
+    rows = spark.read.schema(STATUS + ", batch long, step int").parquet(status).withColumn("at", F.struct("batch", "step"))
+    return rows.groupBy("upload_id").agg(F.max_by("status", "at").alias("status"), F.max_by("pages", "at").alias("pages"))
 
 
-def documents_of(rows: DataFrame) -> DataFrame:
-    return extract_documents(rows)
+def results_of(pages: DataFrame) -> DataFrame:
+    """What a batch does with its pages: the whole path of a batch job."""
+    return result_records(pages)
