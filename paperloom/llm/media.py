@@ -69,6 +69,14 @@ def tensors(media: DataFrame, column: str = "media", keep: tuple[str, ...] | Non
     return rows.mapInArrow(run, _schema(rows, own, "height int, width int, rgb binary"))
 
 
+def write_tensors(media: DataFrame, path: str, column: str = "media") -> None:
+    """Stores the tensors of a media column, with its other columns, as zstd Parquet.
+
+    A tensor has twice the bytes of a stored payload, so the query digests tensors and doesn't store them.
+    """
+    tensors(media, column).write.option("compression", "zstd").parquet(path)
+
+
 def payloads(media: DataFrame, column: str = "media", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``keep`` columns (all others, by default) and payload, the bytes stored in the JPEG."""
     own = [c for c in (media.columns if keep is None else keep) if c != "payload" and (keep is not None or c != column)]
