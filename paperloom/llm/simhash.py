@@ -236,16 +236,22 @@ def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
     of which two at least agree as well, and so on up to ``LEVELS`` times.  Only what is still
     larger is dealt out as pairs of tiles.
     """
+    met = candidates(nodes, d, tile)
+    by = ["level", "kind", "key", "low", "high"]
+    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d), "a long, b long")
+
+
+def candidates(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
+    """Fingerprints by the groups (level, kind, key, low, high) that they are compared in, see ``linked``."""
     masks = block_masks(blocks_for(nodes.count(), d), d)
     keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for i, m in enumerate(masks)])
     keyed = checkpointed(pivot_table(nodes).withColumn("k", F.explode(keys)).select("k.*", F.col("fp").alias("id"), "p0", "p1"))
-    by = ["level", "kind", "key", "low", "high"]
     met = None
     for level in range(LEVELS + 1):
         groups = checkpointed(keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"))
         large = groups.where(F.col("n") > tile) if level < LEVELS else groups.limit(0)
         last = large.isEmpty()
-        tiles = _tiled(keyed, groups if last else groups.where(F.col("n") <= tile), ["kind", "key"], tile).withColumn("level", F.lit(level)).select(*by, "tile", "id", "p0", "p1")
+        tiles = _tiled(keyed, groups if last else groups.where(F.col("n") <= tile), ["kind", "key"], tile).withColumn("level", F.lit(level)).select("level", "kind", "key", "low", "high", "tile", "id", "p0", "p1")
         met = tiles if met is None else met.unionByName(tiles)
         if last:
             break
@@ -254,7 +260,7 @@ def linked(nodes: DataFrame, d: int = BITS, tile: int = TILE) -> DataFrame:
         table = nodes.sparkSession.createDataFrame(table, "kind int, finer int, mask long").hint("broadcast")
         again = keyed.join(large.select("kind", "key"), ["kind", "key"], "left_semi").join(table, "kind")
         keyed = checkpointed(again.select(F.col("finer").alias("kind"), F.col("id").bitwiseAND(F.col("mask")).alias("key"), "id", "p0", "p1"))
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_stars(d), "a long, b long")
+    return met
 
 
 def _tiled(keyed: DataFrame, groups: DataFrame, key: list[str], tile: int) -> DataFrame:
