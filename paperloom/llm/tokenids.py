@@ -42,7 +42,8 @@ FOOTER = "S8B-END1"
 HEADER = struct.Struct(">8sqqqqqq")  # magic, place, ids, documents, ids in a block, words, escapes
 
 BLOCK = 1024
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 23
+PIECE_IDS = 1 << 20  # packed and unpacked at once
 END_ID = 2
 CACHE_PIECES = 200_000
 SLICE_BYTES = 2 << 20
@@ -123,9 +124,32 @@ def unpack(words: np.ndarray, first_word: np.ndarray, escapes: np.ndarray, n: in
     return out
 
 
+def pack_pieces(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``pack``, some blocks after the others, so that its memory doesn't grow with the file."""
+    step = max(1, PIECE_IDS // block) * block
+    parts = [pack(ids[k : k + step], block) for k in range(0, max(len(ids), 1), step)]
+    words, first_word, escapes, first_escape = zip(*parts, strict=True)
+
+    def offsets(firsts) -> np.ndarray:
+        base = np.cumsum([0, *(int(f[-1]) for f in firsts)])
+        return np.concatenate([[0], *(f[1:] + b for f, b in zip(firsts, base[:-1], strict=True))]).astype(np.uint32)
+
+    return np.concatenate(words), offsets(first_word), np.concatenate(escapes), offsets(first_escape)
+
+
+def unpack_pieces(words: np.ndarray, first_word: np.ndarray, escapes: np.ndarray, first_escape: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
+    """The ids that ``pack_pieces`` packed."""
+    out, step = np.zeros(n, dtype=np.uint32), max(1, PIECE_IDS // block)
+    for k in range(0, len(first_word) - 1, step):
+        z = min(k + step, len(first_word) - 1)
+        a, stop = k * block, min(z * block, n)
+        out[a:stop] = unpack(words[first_word[k] : first_word[z]], first_word[k : z + 1] - first_word[k], escapes[first_escape[k] : first_escape[z]], stop - a, block)
+    return out
+
+
 def to_file(place: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One file without its footer."""
-    words, first_word, escapes, first_escape = pack(ids, block)
+    words, first_word, escapes, first_escape = pack_pieces(ids, block)
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     keys = np.array([x or 0 for x in doc_ids], dtype="<i8")
     head = HEADER.pack(MAGIC, place, len(ids), len(doc_ids), block, len(words), len(escapes))
@@ -142,8 +166,8 @@ def from_file(data: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarra
     for kind, size in (("<u1", docs), ("<i8", docs), ("<u4", docs), ("<u4", blocks + 1), ("<u4", blocks + 1), ("<u8", n_words), ("<u4", n_escapes)):
         got.append(np.frombuffer(data, kind, size, at))
         at += got[-1].nbytes
-    known, keys, lengths, first_word, _, words, escapes = got
-    return place, [int(k) if y else None for y, k in zip(known, keys, strict=True)], lengths, unpack(words, first_word, escapes, n, block)
+    known, keys, lengths, first_word, first_escape, words, escapes = got
+    return place, [int(k) if y else None for y, k in zip(known, keys, strict=True)], lengths, unpack_pieces(words, first_word, escapes, first_escape, n, block)
 
 
 #: Byte classes of plain texts: letters (also U+00C0-U+024F), digits, white space, others.

@@ -89,6 +89,17 @@ def test_simple8b():
             assert (tokenids.unpack(w, first, esc, n) == a).all()
 
 
+def test_simple8b_in_pieces(monkeypatch):
+    monkeypatch.setattr(tokenids, "PIECE_IDS", 3000)
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2048, 2049, 9000):
+        a = rnd.integers(0, 60_000, n).astype(np.uint32)
+        a[::97] = (1 << 32) - 1 - np.arange(len(a[::97]), dtype=np.uint32)
+        place, keys, lengths, ids = tokenids.from_file(tokenids.to_file(7, [5, None], np.array([n, 0]), a) + tokenids.FOOTER.encode())
+        assert (place, keys, lengths.tolist()) == (7, [5, None], [n, 0]) and (ids == a).all()
+        assert all((x == y).all() for x, y in zip(tokenids.pack_pieces(a), tokenids.pack(a), strict=True))
+
+
 def test_token_files(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
