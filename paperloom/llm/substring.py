@@ -35,7 +35,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import checkpointed, fresh_dir, join_small, saved
+from paperloom.llm.shared import checkpointed, delete, fresh_dir, join_small, saved
 from paperloom.llm.words import mix, normal_form, prefix, range_hash, raw, slices, split
 
 WINDOW = 20
@@ -193,26 +192,22 @@ def _listed(owner: np.ndarray, position: np.ndarray, lists: pa.Array) -> np.ndar
     return np.flatnonzero(hit)
 
 
-@contextmanager
-def _fixed_partitions(spark: SparkSession):
-    """While tables are bucketed, one shuffle partition is one bucket."""
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bucketed(df: DataFrame, by: str) -> DataFrame:
-    """``df``, already hash-partitioned ``by``, as a table in the shared folder that joins on ``by`` needn't shuffle."""
-    spark = df.sparkSession
-    name = f"paperloom_{uuid.uuid4().hex}"
-    with _fixed_partitions(spark):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(n, by).option("path", fresh_dir(spark, "bucketed")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+def _bucketed(df: DataFrame, by: str) -> tuple[str, str]:
+    """(name, path) of ``df``, dealt out to ``_partitions`` ``by``, as a table in the shared folder that joins on ``by`` needn't shuffle."""
+    name, path = f"paperloom_{uuid.uuid4().hex}", fresh_dir(df.sparkSession, "bucketed")
+    df.write.bucketBy(_partitions(df.sparkSession), by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return name, path
+
+
+def _dropped(spark: SparkSession, *tables: tuple[str, str]) -> None:
+    """Takes tables that are done with out of the catalog and deletes their files."""
+    for name, path in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def _row_schema(df: DataFrame, own: list[str], more: str) -> str:
@@ -350,19 +345,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] |
         sized = saved(sized, "substring")
     ranked = _ranked(sized.select("n_words", F.col("__doc").alias("doc"), F.col("__key").alias("key")), window)
     rows = rows.select("__text", F.col("__doc").alias("doc"))
-    with _fixed_partitions(docs.sparkSession):
-        one = _packed(rows, window).join(ranked, ["doc", "key"]).groupBy("rank").agg(F.first("packed").alias("packed"))
-        texts = _bucketed(one, "rank")
-        counted = _symbols(texts, window).groupBy("name").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("position").alias("position"))
-        lists = counted.where("n = 1").groupBy("rank").agg(F.collect_list("position").alias("unique"))
-        unique = _bucketed(lists, "rank")
-    with_unique = texts.join(unique, "rank", "left")
+    spark = docs.sparkSession
+    n = _partitions(spark)
+    one = _packed(rows, window).join(ranked, ["doc", "key"]).select("rank", "packed").repartition(n, "rank").groupBy("rank").agg(F.first("packed").alias("packed"))
+    text_table = _bucketed(one, "rank")
+    texts = spark.table(text_table[0])
+    counted = _symbols(texts, window).groupBy("name").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("position").alias("position"))
+    lists = counted.where("n = 1").repartition(n, "rank").groupBy("rank").agg(F.collect_list("position").alias("unique"))
+    unique_table = _bucketed(lists, "rank")
+    with_unique = texts.join(spark.table(unique_table[0]), "rank", "left")
     firsts = _windows(with_unique, window).groupBy("h1", "h2").agg(F.min("at").alias("at"))
     mask = (1 << POSITION_BITS) - 1
     of = firsts.select(F.shiftright("at", POSITION_BITS).alias("rank"), F.col("at").bitwiseAND(mask).cast("int").alias("position"))
     of = of.groupBy("rank").agg(F.collect_list("position").alias("firsts"))
     lost = _kept(with_unique.join(of, "rank", "left"), window)
     lost = saved(lost, "substring")
+    _dropped(spark, text_table, unique_table)
     addressed = ranked.join(lost, "rank", "left").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), "rank", "n_removed", F.col("kept").alias("__kept"))
     out = sized.join(addressed, ["__doc", "__key"], "left")
     copy = F.col("rank").isNull() & (F.col("n_words") >= window)
