@@ -84,9 +84,12 @@ def page_record(page_id, url, payload, payload_bytes, payload_digest, refers_to)
 
 
 def train(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> zstd.ZstdCompressionDict | None:
-    """A dictionary from records spread over the file; None if they are too few or too short to train on."""
-    step = max(1, -(-sum(map(len, records)) // sample))
-    chosen = [r for r in records[::step] if len(r) >= 8]
+    """A dictionary from records spread over the file; None if they are too few or too short to train on.
+
+    Records of over an eighth of the sample are left out, so that one of them doesn't take the place of all others.
+    """
+    fit = [r for r in records if 8 <= len(r) <= sample // 8]
+    chosen = fit[:: max(1, -(-sum(map(len, fit)) // sample))]
     size = min(size, sum(map(len, chosen)) // 16)
     if len(chosen) < 8 or size < 1024:
         return None

@@ -76,6 +76,9 @@ def test_warc_dictionary_frame():
     data = warc.archive(records)
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
     assert list(warc.frames(data + warc.FOOTER.encode()))[1:] == records
+    huge = warc.page_record(999, "u", b"<p>" + b"z" * (40 << 20), 1, "d", None)
+    data = warc.archive([*records[:50], huge, *records[50:]])
+    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
 
 
 def test_simple8b():
