@@ -39,8 +39,8 @@ from paperloom.llm.words import distinct, mix, raw, slices, strings
 DROPOUT = 0.1
 SEED = 20_240_601
 LONGEST = 40
-CACHE_NODES = 1_000_000
-SLICE_BYTES = 2 << 20
+CACHE_NODES = 300_000
+SLICE_BYTES = 1 << 20
 BLOCK_CHUNKS = 1 << 18
 _NONE = (1 << 31) - 1
 _SKIPPED = 64
@@ -226,7 +226,7 @@ class Model:
             for name in names:
                 x = getattr(self, name)
                 if len(x) < need * per:
-                    setattr(self, name, np.concatenate([x, np.zeros(max(len(x), need * per - len(x)), dtype=x.dtype)]))
+                    setattr(self, name, np.concatenate([x, np.zeros(max(len(x) // 2, need * per - len(x)), dtype=x.dtype)]))
 
     def _after(self, node: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """New nodes: what ``node`` leads to if its candidate merges, or where ``skip``, is skipped."""

@@ -26,11 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import checkpointed, join_small
-from paperloom.llm.words import LOWER, NOT_TERM, Words, raw, slices, split, strings
+from paperloom.llm.words import LOWER, NOT_TERM, raw, slices, split, strings
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 20_000
@@ -49,15 +50,17 @@ FOLDS = 5
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each text, each once and ascending: (owner, bucket)."""
     w = split(column, NOT_TERM)
-    low, owner = LOWER[w.data], w.owner
-    found = [(owner, w.hashes(low)[0])]
-    for k in PREFIXES:
-        longer = w.end - w.start > k
-        stem = Words(w.data, w.text, w.start[longer], w.start[longer] + k, w.first)
-        found.append((owner[longer], stem.hashes(low)[0] + np.uint64(k)))
-    both = np.concatenate([o.astype(np.uint64) * np.uint64(BUCKETS) + (h & np.uint64(BUCKETS - 1)) for o, h in found])
-    both = np.unique(both)
-    return (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(BUCKETS - 1)).astype(np.int64)
+    number, found = w.distinct(LOWER[w.data])
+    terms, hashed = found.to_pylist(), xxhash.xxh3_64_intdigest
+    once = np.unique(w.owner * max(len(terms), 1) + number)  # each term of a text once
+    owner, number = np.divmod(once, max(len(terms), 1))
+    length = np.fromiter(map(len, terms), np.int64, len(terms))
+    both = []
+    for k in (None, *PREFIXES):
+        bucket = np.fromiter((hashed(t[:k], k or 0) for t in terms), np.uint64, len(terms)) & np.uint64(BUCKETS - 1)
+        has = np.ones(len(number), dtype=bool) if k is None else length[number] > k
+        both.append(owner[has] * BUCKETS + bucket.astype(np.int64)[number[has]])
+    return np.divmod(np.unique(np.concatenate(both)), BUCKETS)
 
 
 @dataclass

@@ -297,15 +297,16 @@ def test_piece_model(spark, docs, rows, none):
     assert pieces.decode(spark.createDataFrame([(None,)], "ids array<int>"), model).first().text == ""
 
 
-def test_heap_and_batches_agree():
+def test_heap_and_trees_agree():
     m = pieces.Model.at(public_tokenizers.path("piece_bpe_32k.model"))
     rnd = random.Random(2)
-    chunks = [m.symbols(" " + "".join(rnd.choice("abcdetionsß日 ") for _ in range(rnd.randrange(1, 30)))) for _ in range(500)]
+    chunks = [" " + "".join(rnd.choice("abcdetionsß日 ") for _ in range(rnd.randrange(1, 30))) for _ in range(500)]
     keys = np.array([rnd.getrandbits(64) for _ in chunks], dtype=np.uint64)
-    limit = int(0.3 * 2**64)
-    flat, size = m.together(np.concatenate(chunks), np.array([len(c) for c in chunks]), keys, limit)
-    stop = np.cumsum(size)
-    assert [flat[a:z].tolist() for a, z in zip(stop - size, stop, strict=True)] == [m.by_heap(c.tolist(), int(k), limit) for c, k in zip(chunks, keys, strict=True)]
+    for dropout in (0.0, 0.3, 1.0):
+        limit = min(int(dropout * 2**64), 2**64 - 1)
+        leaf = m._walk(m._roots([c.encode() for c in chunks]), keys, limit)
+        got = [m.sym[m.first[x] : m.first[x] + m.size[x]].tolist() for x in leaf]
+        assert got == [m.by_heap(m.symbols(c).tolist(), int(k), limit) for c, k in zip(chunks, keys, strict=True)]
 
 
 def brute_repeats(rows, window=20):
