@@ -23,8 +23,8 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"rule_ablations": ledger.ablation_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
+    return {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")} | {"rule_ablations": ledger.ABLATION_ORACLE}

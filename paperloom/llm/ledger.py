@@ -13,12 +13,14 @@ gives an empty ledger; columns of the input named like a measurement are replace
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import saved
 from paperloom.llm.words import SPACE, distinct, slices, split
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims")
@@ -127,12 +129,18 @@ def ablations(rows: DataFrame, policy: str | tuple[str, ...]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = apply_policy(apply_policy(ledger(docs, keep=("doc_id",)), "v1"), "base", "base_kept")
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept"
-    )
+    return rows.select("doc_id", *MEASURES, "failed", (~F.col("base_kept")).alias("base_failed"), "kept")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy fails, and what only it rejects, over the whole documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = saved(ledger(docs, keep=("doc_id",)).select("doc_id", "failed"), "ledger")  # read once per policy
+    out = [ablations(rows, p).select(F.lit(p).alias("policy"), "rule", "failed", F.col("only").alias("only_rule")) for p in POLICIES]
+    return reduce(DataFrame.unionByName, out)
 
 
-ORACLE = r"""
+_MEASURED = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
@@ -154,10 +162,17 @@ WITH d AS (
     coalesce(v.n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(regexp_extract_all(d.text, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(d.text, '!'))::BIGINT AS n_exclaims
   FROM d JOIN w USING (r) LEFT JOIN v USING (r) LEFT JOIN l USING (r)
+), b AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 5 * n_lines)::INT
+    + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 14 * n_words)::INT + 64 * (10 * n_capitals > 3 * word_chars)::INT + 128 * (10 * n_exclaims > n_words)::INT)::BIGINT AS failed FROM m
+)"""
+
+ORACLE = f"""{_MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclaims, failed, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM b
+"""
+
+ABLATION_ORACLE = f"""{_MEASURED}, r AS (
+  SELECT * FROM (VALUES {", ".join(f"('{p}', '{r}', {BIT[r]}, {mask(p)})" for p in POLICIES for r in POLICIES[p])}) x(policy, rule, bit, mask)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines
-    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_capitals > 3 * word_chars OR 10 * n_exclaims > n_words) AS kept
-FROM m
+SELECT policy, rule, (count(*) FILTER (failed & bit <> 0))::BIGINT AS failed, (count(*) FILTER (failed & mask = bit))::BIGINT AS only_rule FROM r, b GROUP BY policy, rule
 """

@@ -1,15 +1,18 @@
 """The registered queries against their SQL, and the pipeline against its parts, on the smallest tables."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pandas as pd
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from paperloom.llm import catalog
+from paperloom.llm import catalog, pieces
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -57,4 +60,9 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     odd = [(1, None, None, None, None), (1, None, None, None, None), (None, "", None, "a", 0), (None, "", None, "a", 0), (2, "w " * 3000, "en", None, 5), (2, "w " * 3000, "en", None, 5), (3, "some words here", "en", "b", 3)]
     spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as score", "2 as kept", "3 as size").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(r.doc_id for r in got)
+    # texts without words are one class, as are the repeated rows; every source has a rate of 1.5
+    assert set(copies) == {1, 2, 3} and set(copies.values()) <= {1, 2}
+    assert {r.n_tokens for r in got if r.doc_id == 1} == {0}
+    assert {tuple(r.ids) for r in got if r.doc_id == 2} == {tuple(lone.ids) for lone in pieces.encode(spark.createDataFrame([(2, "w")], "doc_id long, text string"), MODEL, dropout=0.0).collect()}
