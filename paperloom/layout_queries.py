@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import classify, dates, numbers, text
-from paperloom.operators import bank, older, pages, spatial, tokens, validate
+from paperloom.operators import bank, older, pages, payslip, spatial, tokens, validate
 from paperloom.plans import render, results, scratch, sinks
 from paperloom.plans.render import SQL_PAGES, SQL_TOKENS, table
 from paperloom.queries import _LABELS, _NUMBER, _row_tokens
@@ -283,3 +283,52 @@ def rule_table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     table_ = {"account_number_pattern": r"^AC\d{2}$", "date_range": {"min_year": 2000, "max_year": 2030}}
     return rows.select("c_custkey", validate.bank_verdict(table=table_)["validation_message"].alias("validation_message"))
+
+
+# --- second layouts ------------------------------------------------------------------------
+
+
+@_query("""
+WITH k AS (SELECT s_suppkey AS id, translate(lpad(s_suppkey::VARCHAR, 6, '0'), '0123456789', 'ABCDEFGHIJ') AS n, s_suppkey % 5 AS b, (1000 + s_suppkey % 9000) AS m FROM supplier)
+SELECT id AS upload_id, (['cimb', 'bsn', 'bank_islam', 'public_islamic', 'generic'])[b + 1] AS detected_bank,
+  CASE b WHEN 0 THEN '51-0000123-4' WHEN 1 THEN lpad(id::VARCHAR, 16, '1') WHEN 2 THEN lpad(id::VARCHAR, 14, '1') WHEN 3 THEN lpad(id::VARCHAR, 10, '1') ELSE lpad(id::VARCHAR, 12, '1') END AS account_number,
+  CASE b WHEN 0 THEN 'ALPHA ' || n || ' BIN GAMMA' WHEN 1 THEN 'ALPHA ' || n || ' BIN BETA' WHEN 2 THEN 'PUAN ALPHA ' || n WHEN 3 THEN 'ENCIK ALPHA ' || n || ' BIN BETA' ELSE 'PUAN ALPHA ' || n END AS account_holder_name,
+  CASE b WHEN 0 THEN '28/02/2024' WHEN 1 THEN '03/04/2024' WHEN 2 THEN '05/06/24' WHEN 3 THEN '9 June 2024' ELSE '03/04/24' END AS statement_date,
+  m || '.50' AS opening_balance, CASE b WHEN 2 THEN '7.00' ELSE (m + 1) || '.10' END AS closing_balance,
+  CASE WHEN b IN (0, 2) THEN NULL ELSE '5.00' END AS total_debit, CASE WHEN b IN (0, 2) THEN NULL ELSE '6.00' END AS total_credit,
+  CASE b WHEN 0 THEN '01/02/2024' WHEN 1 THEN '01/03/2024' WHEN 2 THEN '01/05/24' WHEN 3 THEN NULL ELSE '01/03/24' END AS statement_period_from,
+  CASE b WHEN 0 THEN '27/02/2024' WHEN 1 THEN '31/03/2024' WHEN 2 THEN '31/05/24' WHEN 3 THEN NULL ELSE '30/03/24' END AS statement_period_to
+FROM k
+""")
+def extract_other_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements whose fields are found by the later words and patterns of each bank."""
+    k = F.col("s_suppkey")
+    n, m = render.letters(k), k % 9000 + 1000
+    digits = lambda w: F.lpad(k.cast("string"), w, "1")
+    opening, closing = F.format_number(m + F.lit(0.5), 2), F.format_number(m + F.lit(1.1), 2)
+    dots = F.translate(opening, ",", "."), F.translate(closing, ",", ".")
+    layouts = [
+        F.concat(F.lit("CIMB BANK 7 Alpha "), n, F.lit(" Bin Gamma 12 Tarikh Penyata 28/02/2024 No Akaun 51-0000123-4 OPENING BALANCE "), opening, F.lit(" BAKI PENUTUP "), closing, F.lit(" From 01/02/2024 To 27/02/2024")),
+        F.concat(F.lit("BANK SIMPANAN NASIONAL BSN 1 ALPHA "), n, F.lit(" BIN BETA Account No "), digits(16), F.lit(" Tarikh Penyata 03/04/2024 Baki Hadapan "), dots[0], F.lit(" Available Balance "), dots[1], F.lit(" Total Debit: 5.00 Total Credit: 6.00 From 01/03/2024 To 31/03/2024")),
+        F.concat(F.lit("BANK ISLAM PUAN ALPHA "), n, F.lit(" NOMBOR AKAUN "), digits(14), F.lit(" STATEMENT DATE 05/06/24 BAL BIF "), opening, F.lit(" BAL C/F 7.00 From 01/05/24 To 31/05/24")),
+        F.concat(F.lit("PUBLIC ISLAMIC BANK ENCIK ALPHA "), n, F.lit(" BIN BETA STATEMENT OF ACCOUNT Account Number: "), digits(10), F.lit(" Statement Date 2024 June 9 Balance From Last Statement "), opening, F.lit(" Closing Balance RM "), closing, F.lit(" Total Debits 5.00 Total Credits 6.00")),
+        F.concat(F.lit("KOPERASI SATU ACC NO: "), digits(12), F.lit(" PUAN ALPHA "), n, F.lit(" tarikh 03/04/24 baki awal "), opening, F.lit(" baki akhir "), closing, F.lit(" jumlah debit 5.00 jumlah kredit 6.00 dari 01/03/24 hingga 30/03/24")),
+    ]
+    said = F.element_at(F.array(*layouts), (k % 5 + 1).cast("int"))
+    r = bank.bank_record(table(spark, sf_dir, "supplier").select(k.alias("upload_id"), text.clean_text(said).alias("text")))
+    return r.select("upload_id", "detected_bank", *bank.FIELDS)
+
+
+@_query("""
+WITH k AS (SELECT s_suppkey AS id, (100 + s_suppkey % 900) AS m FROM supplier)
+SELECT id AS upload_id, m || '.25' AS gross_income, CASE WHEN id % 2 = 0 THEN '60.75' ELSE '45.50' END AS total_deduction, '01/2023' AS month_year FROM k
+""")
+def extract_payslip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payslips without a total of deductions on every other one: the items are added up."""
+    k = F.col("s_suppkey")
+    gap = F.lit(" " + render.FILLER)
+    gross = F.concat((k % 900 + 100).cast("string"), F.lit(".25"))
+    less = F.when(k % 2 == 0, F.concat(F.lit("KWSP 50.50 ringgit "), gap, F.lit("Takaful 10.25 dan"))).otherwise(F.lit("Jumlah Potongan 45.50"))
+    said = F.concat(F.lit("Nama: ALPHA BIN GAMMA 1"), gap, F.lit("No KP 900101145555"), gap, F.lit("Jumlah Pendapatan "), gross, gap, less, gap, F.lit("M/S 1/2023"))
+    r = payslip.payslip_record(table(spark, sf_dir, "supplier").select(k.alias("upload_id"), said.alias("text")))
+    return r.select("upload_id", "gross_income", "total_deduction", "month_year")
