@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom import samples
 from paperloom.functions import classify, dates, numbers, text
 from paperloom.operators import bank, older, pages, payslip, spatial, tokens, validate
-from paperloom.plans import render, results, scratch, sinks
-from paperloom.plans.render import SQL_PAGES, SQL_TOKENS, table
+from paperloom.plans import results, scratch, sinks
 from paperloom.queries import _LABELS, _NUMBER, _row_tokens
 from paperloom.registry import query as _query
+from paperloom.samples import SQL_PAGES, SQL_TOKENS, table
 
 # --- layout --------------------------------------------------------------------------------
 
@@ -89,7 +90,7 @@ UNION ALL SELECT 'below', upload_id, lix::INT, token_ix::INT, trim(text) FROM {_
 """)
 def block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest block right of a label and that below it."""
-    t = render.tokens(spark, sf_dir)
+    t = samples.tokens(spark, sf_dir)
     labels = spatial.find_labels(t, ("total",))
     found = [spatial.nearest_block(t, labels, side).withColumn("side", F.lit(side)) for side in ("right", "below")]
     return found[0].unionByName(found[1]).select("side", "upload_id", F.col("l_token_ix").alias("label_ix"), "token_ix", "text")
@@ -102,7 +103,7 @@ SELECT upload_id, 'net' AS field, token_ix::INT AS token_ix FROM a WHERE n = 1 U
 """)
 def consumed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fields want the same tokens; what the first takes is gone for the second."""
-    t = render.tokens(spark, sf_dir).select("upload_id", "page", "token_ix", F.col("confidence").alias("score"))
+    t = samples.tokens(spark, sf_dir).select("upload_id", "page", "token_ix", F.col("confidence").alias("score"))
     wanted = t.withColumn("field", F.explode(F.array(F.lit("gross"), F.lit("net"))))
     return spatial.consume(wanted, ("net", "gross")).select("upload_id", "field", "token_ix")
 
@@ -118,7 +119,7 @@ def recognised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recogniser output as tokens: blank texts go, polygons become boxes, those without four points zeros."""
     point = lambda x, y: F.array(F.col(x), F.col(y))
     four = F.array(point("x1", "y0"), point("x0", "y0"), point("x0", "y1"), point("x1", "y1"))
-    raw = render.tokens(spark, sf_dir).withColumns({"polygon": F.when(F.col("token_ix") % 3 == 0, F.slice(four, 1, 3)).otherwise(four), "text": F.when(F.col("token_ix") % 4 == 0, "  ").otherwise(F.col("text"))})
+    raw = samples.tokens(spark, sf_dir).withColumns({"polygon": F.when(F.col("token_ix") % 3 == 0, F.slice(four, 1, 3)).otherwise(four), "text": F.when(F.col("token_ix") % 4 == 0, "  ").otherwise(F.col("text"))})
     diagonal = raw.select("upload_id", "token_ix", tokens.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("diagonal"))
     got = tokens.from_recognised(raw).withColumns({"weak": tokens.low_confidence(), "middle": tokens.center_y()})
     return got.join(diagonal, ["upload_id", "token_ix"]).select("upload_id", "token_ix", F.round("confidence", 8).alias("confidence"), "x0", "y0", "x1", "y1", "weak", "middle", "diagonal")
@@ -131,7 +132,7 @@ def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted confidence of a field found in a token."""
     source = F.when(F.col("token_ix") % 2 == 0, "pdf").otherwise("ocr")
     score = bank.weighted_confidence(F.col("confidence"), F.col("text").rlike(r"^-?\d+(\.\d+)?$"), F.col("x0") / 40, source)
-    return render.tokens(spark, sf_dir).select("upload_id", "token_ix", F.round(score, 9).alias("score"))
+    return samples.tokens(spark, sf_dir).select("upload_id", "token_ix", F.round(score, 9).alias("score"))
 
 
 # --- helpers -------------------------------------------------------------------------------
@@ -172,7 +173,7 @@ SELECT upload_id, count(*) AS total_documents, count(*) FILTER (document_type =
   avg(confidence_score) AS raw_average_confidence, sum(text_length)::BIGINT AS total_text_length FROM pg GROUP BY upload_id
 """)
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = render.statement_pages(spark, sf_dir).withColumn("raw_confidence", F.col("confidence_score"))
+    p = samples.statement_pages(spark, sf_dir).withColumn("raw_confidence", F.col("confidence_score"))
     return results.summarise(p).drop("average_confidence")
 
 
@@ -180,7 +181,7 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {SQL_PAGES} SELECT upload_id, document_number, first_value(document_type) OVER (PARTITION BY upload_id ORDER BY document_number) AS document_type FROM pg
 """)
 def first_page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.type_of_first_page(render.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "document_type")
+    return pages.type_of_first_page(samples.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "document_type")
 
 
 @_query(f"""
@@ -195,7 +196,7 @@ def record_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of a record's values that are there, by both rules, and the text that its language is told by."""
     strict = [F.col(c) for c in ("account_number", "account_holder_name", "statement_date", "opening_balance", "closing_balance")]
     loose = [F.col(c) for c in ("account_number", "account_holder_name", "statement_date", "opening_balance", "total_debit")]
-    return render.statement_pages(spark, sf_dir).select(
+    return samples.statement_pages(spark, sf_dir).select(
         "upload_id", "document_number", bank.completeness(strict, truthy=True).alias("truthy"), bank.completeness(loose).alias("not_null"),
         results.values_text(("account_number", "account_holder_name", "total_debit")).alias("said"),
     )
@@ -217,7 +218,7 @@ WITH {SQL_PAGES} SELECT upload_id, count(*) AS pages, sum(text_length)::BIGINT A
 """)
 def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records through the JSON sink and back."""
-    p = render.statement_pages(spark, sf_dir)
+    p = samples.statement_pages(spark, sf_dir)
     path = scratch.fresh(spark, "results")
     nested = p.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("document_number", "text_length"))).alias("documents"))
     sinks.write_results(nested, path, 16)
@@ -303,7 +304,7 @@ FROM k
 def extract_other_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements whose fields are found by the later words and patterns of each bank."""
     k = F.col("s_suppkey")
-    n, m = render.letters(k), k % 9000 + 1000
+    n, m = samples.letters(k), k % 9000 + 1000
     digits = lambda w: F.lpad(k.cast("string"), w, "1")
     opening, closing = F.format_number(m + F.lit(0.5), 2), F.format_number(m + F.lit(1.1), 2)
     dots = F.translate(opening, ",", "."), F.translate(closing, ",", ".")
@@ -326,7 +327,7 @@ SELECT id AS upload_id, m || '.25' AS gross_income, CASE WHEN id % 2 = 0 THEN '6
 def extract_payslip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payslips without a total of deductions on every other one: the items are added up."""
     k = F.col("s_suppkey")
-    gap = F.lit(" " + render.FILLER)
+    gap = F.lit(" " + samples.FILLER)
     gross = F.concat((k % 900 + 100).cast("string"), F.lit(".25"))
     less = F.when(k % 2 == 0, F.concat(F.lit("KWSP 50.50 ringgit "), gap, F.lit("Takaful 10.25 dan"))).otherwise(F.lit("Jumlah Potongan 45.50"))
     said = F.concat(F.lit("Nama: ALPHA BIN GAMMA 1"), gap, F.lit("No KP 900101145555"), gap, F.lit("Jumlah Pendapatan "), gross, gap, less, gap, F.lit("M/S 1/2023"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom import samples
 from paperloom.functions import classify, dates, numbers, rules
 from paperloom.functions.text import clean_text, postprocess
 from paperloom.operators import bank, ensemble, older, pages, payslip, spatial, tokens, validate
-from paperloom.plans import render, results
-from paperloom.plans.render import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
+from paperloom.plans import results
 from paperloom.registry import query as _query
+from paperloom.samples import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
 
 def _contains(column: str, words) -> str:
     return " + ".join("contains({}, '{}')::INT".format(column, w.replace("'", "''")) for w in words)
@@ -201,7 +202,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {SQL_STATEMENTS} SELECT upload_id, bank, CASE WHEN bank = 'generic' THEN 0.3 ELSE 1.0 END::DOUBLE AS confidence FROM st")
 def bank_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = render.statements(spark, sf_dir).select("upload_id", classify.issuing_bank(F.col("text")).alias("b"))
+    s = samples.statements(spark, sf_dir).select("upload_id", classify.issuing_bank(F.col("text")).alias("b"))
     return s.select("upload_id", "b.bank", "b.confidence")
 
 
@@ -212,7 +213,7 @@ def _bank_sql(name: str, account: str, holder: str, day: str, opening: str, clos
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned statements with the bank that is detected in their text."""
-    s = render.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text")).withColumn("__b", classify.issuing_bank(F.col("text")))
+    s = samples.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text")).withColumn("__b", classify.issuing_bank(F.col("text")))
     return s.select("upload_id", "text", F.col("__b.bank").alias("detected_bank"), F.col("__b.confidence").alias("bank_detection_confidence"))
 
 
@@ -260,12 +261,12 @@ _PAYSLIP_COLUMNS = "gross::VARCHAR AS gross_income, net::VARCHAR AS net_income,
 
 @_query(f"WITH {SQL_PAYSLIPS} SELECT upload_id, 'ALPHA ' || letters || ' BIN GAMMA' AS name, '900101' || lpad(upload_id::VARCHAR, 6, '0') AS id_number, {_PAYSLIP_COLUMNS} || '/2024' AS month_year FROM ps")
 def extract_payslip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payslip.payslip_record(render.payslips(spark, sf_dir)).select("upload_id", *payslip.FIELDS)
+    return payslip.payslip_record(samples.payslips(spark, sf_dir)).select("upload_id", *payslip.FIELDS)
 
 
 @_query(f"WITH {SQL_PAYSLIPS} SELECT upload_id, 'ALPHA ' || letters || ' BIN GAMMA' AS name, '900101' || lpad(upload_id::VARCHAR, 6, '0') AS id_number, {_PAYSLIP_COLUMNS} || '/2025' AS month_year FROM ps")
 def extract_payslip_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = render.payslip_pages(spark, sf_dir).withColumn("text", clean_text(F.col("page_text")))
+    p = samples.payslip_pages(spark, sf_dir).withColumn("text", clean_text(F.col("page_text")))
     return payslip.page_record(p).select("upload_id", *payslip.FIELDS)
 
 
@@ -309,7 +310,7 @@ def extract_older_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("d0", "dd/MM/yyyy"), F.lit(" Alpha "), F.col("letters"), F.lit(" 12, JALAN SATU Account 51-"), F.lpad(k, 7, "0"), F.lit("-"), (F.col("upload_id") % 10).cast("string"),
         F.lit("\nOPENING BALANCE "), F.format_number("opening", 2), F.lit("\nCLOSING BALANCE "), F.format_number("closing", 2), F.lit(" End of Statement"),
     )
-    r = older.bank_record(render.statement_values(spark, sf_dir).select("upload_id", text.alias("text")))
+    r = older.bank_record(samples.statement_values(spark, sf_dir).select("upload_id", text.alias("text")))
     return r.select("upload_id", "account_holder_name", "account_number", "statement_date", "opening_balance", "closing_balance")
 
 
@@ -323,7 +324,7 @@ def extract_older_payslip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Nama ALPHA "), F.col("letters"), F.lit("\nNo 7\nGaji Pokok "), whole("gross"), F.lit("\nJumlah Potongan "), whole("deduction"),
         F.lit("\nBulan "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("/2024"),
     )
-    r = older.payslip_record(render.payslip_values(spark, sf_dir).select("upload_id", text.alias("text")))
+    r = older.payslip_record(samples.payslip_values(spark, sf_dir).select("upload_id", text.alias("text")))
     return r.select("upload_id", "name", "gross_income", "total_deduction", "net_income", "month_year")
 
 
@@ -338,7 +339,7 @@ _ISLANDS = f"""{SQL_PAGES}, m AS (
 
 @_query(f"WITH {_ISLANDS} SELECT upload_id, document_number, document_type, island FROM isl")
 def page_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.islands(render.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "document_type", "island")
+    return pages.islands(samples.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "document_type", "island")
 
 
 @_query(f"""
@@ -354,7 +355,7 @@ SELECT upload_id, island, min(document_number) AS document_number, min(account_n
 FROM isl WHERE island IS NOT NULL GROUP BY upload_id, island
 """)
 def statement_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = pages.merge_islands(pages.islands(render.statement_pages(spark, sf_dir)))
+    merged = pages.merge_islands(pages.islands(samples.statement_pages(spark, sf_dir)))
     return merged.drop("confidence_score")  # the mean, rounded
 
 
@@ -373,7 +374,7 @@ SELECT upload_id, document_number, opening AS opening_balance,
 FROM g
 """)
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.carry_forward(render.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "opening_balance", "closing_balance")
+    return pages.carry_forward(samples.statement_pages(spark, sf_dir)).select("upload_id", "document_number", "opening_balance", "closing_balance")
 
 
 # --- tokens --------------------------------------------------------------------------------
@@ -388,7 +389,7 @@ SELECT upload_id, min(token_ix)::INT AS token_ix, string_agg(text, '' ORDER BY t
 FROM r GROUP BY upload_id, run
 """)
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.merge_runs(render.tokens(spark, sf_dir)).select("upload_id", "token_ix", "text", F.round("confidence", 6).alias("confidence"), "x0", "y0", "x1", "y1", "merged_from")
+    return tokens.merge_runs(samples.tokens(spark, sf_dir)).select("upload_id", "token_ix", "text", F.round("confidence", 6).alias("confidence"), "x0", "y0", "x1", "y1", "merged_from")
 
 
 @_query(f"""
@@ -399,7 +400,7 @@ t AS (SELECT upload_id, line, string_agg(text, ' ' ORDER BY y0, x0, token_ix) AS
 SELECT upload_id, string_agg(text, chr(10) ORDER BY line) AS text FROM t GROUP BY upload_id
 """)
 def token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.page_text(render.tokens(spark, sf_dir)).select("upload_id", "text")
+    return tokens.page_text(samples.tokens(spark, sf_dir)).select("upload_id", "text")
 
 
 @_query(f"""
@@ -419,7 +420,7 @@ fold AS (
 SELECT upload_id, token_ix::INT AS token_ix, line::INT AS line, row_number() OVER (PARTITION BY upload_id ORDER BY top, line, x0, token_ix)::INT AS place FROM t
 """)
 def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lined = tokens.cluster_lines(render.tokens(spark, sf_dir))
+    lined = tokens.cluster_lines(samples.tokens(spark, sf_dir))
     return tokens.reading_order(lined).select("upload_id", "token_ix", "line", "place")
 
 
@@ -429,12 +430,12 @@ _LABELS = "lab AS (SELECT upload_id, token_ix AS lix, text AS ltext, x0 AS lx0,
 
 @_query(f"WITH {SQL_TOKENS}, {_LABELS} SELECT upload_id, lix::INT AS token_ix, ltext AS text FROM lab")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.find_labels(render.tokens(spark, sf_dir), ("total",)).select("upload_id", "token_ix", "text")
+    return spatial.find_labels(samples.tokens(spark, sf_dir), ("total",)).select("upload_id", "token_ix", "text")
 
 
 def _row_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens on lines of eight units of height."""
-    return render.tokens(spark, sf_dir).withColumn("line", F.floor(F.col("y0") / 8))
+    return samples.tokens(spark, sf_dir).withColumn("line", F.floor(F.col("y0") / 8))
 
 
 @_query(rf"""
@@ -457,7 +458,7 @@ WITH {SQL_TOKENS}, {_LABELS}, p AS (
 SELECT upload_id, lix::INT AS label_ix, token_ix::INT AS token_ix, text FROM r WHERE n = 1 AND score >= 0.5
 """)
 def below_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.tokens(spark, sf_dir)
+    t = samples.tokens(spark, sf_dir)
     return spatial.below_values(t, spatial.find_labels(t, ("total",))).select("upload_id", F.col("l_token_ix").alias("label_ix"), "token_ix", "text")
 
 
@@ -475,8 +476,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY upload_id, token_ix, engine_i
 
 @_query(f"WITH {SQL_TOKENS}, {_MATCH} SELECT upload_id, token_ix::INT AS token_ix, other::INT AS match_ix, iou FROM best WHERE n = 1 AND engine_ix = 1")
 def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.tokens(spark, sf_dir)
-    m = ensemble.best_matches(t, render.jittered(t, 1))
+    t = samples.tokens(spark, sf_dir)
+    m = ensemble.best_matches(t, samples.jittered(t, 1))
     return m.select("upload_id", F.col("t_token_ix").alias("token_ix"), F.col("c_token_ix").alias("match_ix"), "iou")
 
 
@@ -492,8 +493,8 @@ SELECT t.upload_id, t.token_ix::INT AS token_ix, coalesce(k.text, t.text) AS tex
 FROM tok t LEFT JOIN took k ON k.upload_id = t.upload_id AND k.token_ix = t.token_ix
 """)
 def retry_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.tokens(spark, sf_dir)
-    return ensemble.retry(t, [render.jittered(t, 1), render.jittered(t, 2)]).select("upload_id", "token_ix", "text", "confidence", "engine_used")
+    t = samples.tokens(spark, sf_dir)
+    return ensemble.retry(t, [samples.jittered(t, 1), samples.jittered(t, 2)]).select("upload_id", "token_ix", "text", "confidence", "engine_used")
 
 
 @_query(f"""
@@ -503,10 +504,10 @@ WITH {SQL_TOKENS}, {_MATCH}, v AS (
 SELECT upload_id, token_ix::INT AS token_ix, text, n AS vote_count, 100.0::DOUBLE * n / total AS vote_agreement FROM w WHERE k = 1
 """)
 def vote_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = render.tokens(spark, sf_dir)
+    t = samples.tokens(spark, sf_dir)
     every = t.withColumn("engine_ix", F.lit(0))
     for k in (1, 2):
-        every = every.unionByName(render.jittered(t, k).withColumn("engine_ix", F.lit(k)))
+        every = every.unionByName(samples.jittered(t, k).withColumn("engine_ix", F.lit(k)))
     return ensemble.vote(t, every).select("upload_id", "token_ix", "text", "vote_count", "vote_agreement")
 
 
@@ -526,7 +527,7 @@ def validate_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payslip records, one in seven each with a fault of its own kind."""
     k = F.col("upload_id")
-    v = render.payslip_values(spark, sf_dir)
+    v = samples.payslip_values(spark, sf_dir)
     text = lambda c: c.cast("string")
     return v.select(
         "upload_id",
@@ -558,8 +559,8 @@ def range_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's statement twice, and suppliers' payslips as a third page of customers with the same key."""
-    s = render.statements(spark, sf_dir)
-    p = render.payslips(spark, sf_dir).select("upload_id", F.lit(3).alias("document_number"), "text")
+    s = samples.statements(spark, sf_dir)
+    p = samples.payslips(spark, sf_dir).select("upload_id", F.lit(3).alias("document_number"), "text")
     two = s.select("upload_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("document_number"), "text")
     return two.unionByName(p)
 

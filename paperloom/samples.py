@@ -1,4 +1,7 @@
-"""Synthetic statements, payslips, pages and tokens, rendered from the relational test tables."""
+"""Inputs of the registered queries: statements, payslips, pages and tokens made from the relational test tables.
+
+No operator imports this module.
+"""
 
 from __future__ import annotations
 
