@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, pieces, simhash, substring, toxicity
-from paperloom.llm.shared import fresh_dir, join_small, saved
+from paperloom.llm.shared import delete, fresh_dir, join_small, saved
 
 
 def _through(docs: DataFrame, new: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -81,9 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage wrote is deleted once the next has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
