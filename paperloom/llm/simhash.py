@@ -380,14 +380,28 @@ def near_nodes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str
     return rows.mapInArrow(run, _schema(rows, keep, "id long, size int, parity binary, wide array<long>, fp long, first array<long>"))
 
 
-def _near_pairs(trust: bool):
-    """Rows sorted by group (key, low, high) -> (a, b, sure): pairs that may be similar and aren't known to be connected.
+def _surely_apart(differ: np.ndarray) -> np.ndarray:
+    """A number of hashes that sets whose parities differ in so many bits hardly ever exceed in being apart.
+
+    Each hash that only one set has turns one of ``PARITY`` bits.  The number of bits turned in the end
+    has the mean and variance below; four standard deviations are allowed for.
+    """
+    most = 0.45 * PARITY
+    hashes = lambda bits: -np.log1p(-2 * np.minimum(bits, most) / PARITY) * (PARITY / 2)
+    load = hashes(differ) / PARITY
+    variance = PARITY * ((1 - np.exp(-4 * load)) / 4 - load * np.exp(-4 * load))
+    high = differ + 4 * np.sqrt(np.maximum(variance, 0)) + 1
+    return np.where(high < most, hashes(high), np.inf)
+
+
+def _near_pairs(sure_only: bool):
+    """Rows sorted by group (key, low, high) -> (a, b): pairs that may be similar and aren't known to be connected.
 
     Rows have an id, size and parity, and the root that they are known to belong to.  With
-    ``trust``, pairs that sure ones connect are left out.
+    ``sure_only``, only pairs whose parities leave little doubt, without those that others connect.
     """
 
-    def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def links(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n = len(c["id"])
         by = ("key", "low", "high")
         group = np.cumsum(np.concatenate([[0], np.any([c[k][1:] != c[k][:-1] for k in by], axis=0)])) if n else np.zeros(0, int)
@@ -408,34 +422,38 @@ def _near_pairs(trust: bool):
             both = size[i] + size[j]
             near = 9 * differ <= both
             i, j, differ, both = i[near], j[near], differ[near], both[near]
-            high = np.minimum(differ + 4 * np.sqrt(differ * (1 - differ / PARITY)) + 1, PARITY * 0.45)  # four standard deviations more
-            sure = (-np.log1p(-2 * high / PARITY) * (PARITY / 2) * 9 <= both) & (high < PARITY * 0.45)
-            out.append((ids[i], ids[j], sure))
-            if trust and sure.any():
+            if sure_only:
+                sure = _surely_apart(differ) * 9 <= both
                 i, j = i[sure], j[sure]
-                while (label[i] != label[j]).any():
-                    x, y = label[i], label[j]
-                    to = np.arange(label.max() + 1)
-                    np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
-                    label = to[label]
+            out.append((ids[i], ids[j]))
+            while sure_only and (label[i] != label[j]).any():
+                x, y = label[i], label[j]
+                to = np.arange(label.max() + 1)
+                np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+                label = to[label]
             lag += 1
             live = live[live + lag < until[live]]
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        a, b, sure = (np.concatenate(x) for x in zip(*out, strict=True))
-        return np.minimum(a, b), np.maximum(a, b), sure
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
 
-    return _by_group(links, ("key", "low", "high"), ("tile", "id", "size", "parity", "root"), ["a", "b", "sure"])
+    return _by_group(links, ("key", "low", "high"), ("tile", "id", "size", "parity", "root"), ["a", "b"])
 
 
-def near_pairs(nodes: DataFrame, known: DataFrame, trust: bool, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b, sure) of ``nodes`` (id, first) and ``known`` (id, size, parity, root) that may be similar, see ``near_linked``."""
-    by = ["key", "low", "high"]
+def near_tiles(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """``nodes`` (id, first) by the groups (key, low, high) in which pairs are looked for, see ``near_linked``."""
     keyed = nodes.select(F.explode("first").alias("key"), "id")
-    met = _tiled(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], tile)
-    met = met.join(known, "id").select(*by, "tile", "id", "size", "parity", "root")
-    pairs = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_near_pairs(trust), "a long, b long, sure boolean")
-    return checkpointed(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return checkpointed(_tiled(keyed, groups, ["key"], tile).select("key", "low", "high", "tile", "id"))
+
+
+def near_pairs(tiles: DataFrame, known: DataFrame, sure_only: bool) -> DataFrame:
+    """Pairs (a, b) of ``tiles`` and ``known`` (id, size, parity, root) that may be similar, see ``near_linked``."""
+    by = ["key", "low", "high"]
+    met = tiles.join(known, "id").select(*by, "tile", "id", "size", "parity", "root")
+    pairs = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_near_pairs(sure_only), "a long, b long")
+    return checkpointed(pairs.distinct())
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -463,11 +481,9 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
     parities differ in no more bits than shingles are in one set alone, which is (sum of sizes) / 9
     at most.  Which order is taken decides only the work: common shingles come last.
 
-    Pairs that these leave in doubt are looked at by parities of as many bits as twice their shingles.
-    Every edge is verified on the sets themselves, which ``sets`` returns (id, hashes) for a table of
-    ids.  Pairs whose parities leave little doubt are verified first, as a forest where they are
-    many; others only if these haven't connected them.  If one of the former fails, the pairs that
-    were left out because of it are taken up again.
+    Pairs whose parities leave little doubt are verified first, as a forest where they are many; then
+    those that what is verified doesn't connect, after parities of as many bits as twice their shingles.
+    Every edge is verified on the sets themselves, which ``sets`` returns (id, hashes) for a table of ids.
     """
 
     def verified(edges: DataFrame) -> DataFrame:
@@ -490,24 +506,14 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
     roots = components(close)
     short = nodes.select("id", "size", "parity")
     known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
-    pairs = near_pairs(nodes, known, True, tile)
-    sure = pairs.where("sure").select("a", "b")
-    doubt = checkpointed(possible(pairs.where("not sure").select("a", "b")))
+    tiles = near_tiles(nodes, tile)
+    sure = near_pairs(tiles, known, True)
     forest = _forest(sure) if sure.count() > 2 * sure.select(F.explode(F.array("a", "b")).alias("id")).distinct().count() else sure
-    first = verified(forest)
-    good = first.where("similar").select("a", "b")
-    more = checkpointed(_between(doubt, components(good.unionByName(close))))
-    good = good.unionByName(verified(more).where("similar").select("a", "b"))
-    failed = first.where("not similar")
-    if not failed.isEmpty():
-        whole = components(sure.unionByName(doubt).unionByName(close))
-        parts = whole.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
-        again = checkpointed(whole.join(parts, "root", "left_semi").select(F.col("node").alias("id")))
-        roots = components(good.unionByName(close)).select(F.col("node").alias("id"), "root")
-        known = checkpointed(short.join(again, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-        left = possible(near_pairs(nodes.join(again, "id", "left_semi"), known, False, tile).select("a", "b"))
-        good = good.unionByName(verified(left).where("similar").select("a", "b"))
-    return good.unionByName(close)
+    good = close.unionByName(verified(forest).where("similar").select("a", "b"))
+    roots = components(good)
+    known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
+    doubt = checkpointed(possible(near_pairs(tiles, known, False)))
+    return good.unionByName(verified(doubt).where("similar").select("a", "b"))
 
 
 def classes(docs: DataFrame, d: int = BITS) -> DataFrame:
@@ -542,8 +548,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = checkpointed(whole.select("__doc", "__t", "id"))
     delete(docs.sparkSession, path)
 
+    ones = checkpointed(rows.groupBy("id").agg(F.min(F.struct("__doc", "__t")).alias("one")))
+
     def sets(ids: DataFrame) -> DataFrame:
-        one = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("__doc", "__t")).alias("one")).select("one.*")
+        one = ones.join(ids, "id", "left_semi").select("one.*")
         return shingle_sets(join_small(tagged.select("__doc", "__t", "text"), one, ["__doc", "__t"], "left_semi"))
 
     roots = components(near_linked(nodes, sets))
