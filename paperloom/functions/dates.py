@@ -19,6 +19,11 @@ def clean_id_number(text: Column) -> Column:
     return F.coalesce(twelve_digits(text), F.trim(text))
 
 
+def normalize_id_number(text: Column) -> Column:
+    """6-2-4 digits where there are twelve, else the text as it stands."""
+    return F.coalesce(twelve_digits(text), text)
+
+
 def clean_month_year(text: Column) -> Column:
     pattern = r"(\d{1,2})[/-]?(\d{4})"
     month, year = captured(text, pattern, 1), captured(text, pattern, 2)

@@ -12,6 +12,7 @@ from paperloom.plans import results, scratch, sinks
 from paperloom.queries import _LABELS, _NUMBER, _row_tokens
 from paperloom.registry import query as _query
 from paperloom.samples import SQL_PAGES, SQL_TOKENS, table
+from paperloom.sources import landing
 
 # --- layout --------------------------------------------------------------------------------
 
@@ -286,6 +287,32 @@ def rule_table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", validate.bank_verdict(table=table_)["validation_message"].alias("validation_message"))
 
 
+@_query("""
+SELECT c_custkey, c_custkey % 3 = 0 AS surely_bank, c_custkey % 3 <> 1 AS bank, c_custkey % 3 = 1 AS payslip, 'bank_statement' AS constant_type,
+  CASE WHEN c_custkey % 2 = 0 THEN '900101-' || substr(lpad(c_custkey::VARCHAR, 6, '0'), 1, 2) || '-' || substr(lpad(c_custkey::VARCHAR, 6, '0'), 3, 4) ELSE ' 12-' || c_custkey || ' ' END AS id_number
+FROM customer
+""")
+def class_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text is of a type with over half, or at least half, of the confidence; and identifiers as they are normalised."""
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, "Account No 1 Statement Date Opening Balance ").when(k % 3 == 1, "Payslip Gaji Bersih KWSP ").otherwise("Transaction Salary ")
+    rows = table(spark, sf_dir, "customer").select(k, classify.document_type(said).alias("c"), F.when(k % 2 == 0, F.concat(F.lit("900101"), F.lpad(k.cast("string"), 6, "0"))).otherwise(F.concat(F.lit(" 12-"), k.cast("string"), F.lit(" "))).alias("said"))
+    return rows.select(
+        "c_custkey", classify.is_type(F.col("c"), "bank_statement").alias("surely_bank"), classify.is_type(F.col("c"), "bank_statement", strict=False).alias("bank"),
+        classify.is_type(F.col("c"), "payslip").alias("payslip"), classify.only_bank_statements()["document_type"].alias("constant_type"), dates.normalize_id_number(F.col("said")).alias("id_number"),
+    )
+
+
+@_query("""
+SELECT conv_id AS upload_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text)::INT AS document_number, text FROM conversations
+""")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of page texts as numbered pages."""
+    c = table(spark, sf_dir, "conversations")
+    lists = c.groupBy(F.col("conv_id").alias("upload_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]).alias("texts"))
+    return landing.split_pages(lists).select("upload_id", "document_number", "text")
+
+
 # --- second layouts ------------------------------------------------------------------------
 
 

@@ -27,3 +27,8 @@ def whole_texts(pages: DataFrame) -> DataFrame:
     """(upload_id, text): the texts of an upload's pages (page from 0), empty ones skipped, joined by blank lines."""
     parts = F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("page", "text"))))
     return pages.groupBy("upload_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+
+
+def split_pages(uploads: DataFrame, texts: str = "texts") -> DataFrame:
+    """(upload_id, document_number, text): an upload's list of page texts as pages, numbered from 1; empty lists give none."""
+    return uploads.select("upload_id", F.posexplode(texts).alias("__n", "text")).select("upload_id", (F.col("__n") + 1).alias("document_number"), "text")

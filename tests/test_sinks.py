@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import older
 from paperloom.plans import scratch, sinks
-from paperloom.sources import adapters, settings
+from paperloom.sources import adapters, landing, settings
 
 
 def test_results_come_back_one_by_one(spark):
@@ -34,6 +34,13 @@ def test_raw_uploads_texts_and_tokens_are_kept(spark):
         spark.read.json(paths[2])
 
 
+def test_uploads_are_accepted_by_extension_and_size(spark, tmp_path):
+    for name, size in (("a.pdf", 10), ("b.PDF", 10), ("c.txt", 10), ("d.e.pdf", 3000)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {r.upload_id: r.accepted for r in landing.uploads(spark, str(tmp_path), most_bytes=1000).collect()}
+    assert got == {"a": True, "b": True, "c": False, "d.e": False}
+
+
 def test_pages_that_fail_are_reported(spark):
     class Reader:
         def tokens(self, content, page):
