@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -35,3 +36,13 @@ def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that no table is read from any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, every half an hour at least; a job of many
+    rounds needs its disk sooner.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
