@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.graph import components
-from paperloom.llm.shared import checkpointed, delete, fresh_dir, join_small
+from paperloom.llm.shared import checkpointed, delete, fresh_dir, join_small, release
 from paperloom.llm.words import mix, normal_form, slices, split
 
 SHINGLE = 4
@@ -456,17 +456,14 @@ def near_pairs(tiles: DataFrame, known: DataFrame, sure_only: bool) -> DataFrame
     return checkpointed(pairs.distinct())
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: each node's to its least neighbour, and those between what these connect."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return checkpointed(least.unionByName(_between(edges, components(least)).select("a", "b")))
-
-
-def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The edges whose ends are not of the same of ``roots`` (node, root)."""
-    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    return edges.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*edges.columns)
+def _some(edges: DataFrame) -> DataFrame:
+    """The edges, or where they are many, each node's to the least and the greatest node."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = checkpointed(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")))
+    if edges.count() <= 2 * ends.count():
+        return edges
+    far = ends.select("a", F.explode(F.array("low", "high")).alias("b"))
+    return checkpointed(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
@@ -481,8 +478,8 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
     parities differ in no more bits than shingles are in one set alone, which is (sum of sizes) / 9
     at most.  Which order is taken decides only the work: common shingles come last.
 
-    Pairs whose parities leave little doubt are verified first, as a forest where they are many; then
-    those that what is verified doesn't connect, after parities of as many bits as twice their shingles.
+    Pairs whose parities leave little doubt are verified first, some of them where they are many; then all
+    that what is verified doesn't connect, after parities of as many bits as twice their shingles.
     Every edge is verified on the sets themselves, which ``sets`` returns (id, hashes) for a table of ids.
     """
 
@@ -503,15 +500,16 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
     stars = linked(of.select("fp"), tile=tile).join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     twins = join_small(nodes.select("id", "fp"), fps.where("n > 1").select("fp", "least"), "fp", "inner").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     close = verified(checkpointed(stars.unionByName(twins).distinct())).where("similar").select("a", "b")
-    roots = components(close)
+    centre = close.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     short = nodes.select("id", "size", "parity")
-    known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
+    known = checkpointed(short.join(centre, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    release(nodes.sparkSession)
     tiles = near_tiles(nodes, tile)
     sure = near_pairs(tiles, known, True)
-    forest = _forest(sure) if sure.count() > 2 * sure.select(F.explode(F.array("a", "b")).alias("id")).distinct().count() else sure
-    good = close.unionByName(verified(forest).where("similar").select("a", "b"))
+    good = close.unionByName(verified(_some(sure)).where("similar").select("a", "b"))
     roots = components(good)
     known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
+    release(nodes.sparkSession)
     doubt = checkpointed(possible(near_pairs(tiles, known, False)))
     return good.unionByName(verified(doubt).where("similar").select("a", "b"))
 
