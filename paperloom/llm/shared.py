@@ -49,13 +49,13 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """A join with a table that is usually small but may not be.
 
-    ``right`` is written to the shared folder and counted.  Up to ``BROADCAST_ROWS`` rows it is
+    ``right`` is written to the shared folder and counted.  Up to ``most`` rows (fewer for longer ones) it is
     broadcast; beyond, Spark shuffles both sides and adaptive execution splits skewed keys.
     """
     right = checkpointed(right)
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= most:
         right = right.hint("broadcast")
     return left.join(right, on, how)
