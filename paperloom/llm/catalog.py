@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chat, ledger, manifest, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
+from paperloom.llm import chat, clusters, ledger, manifest, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
@@ -20,6 +20,7 @@ _MODULES = {
     "op9_recompression": substring,
     "op10_progressive_jpeg": media,
     "op12_merkle_manifest": manifest,
+    "op13_drake_bounds": clusters,
 }
 
 
