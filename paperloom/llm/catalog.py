@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chat, clusters, ledger, manifest, media, mixing, pieces, simhash, substring, tokenids, toxicity, warc
+from paperloom.llm import chat, clusters, ledger, manifest, media, mixing, pieces, simhash, substring, suffixes, tokenids, toxicity, warc
 
 _MODULES = {
     "op1_warc_dictionary": warc,
@@ -19,6 +19,7 @@ _MODULES = {
     "op8_merge_dropout": pieces,
     "op9_recompression": substring,
     "op10_progressive_jpeg": media,
+    "op11_radix_suffixes": suffixes,
     "op12_merkle_manifest": manifest,
     "op13_drake_bounds": clusters,
 }
