@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.shared import checkpointed, join_small, saved
 
 ARITY = 3
-BLOCK_LEVELS = 9
+BLOCK_LEVELS = 7
 SUBTREE_LEVELS = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before:string,after:string>>"
@@ -203,8 +203,8 @@ def manifest(rows: DataFrame, group: str, order: str, node: str = "leaf", levels
     leaves = join_small(flat, of, "key", "inner").select("own", "key", (F.col("ordinal") - F.col("first")).alias("idx"), "n", "node")
     low = paths(leaves, levels, subtree)
     subroots = numbered(low.where("idx = 0").select("key", F.col("top").alias("node")), [F.col("key")])
-    n = subroots.groupBy().agg(F.count("*").alias("n"))  # one row
-    nodes = subroots.join(F.broadcast(n)).select(F.lit("").alias("key"), F.col("ordinal").alias("idx"), "n", "node", F.col("key").alias("group"))
+    n = F.lit(subroots.count()).cast("long")
+    nodes = subroots.select(F.lit("").alias("key"), F.col("ordinal").alias("idx"), n.alias("n"), "node", F.col("key").alias("group"))
     upper = paths(nodes, levels, subtree).select(F.col("group").alias("key"), F.col("path").alias("__path"), F.col("top").alias("root"))
     out = join_small(low, upper, "key", "inner", BROADCAST_BLOCKS)
     return out.select("own.*", F.col("top").alias("subroot"), "root", F.concat("path", "__path").alias("path"))
