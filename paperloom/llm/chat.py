@@ -5,8 +5,12 @@ A raw transcript is lines in order.  Turns are marked now and then by a speaker'
 begins is not told.  States are (role, begins a turn or goes on).  A line's observation is the name
 before a colon, hashed to one of ``NAMES`` buckets, and line features: length, closing question mark,
 kind of first character.  What names mean is learned, with the usual ones as pseudo-counts.  Viterbi finds
-the most likely states; a line in a begin state opens a turn, the name is taken off if lines with it
-nearly always begin turns of one role (so "Note:" stays), and turns are rendered as <|role|>, lines, <|end|>.
+the most likely states; a line in a begin state opens a turn, and turns are rendered as <|role|>, lines,
+<|end|>.  Buckets serve only the observation; a name is taken off if lines with that very name nearly
+always begin turns of one role (so "Note:" stays), by an aggregation over all lines of the training part.
+
+A marker is one word of up to 14 letters of any script, with a title before it ("Dr. Lee:") or a number
+after it ("Speaker 1:") at most; longer phrases before a colon are text.
 
 Transcripts may be of any length: rows are range-partitioned and sorted by (conversation, turn), packed
 into blocks of at most ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` bytes of one conversation, and written.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +57,7 @@ SPEAKERS = {
 USUAL = 5  # lines that a usual name counts as
 NAMES = 256
 SURE = 0.9  # the share of a name's lines that begin turns of one role, for it to be taken off
+KNOWN = 10_000  # most names that a model takes off, the most frequent; others stay in the text
 LENGTHS = (40, 120, 300)
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 2 << 20
@@ -61,7 +67,7 @@ SCALE = 1_000_000
 FOLDS = 5
 NEVER = -(1 << 50)
 
-_MARKER = re.compile(r"[ \t]*[*#>\[(<|]{0,3}[ \t]*([A-Za-z]{1,14})[ \t]*[\])>|*]{0,3}[ \t]*:[*]{0,2}(?!//)[ \t]*")
+_MARKER = re.compile(r"[ \t]*[*#>\[(<|]{0,3}[ \t]*((?:[^\W\d_]{1,3}\.[ ])?[^\W\d_]{1,14}(?:[ ]\d{1,3})?)[ \t]*[\])>|*]{0,3}[ \t]*:[*]{0,2}(?!//)[ \t]*")
 FEATURES = (len(LENGTHS) + 1) * 2 * 3
 SYMBOLS = FEATURES * (NAMES + 1)
 
@@ -70,15 +76,16 @@ def name_bucket(name: str) -> int:
     return 1 + zlib.crc32(name.lower().encode()) % NAMES
 
 
-def marker(line: str) -> tuple[int, int]:
-    """(0: none, else the name's bucket; length of the name with what belongs to it)."""
+def marker(line: str) -> tuple[str, int]:
+    """(the name in lower case, empty if there is none; length of the name with what belongs to it)."""
     m = _MARKER.match(line)
-    return (0, 0) if m is None else (name_bucket(m[1]), m.end())
+    return ("", 0) if m is None else (m[1].lower(), m.end())
 
 
 def symbol(line: str) -> int:
     """A line's observation."""
-    bucket, at = marker(line)
+    name, at = marker(line)
+    bucket = name_bucket(name) if name else 0
     length = sum(len(line) - at > k for k in LENGTHS)
     head = line[at : at + 1]
     kind = 0 if not head else 1 if head.isupper() or head.isdigit() else 2
@@ -122,11 +129,11 @@ def blocks(messages: DataFrame) -> DataFrame:
 
 @dataclass
 class Hmm:
-    """Integer log-probabilities: move[from, to] with START last, emit[state, symbol]; and which names are speakers'."""
+    """Integer log-probabilities: move[from, to] with START last, emit[state, symbol]; and the names that are speakers'."""
 
     move: np.ndarray
     emit: np.ndarray
-    speaker: np.ndarray
+    speakers: frozenset[str]
 
     def matrices(self, rows: list[np.ndarray]) -> np.ndarray:
         """For each row of symbols, best scores from every state (and START) to every state."""
@@ -206,12 +213,32 @@ def fit(packed: DataFrame) -> Hmm:
             named[2 * i, name_bucket(name)] += USUAL
     for r in counts.groupBy("kind", "x", "y").agg(F.sum("n").alias("n")).collect():  # a row per parameter
         (move, seen, named)[r.kind][r.x, r.y] += r.n
-    own = named - 1
-    speaker = (own[::2].max(axis=0) >= SURE * own.sum(axis=0)) & (own.sum(axis=0) >= USUAL)
-    speaker[0] = False
     move, seen, named = (np.rint(np.log(t / t.sum(axis=1, keepdims=True)) * SCALE).astype(np.int64) for t in (move, seen, named))
     emit = (seen[:, :, None] + named[:, None, :]).reshape(STATES, SYMBOLS)
-    return Hmm(np.concatenate([move, np.full((STATES + 1, 1), NEVER)], axis=1), emit, speaker)
+    return Hmm(np.concatenate([move, np.full((STATES + 1, 1), NEVER)], axis=1), emit, speakers(packed))
+
+
+def speakers(packed: DataFrame) -> frozenset[str]:
+    """Names whose lines begin turns of one role nearly always, counted over the training part and the usual names."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter = Counter()
+            for roles, texts in zip(b.column("roles").to_pylist(), b.column("texts").to_pylist(), strict=True):
+                for role, text in zip(roles, texts, strict=True):
+                    if role in ROLES:
+                        for k, line in enumerate(lines_of(text)):
+                            if name := marker(line)[0]:
+                                n[name, 2 * ROLES.index(role) + (k > 0)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["name", "state", "n"])
+
+    counted = packed.where(train_part(F.col("conv_id"))).select("roles", "texts").mapInArrow(count, "name string, state int, n long")
+    usual = [(name, 2 * i, USUAL) for i, role in enumerate(ROLES) for name in SPEAKERS[role]]
+    counted = counted.unionByName(packed.sparkSession.createDataFrame(usual, "name string, state int, n long"))
+    begins = [F.coalesce(F.sum(F.when(F.col("state") == 2 * i, F.col("n"))), F.lit(0)).alias(f"r{i}") for i in range(len(ROLES))]
+    by = counted.groupBy("name").agg(F.sum("n").alias("n"), *begins)
+    sure = by.where((F.greatest(*[F.col(f"r{i}") for i in range(len(ROLES))]) >= F.col("n") * SURE) & (F.col("n") >= USUAL))
+    return frozenset(r.name for r in sure.orderBy(F.desc("n"), "name").limit(KNOWN).select("name").collect())
 
 
 def _observed(texts: list[list[str | None]]) -> list[np.ndarray]:
@@ -301,8 +328,8 @@ def parse(packed: DataFrame, model: Hmm) -> DataFrame:
                         state = int(path[at + j])
                         if state % 2 == 0 or not last:
                             piece.append(("<|end|>\n" if last else "") + f"<|{ROLES[state // 2]}|>\n")
-                            bucket, length = marker(line)
-                            line = line[length:] if model.speaker[bucket] else line
+                            name, length = marker(line)
+                            line = line[length:] if name in model.speakers else line
                             opened += 1
                         last = True
                         piece.append(line + "\n")

@@ -82,6 +82,34 @@ def test_words_with_colons_stay(spark, model):
     assert "User:" not in whole
 
 
+def test_words_in_a_speakers_bucket_stay(spark, model):
+    """Ordinary words whose hash is a speaker's, at the beginning of a turn."""
+    taken = {chat.name_bucket(n) for n in model.speakers}
+    words = [w for w in (a + b + c for a in "abcdefghij" for b in "aeiou" for c in "bdglmnrst") if chat.name_bucket(w) in taken and w not in model.speakers]
+    assert len(words) > 10
+    rows = [(i, t, None, f"User: {w.title()}: why?" if t == 0 else f"{w.title()}: because") for i, w in enumerate(words) for t in range(2)]
+    got = chat.parse(chat.blocks(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), model).collect()
+    assert all(f"{words[r.conv_id].title()}: " in r.rendered for r in got)
+
+
+def test_nothing_is_lost_but_known_names(spark, model):
+    """Rendered transcripts without their marks are the texts, less names that the model knows."""
+    rnd = random.Random(8)
+    heads = ["User: ", "**Agent**: ", "Example: ", "Dr. Lee: ", "Speaker 1: ", "José: ", "Note: ", "The reason is: ", "", "[Q]: "]
+    rows = [(c, t, None, "\n".join(rnd.choice(heads) + "word " * rnd.randrange(6) + rnd.choice(["?", "."]) for _ in range(rnd.randrange(1, 4)))) for c in range(60) for t in range(4)]
+    got = chat.parse(chat.blocks(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), model).collect()
+    text = {(c, t): x for c, t, _, x in rows}
+    for r in got:
+        lines = [x for x in r.rendered.split("\n")[:-1] if not (x.startswith("<|") and x.endswith("|>"))]
+        for line, was in zip(lines, text[r.conv_id, r.turn].split("\n"), strict=True):
+            name, length = chat.marker(was)
+            assert line == was or (name in model.speakers and line == was[length:])
+
+
+def test_markers():
+    assert [chat.marker(x)[0] for x in ("User: a", "**Agent**: a", "Dr. Lee: a", "Speaker 12: a", "José: a", "the reason is: a", "http://x", "a b: c")] == ["user", "agent", "dr. lee", "speaker 12", "josé", "", "", ""]
+
+
 def test_very_long_texts(spark, model):
     long = "\n".join(f"line {i} of a very long reply" for i in range(60_000))
     df = spark.createDataFrame([(1, 0, "user", "User: go?"), (1, 1, "assistant", "Agent: " + long), (1, 2, "user", "User: " + "x" * 3_000_000)], "conv_id long, turn int, role string, text string")
