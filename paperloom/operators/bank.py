@@ -1,4 +1,4 @@
-"""Bank statement records: each field is an ordered choice of captures from one-line text."""
+"""Bank statement records: each field is an ordered choice of captures from one-line text, by a table of rules."""
 
 from __future__ import annotations
 
@@ -7,125 +7,33 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dates, numbers, rules
 from paperloom.functions.classify import issuing_bank
-from paperloom.functions.text import all_captured, captured, let, upper_words
+from paperloom.functions.text import captured, let
+from paperloom.operators import ruletable
 
 FIELDS = (
     "account_number", "account_holder_name", "statement_date", "opening_balance", "closing_balance", "total_debit", "total_credit",
     "statement_period_from", "statement_period_to",
 )
 
+#: Fields by their patterns alone, and those that may be made from them.
+_PLAIN = ("account_number", "account_holder_name", "statement_date", "opening_balance", "total_debit", "total_credit", "available_balance")
+_MADE = ("closing_balance", "statement_period_from", "statement_period_to")
+
 
 def _first(*choices: Column) -> Column:
     return F.coalesce(*choices) if choices else F.lit(None).cast("string")
 
 
-def _after_word(text: Column, words: tuple[str, ...], pattern: str, gap: str = r"[:\s]*") -> list[Column]:
-    return [captured(text, rf"(?i){w}{gap}({pattern})") for w in words]
-
-
-def _labelled(text: Column, words: tuple[str, ...], bank: str) -> Column:
-    """The first word with an amount after it decides, even if that amount is zero."""
-    found = _first(*[captured(text, rf"(?i){w}[:\s]*(?:RM)?[:\s]*{rules.AMOUNT}") for w in words])
-    return numbers.amount(found, bank)
-
-
-def account_number(text: Column, bank: str) -> Column:
-    r = rules.BANKS[bank]
-    exact = [captured(text, r.account_exact)] if r.account_exact else []
-    return F.trim(_first(*exact, *_after_word(text, r.account_words, r.account, r"[:\s\.]*"), captured(text, f"({r.account})")))
-
-
-def account_holder(text: Column, bank: str) -> Column:
-    patterns = (*rules.BANKS[bank].holder, *rules.HOLDERS)
-    return upper_words(_first(*[captured(text, "(?i)" + p) for p in patterns]))
-
-
-def statement_date(text: Column, bank: str) -> Column:
-    r = rules.BANKS[bank]
-    tried = []
-    if bank == "public_islamic":
-        p = rf"(?i)(\d{{4}})\s+({rules.MONTHS})\s+(\d{{1,2}})"
-        turned = F.concat_ws(" ", captured(text, p, 3), captured(text, p, 2), captured(text, p, 1))
-        tried += [F.when(captured(text, p).isNotNull(), turned), captured(text, rf"(?i)(\d{{1,2}}\s+(?:{rules.MONTHS})\s+\d{{4}})")]
-    tried += [dates.valid_or_clamped_date(c) for c in _after_word(text, r.date_words, r.date)]
-    top = F.filter(F.transform(all_captured(F.substring(text, 1, 500), f"({r.date})"), dates.valid_or_clamped_date), lambda d: d.isNotNull())
-    return _first(*tried, F.try_element_at(top, F.lit(1)))
-
-
-def opening_balance(text: Column, bank: str) -> Column:
-    return _labelled(text, rules.BANKS[bank].opening, bank)
-
-
-def _summary(text: Column) -> Column:
-    at = F.regexp_instr(text, F.lit(rules.SUMMARY))
-    return F.when(at > 0, F.substring(text, at, F.lit(1000)))
-
-
-def total_debit(text: Column, bank: str) -> Column:
-    r = rules.BANKS[bank]
-    whole = _labelled(_section(text, r), r.debit, bank)
-    if bank != "public_islamic":
-        return whole
-    near = _summary(text)
-    label = F.regexp_instr(near, F.lit(r"(?i)(?:Jumlah Debit|Total Debits)"))
-    last = F.try_element_at(all_captured(F.substring(near, F.lit(1), label - 1), r"(\d{1,3}(?:,\d{3})+\.\d{2})"), F.lit(-1))
-    return F.when((label > 0) & last.isNotNull(), numbers.amount(last, bank)).otherwise(whole)
-
-
-def total_credit(text: Column, bank: str) -> Column:
-    r = rules.BANKS[bank]
-    whole = _labelled(_section(text, r), r.credit, bank)
-    if bank != "public_islamic":
-        return whole
-    found = captured(_summary(text), r"(?i)([0-9,\.]+)\s+[^\d]*?(?:Jumlah Kredit|Total Credits)")
-    return F.when(found.isNotNull(), numbers.amount(found, bank)).otherwise(whole)
-
-
-def _section(text: Column, r: rules.BankRules) -> Column:
-    if not r.section:
-        return text
-    at = F.regexp_instr(text, F.lit(f"(?i){r.section}"))
-    return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
-
-
 def derived_closing(opening: Column, debit: Column, credit: Column) -> Column:
     """opening + credit - debit where all three are known."""
     m = lambda c: c.try_cast(numbers.MONEY)
     return F.when(opening.isNotNull() & debit.isNotNull() & credit.isNotNull(), numbers.money_text(m(opening) + m(credit) - m(debit)))
 
 
-def available_balance(text: Column) -> Column:
-    found = captured(text, rules.AVAILABLE)
-    return F.when(found.isNotNull(), numbers.money_text(numbers.normalize_number(found, "bsn")))
-
-
-def closing_balance(text: Column, bank: str) -> Column:
-    if bank == "bsn":
-        return available_balance(text)
-    tried = []
-    if bank == "bank_islam":
-        tried.append(derived_closing(opening_balance(text, bank), total_debit(text, bank), total_credit(text, bank)))
-    if bank == "public_islamic":
-        tried += [numbers.amount(captured(text, p), bank) for p in rules.ISLAMIC_CLOSING]
-        tried.append(numbers.amount(captured(_summary(text), r"(?i)([0-9,\.]+)\s+[^\d]*?(?:Baki Penutup|Closing Balance)"), bank))
-    words = rules.BANKS[bank].closing
-    found = _first(*[captured(text, rf"(?i){w}[:\s]*(?:RM)?[:\s]*{rules.AMOUNT}") for w in words])
-    dated = F.try_element_at(all_captured(text, r"\d{1,2}/\d{1,2}/\d{2,4}.*?([0-9,\.]+)"), F.lit(-1))
-    return _first(*tried, F.when(found.isNotNull(), numbers.amount(found, bank)).otherwise(numbers.amount(dated, bank)))
-
-
-def _period(text: Column, bank: str, date: Column, side: int) -> Column:
-    r = rules.BANKS[bank]
-    words = r.period_to if side == 2 else r.period_from
-    pick = dates.last_transaction_date if side == 2 else dates.first_transaction_date
-    return _first(*_after_word(text, words, r.period), captured(text, rules.DATE_RANGE, side), pick(text, date))
-
-
-def bank_record(df: DataFrame, text: str = "text", bank: str | None = None) -> DataFrame:
+def bank_record(df: DataFrame, text: str = "text", bank: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """``df`` with the bank fields, detected_bank and bank_detection_confidence.
 
-    The bank is detected in the text unless a column is named.  Rows are kept together by bank, so
-    that each goes through its own bank's patterns alone: ``df`` is read once per bank.
+    The bank is detected in the text unless a column is named.
     """
     t = F.col(text)
     if bank is None:
@@ -133,44 +41,28 @@ def bank_record(df: DataFrame, text: str = "text", bank: str | None = None) -> D
         df = df.withColumns({"detected_bank": F.col("__bank.bank"), "bank_detection_confidence": F.col("__bank.confidence")}).drop("__bank")
     else:
         df = df.withColumns({"detected_bank": F.col(bank), "bank_detection_confidence": F.lit(None).cast("double")})
-    return by_bank_record(df, text)
-
-
-def by_bank_record(df: DataFrame, text: str = "text") -> DataFrame:
-    """The bank fields of rows whose detected_bank is there already, a small plan per bank; unknown banks are generic."""
-    name, out = F.col("detected_bank"), None
-    for b in rules.BANKS:
-        known = [x for x in rules.BANKS if x != "generic"]
-        ours = (name == b) if b != "generic" else F.coalesce(~name.isin(*known), F.lit(True))
-        one = one_bank_record(df.where(ours), b, text)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def one_bank_record(df: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """``bank_record`` for rows that are all of one bank (detected_bank is there already)."""
-    return _with_fields(df, F.col(text), lambda make: make(name))
-
-
-def _with_fields(df: DataFrame, t: Column, by_bank) -> DataFrame:
-    df = df.withColumns(
-        {
-            "account_number": by_bank(lambda b: account_number(t, b)),
-            "account_holder_name": by_bank(lambda b: account_holder(t, b)),
-            "statement_date": by_bank(lambda b: statement_date(t, b)),
-            "opening_balance": F.coalesce(by_bank(lambda b: opening_balance(t, b)), F.lit("0.00")),
-            "closing_balance": F.coalesce(by_bank(lambda b: closing_balance(t, b)), F.lit("0.00")),
-            "total_debit": by_bank(lambda b: F.lit(None).cast("string") if b == "cimb" else total_debit(t, b)),
-            "total_credit": by_bank(lambda b: F.lit(None).cast("string") if b == "cimb" else total_credit(t, b)),
-            "available_balance": F.when(F.col("detected_bank") == "bsn", available_balance(t)),
-        }
-    )
-    return df.withColumns(
-        {
-            "statement_period_from": by_bank(lambda b: _period(t, b, F.col("statement_date"), 1)),
-            "statement_period_to": by_bank(lambda b: _period(t, b, F.col("statement_date"), 2)),
-        }
-    )
+    return by_bank_record(df, text, table)
+
+
+def by_bank_record(df: DataFrame, text: str = "text", table: DataFrame | None = None) -> DataFrame:
+    """The bank fields of rows whose detected_bank is there already, by the rows of a rule table.
+
+    ``table`` has the rules of all banks (``ruletable.SCHEMA``), by default those of ``rules.BANKS``.
+    Banks without rules are generic.  ``df`` is read once, and no text is shuffled.
+    """
+    names, own, zero = (*FIELDS, "available_balance"), df.columns, F.lit("0.00")
+    met = ruletable.with_rules(df, "detected_bank", table, {"__plain": _PLAIN, "__made": _MADE})
+    t = F.col(text)
+    met = met.withColumn("__plain", ruletable.values(t, F.col("__plain")))
+    met = met.withColumns({f: F.get("__plain", F.lit(i)) for i, f in enumerate(_PLAIN)})
+    made = {
+        "derived": derived_closing(F.col("opening_balance"), F.col("total_debit"), F.col("total_credit")),
+        "first_transaction": dates.first_transaction_date(t, F.col("statement_date")),
+        "last_transaction": dates.last_transaction_date(t, F.col("statement_date")),
+    }
+    met = met.withColumn("__made", ruletable.values(t, F.col("__made"), made))
+    met = met.withColumns({f: F.get("__made", F.lit(i)) for i, f in enumerate(_MADE)})
+    return met.withColumns({f: F.coalesce(f, zero) for f in ("opening_balance", "closing_balance")}).select(*[c for c in own if c not in names], *names)
 
 
 def with_typed(df: DataFrame) -> DataFrame:

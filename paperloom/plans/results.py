@@ -35,9 +35,8 @@ def typed_pages(page_texts: DataFrame) -> DataFrame:
 def extract_documents(page_texts: DataFrame) -> DataFrame:
     """(upload_id, document_number, text) -> one row per page with its type, fields, score and verdict.
 
-    Nothing is shuffled.  Each bank's pages get that bank's patterns alone: one projection with the
-    patterns of all banks is too large to compile.  Pages of unknown type have an empty record and
-    the score 0.
+    Nothing is shuffled.  Each bank's pages meet that bank's patterns in a table of rules (see
+    ``ruletable``).  Pages of unknown type have an empty record and the score 0.
     """
     df = typed_pages(page_texts)
     ours = bank.by_bank_record(df.where("document_type = 'bank_statement'"))

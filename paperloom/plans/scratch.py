@@ -44,16 +44,32 @@ def _noted(path: str) -> str:
     return path
 
 
+class Workspace:
+    """What was made within a ``with workspace(spark)`` block."""
+
+    def __init__(self, outer: list[str] | None):
+        self.made: list[str] = []
+        self._outer = outer
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, which ``checkpointed`` returned, outlives the block; a block around it still deletes it."""
+        path = _checkpoint(df)
+        self.made.remove(path)
+        if self._outer is not None:
+            self._outer.append(path)
+        return df
+
+
 @contextmanager
-def workspace(spark: SparkSession) -> Iterator[None]:
+def workspace(spark: SparkSession) -> Iterator[Workspace]:
     """Deletes what ``fresh`` and ``checkpointed`` make inside, also where the work fails."""
-    made: list[str] = []
-    token = _made.set(made)
+    work = Workspace(_made.get())
+    token = _made.set(work.made)
     try:
-        yield
+        yield work
     finally:
         _made.reset(token)
-        for path in made:
+        for path in work.made:
             delete(spark, path)
 
 

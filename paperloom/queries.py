@@ -13,7 +13,7 @@ from paperloom import samples
 from paperloom.functions import classify, dates, numbers, rules
 from paperloom.functions.text import clean_text, postprocess
 from paperloom.operators import bank, ensemble, older, pages, payslip, spatial, tokens, validate
-from paperloom.plans import results
+from paperloom.plans import results, scratch
 from paperloom.registry import query as _query
 from paperloom.samples import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
 
@@ -212,14 +212,14 @@ def _bank_sql(name: str, account: str, holder: str, day: str, opening: str, clos
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned statements with the bank that is detected in their text."""
+    """Cleaned statements with the bank that is detected in their text, written as typed pages are."""
     s = samples.statements(spark, sf_dir).select("upload_id", clean_text(F.col("text")).alias("text")).withColumn("__b", classify.issuing_bank(F.col("text")))
-    return s.select("upload_id", "text", F.col("__b.bank").alias("detected_bank"), F.col("__b.confidence").alias("bank_detection_confidence"))
+    return scratch.checkpointed(s.select("upload_id", "text", F.col("__b.bank").alias("detected_bank"), F.col("__b.confidence").alias("bank_detection_confidence")))
 
 
 def _extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     s = _detected(spark, sf_dir).where(F.col("detected_bank") == name)
-    return bank.one_bank_record(s, name).select("upload_id", *bank.FIELDS, "detected_bank")
+    return bank.by_bank_record(s).select("upload_id", *bank.FIELDS, "detected_bank")
 
 
 _FULL = "strftime({}, '%d/%m/%Y')"

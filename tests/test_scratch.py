@@ -32,6 +32,16 @@ def test_a_workspace_leaves_nothing_of_failed_work(spark):
     assert files(spark) == before
 
 
+def test_nested_workspaces_keep_what_is_handed_out(spark):
+    before = files(spark)
+    with scratch.workspace(spark):
+        with scratch.workspace(spark) as inner:
+            scratch.checkpointed(spark.range(10))
+            rows = inner.keep(scratch.checkpointed(spark.range(20)))
+        assert rows.count() == 20 and files(spark) > before
+    assert files(spark) == before
+
+
 def test_drop(spark):
     before = files(spark)
     a, b = scratch.checkpointed(spark.range(10)), scratch.checkpointed(spark.range(5))
