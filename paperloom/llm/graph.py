@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import checkpointed
+from paperloom.llm.shared import checkpointed, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = fell.join(onward, "to").select("node", F.col("next").alias("root"))
         new = checkpointed(jumped)
         before = labels.select("node", F.col("root").alias("was"))
-        if new.join(before, "node").where("root <> was").isEmpty():
+        done = new.join(before, "node").where("root <> was").isEmpty()
+        drop(fell, labels)
+        if done:
+            drop(edges)
             return new
         labels = new

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans.scratch import checkpointed, delete, release
+from paperloom.plans.scratch import checkpointed, delete, drop, release, workspace
 from paperloom.plans.scratch import fresh as fresh_dir
 
-__all__ = ["checkpointed", "delete", "fresh_dir", "join_small", "read_blobs", "release", "saved", "write_blobs"]
+__all__ = ["checkpointed", "delete", "drop", "fresh_dir", "join_small", "read_blobs", "release", "saved", "workspace", "write_blobs"]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.graph import components
-from paperloom.llm.shared import checkpointed, delete, fresh_dir, join_small, release
+from paperloom.llm.shared import checkpointed, delete, drop, fresh_dir, join_small, release, workspace
 from paperloom.llm.words import mix, normal_form, slices, split
 
 SHINGLE = 4
@@ -488,7 +488,9 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
         known = checkpointed(sets(ends).dropDuplicates(["id"]))
         a, b = (known.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
         common = F.size(F.array_intersect("ha", "hb"))
-        return checkpointed(edges.join(a, "a").join(b, "b").select("a", "b", (9 * common >= 4 * (F.size("ha") + F.size("hb"))).alias("similar")))
+        out = checkpointed(edges.join(a, "a").join(b, "b").select("a", "b", (9 * common >= 4 * (F.size("ha") + F.size("hb"))).alias("similar")))
+        drop(ends, known)
+        return out
 
     def possible(edges: DataFrame) -> DataFrame:
         a, b = (nodes.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
@@ -497,20 +499,26 @@ def near_linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], tile:
     fps = checkpointed(nodes.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     of = fps.select("fp", "least")
     a, b = (of.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
-    stars = linked(of.select("fp"), tile=tile).join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    with workspace(nodes.sparkSession) as work:
+        stars = linked(of.select("fp"), tile=tile).join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        stars = work.keep(checkpointed(stars))
     twins = join_small(nodes.select("id", "fp"), fps.where("n > 1").select("fp", "least"), "fp", "inner").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     close = verified(checkpointed(stars.unionByName(twins).distinct())).where("similar").select("a", "b")
     centre = close.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
     short = nodes.select("id", "size", "parity")
     known = checkpointed(short.join(centre, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    drop(fps, stars)
     release(nodes.sparkSession)
     tiles = near_tiles(nodes, tile)
     sure = near_pairs(tiles, known, True)
     good = close.unionByName(verified(_some(sure)).where("similar").select("a", "b"))
     roots = components(good)
+    drop(sure, known)
     known = checkpointed(short.join(roots, short.id == roots.node, "left").select("id", "size", "parity", F.coalesce("root", "id").alias("root")))
     release(nodes.sparkSession)
-    doubt = checkpointed(possible(near_pairs(tiles, known, False)))
+    pairs = near_pairs(tiles, known, False)
+    doubt = checkpointed(possible(pairs))
+    drop(roots, known, tiles, pairs)
     return good.unionByName(verified(doubt).where("similar").select("a", "b"))
 
 
