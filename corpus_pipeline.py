@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, pieces, simhash, substring, toxicity
-from paperloom.llm.shared import delete, fresh_dir, join_small, saved
+from paperloom.llm.shared import delete, fresh_dir, join_small, saved, workspace
 
 
 def _through(docs: DataFrame, new: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -26,13 +26,16 @@ def _through(docs: DataFrame, new: tuple[str, ...], stage: Callable[[DataFrame],
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, fitted on the labels, doesn't score as toxic."""
+    """Documents that the factorization machine, fitted on the labels, doesn't score as toxic.
+
+    Rows are judged each by their text alone: repeated rows stay or go together, a score of exactly 0.5 goes.
+    """
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _through(docs, ("score", "predicted"), lambda d: toxicity.score(d, machine).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near duplicates."""
+    """One document, that with the least id, of each class of near duplicates; of equal ids the least text's hash, of repeated rows one."""
     return simhash.keep_one(docs)
 
 
@@ -60,7 +63,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids), with merge-dropout that cuts a document's copies apart."""
+    """(doc_id, lang, source, n_tokens, ids), with merge-dropout that cuts a document's copies apart.
+
+    Rows of one id and text are copies, numbered in the order of their other columns; rows that are equal in
+    all of them are interchangeable, so a rerun gives the same rows.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
     numbered = docs.select("doc_id", "lang", "source", "text").withColumn("copy", F.row_number().over(copies) - 1)
@@ -81,11 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage wrote is deleted once the next has read it."""
+    """The last stage's rows; what a stage wrote is deleted once the next has read it, what it needed meanwhile at its end."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
             delete(spark, before)
