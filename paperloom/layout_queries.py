@@ -256,21 +256,31 @@ def holder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT s_suppkey AS upload_id, '1' || lpad(s_suppkey::VARCHAR, 9, '0') AS account_number, (100 + s_suppkey % 900)::VARCHAR || '.00' AS opening_balance, (200 + s_suppkey % 900)::VARCHAR || '.00' AS closing_balance, '01/02/2024' AS statement_date
+SELECT s_suppkey AS upload_id, 'Alpha B' || translate(lpad(s_suppkey::VARCHAR, 6, '0'), '0123456789', 'abcdefghij') AS account_holder_name, '1' || lpad(s_suppkey::VARCHAR, 9, '0') AS account_number, 'Day 01/02/2024' AS statement_date,
+  CASE WHEN s_suppkey % 5 = 0 THEN '0.00' ELSE (100 + s_suppkey % 900)::VARCHAR || '.00' END AS opening_balance, (200 + s_suppkey % 900)::VARCHAR || '.00' AS closing_balance,
+  CASE WHEN s_suppkey % 3 > 0 THEN (300 + s_suppkey % 900)::VARCHAR || '.25' END AS total_debit, CASE s_suppkey % 3 WHEN 1 THEN (400 + s_suppkey % 900)::VARCHAR || '.50' WHEN 2 THEN (300 + s_suppkey % 900)::VARCHAR || '.25' END AS total_credit,
+  '01/' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '/2024 on' AS statement_period_from, '28/' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '/2024 incl' AS statement_period_to
 FROM supplier
 """)
 def tokens_to_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bank record put together from positioned tokens: values right of their labels, or below."""
+    """A bank record put together from positioned tokens: values right of their labels, or below.
+
+    Some pages lack a label; where only the first word of one is found, that counts.
+    """
     k = F.col("s_suppkey")
-    money = lambda n: F.concat((k % 900 + n).cast("string"), F.lit(".00"))
+    money = lambda n, cents="00": F.concat((k % 900 + n).cast("string"), F.lit(f".{cents}"))
+    month = F.lpad((k % 12 + 1).cast("string"), 2, "0")
+    name = F.concat(F.lit("Alpha B"), F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "abcdefghij"))
     said = [
-        (F.lit("Account Number"), 10, 10), (F.concat(F.lit("No 1"), F.lpad(k.cast("string"), 9, "0")), 120, 10), (F.lit("Statement Date"), 10, 60), (F.lit("Date 01/02/2024"), 120, 60),
-        (F.lit("Closing Balance"), 300, 110), (money(200), 300, 140), (F.lit("Opening Balance"), 10, 110), (money(100), 120, 110),
+        (F.lit("Account Holder"), 10, 200), (name, 120, 203), (F.lit("Account Number"), 10, 10), (F.concat(F.lit("No 1"), F.lpad(k.cast("string"), 9, "0")), 120, 10),
+        (F.lit("Statement Date"), 10, 60), (F.lit("Day 01/02/2024"), 120, 63), (F.lit("elsewhere"), 300, 60), (F.lit("Closing Balance"), 300, 110), (money(200), 300, 140),
+        (F.when(k % 5 == 0, "Opening Balance rate").otherwise("Opening Balance"), 10, 110), (money(100), 120, 110),
+        (F.when(k % 3 > 0, "Total Debit").otherwise("Sum"), 10, 260), (F.concat(F.lit("RM "), money(300, "25")), 120, 260), (F.when(k % 3 == 1, "Total Credit").otherwise("Sum"), 10, 300), (F.concat(F.lit("RM "), money(400, "50")), 120, 300),
+        (F.lit("Statement Period From"), 10, 340), (F.concat(F.lit("01/"), month, F.lit("/2024 on")), 120, 340), (F.lit("Statement Period To"), 10, 380), (F.concat(F.lit("28/"), month, F.lit("/2024 incl")), 120, 380),
     ]
     each = F.array(*[F.struct(F.lit(i).alias("token_ix"), t.alias("text"), F.lit(0.9).alias("confidence"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(x + 100.0).alias("x1"), F.lit(y + 20.0).alias("y1")) for i, (t, x, y) in enumerate(said)])
     rows = table(spark, sf_dir, "supplier").select(k.alias("upload_id"), F.lit(1).alias("page"), F.inline(each))
-    r = spatial.bank_record(rows)
-    return r.select("upload_id", "account_number", "opening_balance", "closing_balance", F.regexp_replace("statement_date", "^Date ", "").alias("statement_date"))
+    return spatial.bank_record(rows).drop("page")
 
 
 @_query("""

@@ -1,11 +1,12 @@
 """Reconciling several recognisers' tokens: overlap matching, retries and votes.
 
-Matching joins on (upload_id, page) with the overlap condition as a residual, so pairs stay within
-a page; each recogniser's tokens are read once.
+Matching joins on grid cells of a page; each recogniser's tokens are read once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,37 @@ def _named(tokens: DataFrame, prefix: str) -> DataFrame:
     return tokens.select(*PAGE, *[F.col(c).alias(f"{prefix}{c}") for c in tokens.columns if c not in PAGE])
 
 
+def _size_class(p: str) -> Column:
+    """The least k such that a box is at most 2**k wide and high."""
+    return F.ceil(F.log2(F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")))).cast("int")
+
+
+def _in_cells(boxes: DataFrame, p: str, reach: int) -> DataFrame:
+    """``boxes`` once for each grid cell (k, x, y), of size 2**k, that they touch; k is within ``reach`` of the box's class.
+
+    That is at most four cells of the box's own class, and nine of the one below.
+    """
+    cells = lambda k, a, z: F.sequence(F.floor(F.col(f"{p}{a}") / F.pow(F.lit(2.0), k)), F.floor(F.col(f"{p}{z}") / F.pow(F.lit(2.0), k)))
+    of = lambda k: F.flatten(F.transform(cells(k, "x0", "x1"), lambda x: F.transform(cells(k, "y0", "y1"), lambda y: F.struct(k.alias("k"), x.alias("x"), y.alias("y")))))
+    own = _size_class(p)
+    solid = boxes.where((F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0")))
+    return solid.select("*", F.inline(F.flatten(F.transform(F.sequence(own - reach, own + reach), of))))
+
+
 def best_matches(targets: DataFrame, candidates: DataFrame, least: float = rules.MATCH_IOU, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each target (t_*) with its best-overlapping candidate (c_*) above ``least``; the first of equals; per ``by`` columns."""
-    t, c = _named(targets, "t_"), _named(candidates, "c_")
-    overlap = (F.col("c_x0") < F.col("t_x1")) & (F.col("t_x0") < F.col("c_x1")) & (F.col("c_y0") < F.col("t_y1")) & (F.col("t_y0") < F.col("c_y1"))
-    pairs = t.join(c, list(PAGE)).where(overlap).withColumn("iou", iou("t_", "c_")).where(F.col("iou") > least)
+    """Each target (t_*) with its best-overlapping candidate (c_*) above ``least`` (over 0); the first of equals; per ``by`` columns.
+
+    Boxes that overlap by more than ``least`` of their union have sizes within that factor, so they meet
+    in the cells of a grid of the target's size class.  A pair is kept in one cell, that of its overlap's
+    upper left corner; a page's pairs are those of neighbours, not its square.
+    """
+    if least <= 0:
+        raise ValueError("least is over 0")
+    reach = max(math.ceil(-math.log2(least)), 0)
+    t, c = _in_cells(_named(targets, "t_"), "t_", 0), _in_cells(_named(candidates, "c_"), "c_", reach)
+    corner = lambda a: F.floor(F.greatest(f"t_{a}0", f"c_{a}0") / F.pow(F.lit(2.0), F.col("k"))) == F.col(a)
+    pairs = t.join(c, [*PAGE, "k", "x", "y"]).where(corner("x") & corner("y")).drop("k", "x", "y")
+    pairs = pairs.withColumn("iou", iou("t_", "c_")).where(F.col("iou") > least)
     pick = F.row_number().over(Window.partitionBy(*PAGE, "t_token_ix", *by).orderBy(F.desc("iou"), "c_token_ix"))
     return pairs.withColumn("__n", pick).where("__n = 1").drop("__n")
 

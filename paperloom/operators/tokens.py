@@ -6,11 +6,11 @@ order in which the recogniser gave them and decides every tie.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules
+from paperloom.functions.text import let
 
 PAGE = ("upload_id", "page")
 NUMERIC_RUN = r"^[\d,.\s\-]+$"
@@ -75,31 +75,49 @@ def page_text(tokens: DataFrame, step: float = rules.LINE_STEP) -> DataFrame:
     return by_line.groupBy(*PAGE).agg(F.array_join(joined, "\n").alias("text"))
 
 
+#: Tokens whose lines are kept in one array while a page is folded; longer pages have an array of arrays.
+_CHUNK = 512
+
+
 def cluster_lines(tokens: DataFrame, tolerance: float = rules.LINE_TOLERANCE) -> DataFrame:
     """``tokens`` with line: tokens by (y0, x0) join the first line whose current centre is within ``tolerance``.
 
-    A line's box, and so its centre, grows with each token, which no window frame can express;
-    pages are folded one by one.
+    A line's box, and so its centre, grows with each token, which no window frame can express, so a page
+    is one ordered array that is folded over.  The state holds the lines that later tokens can still
+    join (they start no higher than this one), and the lines given out so far.
     """
     own = tokens.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "token_ix"], kind="stable")
-        low: list[float] = []
-        high: list[float] = []
-        line = []
-        for y0, y1 in zip(pdf["y0"], pdf["y1"], strict=True):
-            middle = (y0 + y1) / 2
-            k = next((i for i in range(len(low)) if abs((low[i] + high[i]) / 2 - middle) <= tolerance), len(low))
-            if k == len(low):
-                low.append(y0)
-                high.append(y1)
-            low[k], high[k] = min(low[k], y0), max(high[k], y1)
-            line.append(k)
-        return pdf.assign(line=line)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", line int"
-    return tokens.groupBy(*PAGE).applyInPandas(fold, schema).select(*own, "line")
+    by = [c for c in own if c in PAGE]
+    rest = [c for c in own if c not in PAGE]
+    ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "token_ix", F.struct(*rest).alias("own"))))
+    page = tokens.groupBy(*by).agg(ordered.alias("t"), F.greatest(F.max((F.col("y0") - F.col("y1")) / 2), F.lit(0.0)).alias("inverted"))
+    box = lambda line, low, high: F.struct(line.alias("line"), low.alias("low"), high.alias("high"))
+    state = F.struct(
+        F.lit(0).alias("n"), F.expr("cast(array() as array<struct<line:int,low:double,high:double>>)").alias("open"),
+        F.expr("cast(array() as array<int>)").alias("chunk"), F.expr("cast(array() as array<array<int>>)").alias("done"),
+    )
+
+    def step(acc: Column, t: Column) -> Column:
+        low, high = t["own"]["y0"].cast("double"), t["own"]["y1"].cast("double")
+        middle = (low + high) / 2
+        near = F.filter(acc["open"], lambda o: F.abs((o["low"] + o["high"]) / 2 - middle) <= tolerance)
+        full = F.size(acc["chunk"]) >= _CHUNK
+
+        def joined(k: Column) -> Column:
+            grown = F.transform(acc["open"], lambda o: F.when(o["line"] == k, box(k, F.least(o["low"], low), F.greatest(o["high"], high))).otherwise(o))
+            lines = F.when(k == acc["n"], F.concat(acc["open"], F.array(box(k, low, high)))).otherwise(grown)
+            return F.struct(
+                (acc["n"] + (k == acc["n"]).cast("int")).alias("n"),
+                F.filter(lines, lambda o: (o["low"] + o["high"]) / 2 >= low - F.lit(tolerance) - F.col("inverted")).alias("open"),
+                F.when(full, F.array(k)).otherwise(F.concat(acc["chunk"], F.array(k))).alias("chunk"),
+                F.when(full, F.concat(acc["done"], F.array(acc["chunk"]))).otherwise(acc["done"]).alias("done"),
+            )
+
+        return let(F.coalesce(F.get(near, F.lit(0))["line"], acc["n"]), joined)
+
+    lines = F.aggregate("t", state, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"]))))
+    each = page.select(*by, "t", lines.alias("line")).select(*by, F.inline(F.arrays_zip("t", "line")))
+    return each.select(*[F.col(c) if c in PAGE else F.col(f"t.own.{c}").alias(c) for c in own], "line")
 
 
 def reading_order(lined: DataFrame) -> DataFrame:
