@@ -628,3 +628,49 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intake.statuses(spark, f"{root}/status").join(same, "upload_id", "left")
     return out.select("upload_id", "status", "pages", F.coalesce("same", F.lit(False)).alias("same_as_batch"))
 
+
+
+@_query("""
+SELECT c_custkey::VARCHAR AS upload_id, CASE WHEN c_custkey IN (7, 13) THEN 'failed' ELSE 'completed' END AS status, (CASE WHEN s_suppkey IS NULL THEN 2 ELSE 3 END)::BIGINT AS pages, c_custkey NOT IN (7, 13) AS same_as_batch
+FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
+UNION ALL VALUES ('broken', 'failed', 1, false), ('clock', 'completed', 1, false), ('partial', 'processing', 0, false)
+""")
+def stream_split_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads whose pages come in files of three runs of a stream.
+
+    Most say how many pages they have, every fourth is whole when no page came for ten minutes.  Every
+    tenth gets a page too late, which changes nothing; work fails for two uploads, whose neighbours are
+    completed; one upload is broken and one isn't whole yet.  Results are compared with the batch job's.
+    """
+    from paperloom.plans.scratch import fresh
+    from paperloom.streaming import assembly, intake
+
+    root, k = fresh(spark, "stream"), F.col("upload_id")
+    given = _known_pages(spark, sf_dir).select(k.cast("string").alias("upload_id"), F.col("document_number").cast("int").alias("document_number"), "text")
+    counted = given.join(given.groupBy("upload_id").agg(F.count("*").cast("int").alias("n")), "upload_id")
+    told = counted.select("upload_id", "document_number", "text", F.when(k.cast("long") % 4 != 0, F.col("n")).alias("expected"))
+    late = told.where((F.col("document_number") == 1) & (k.cast("long") % 10 == 1)).withColumn("document_number", F.lit(99))
+    alone = spark.createDataFrame([("clock", 1, "tick", 1), ("partial", 1, "one", 5)], told.schema)
+
+    def work(pages: DataFrame) -> DataFrame:
+        read = F.when(k.isin("7", "13"), F.raise_error(F.lit("unreadable")).cast("string")).otherwise(F.col("text"))
+        return _digests(pages.select("upload_id", "document_number", read.alias("text")))
+
+    for step, (rows, minute) in enumerate(((told.where("document_number = 1"), 0), (told.where("document_number > 1"), 5), (late.unionByName(alone), 120))):
+        lines = rows.withColumn("at", F.lit(f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z")).select(F.to_json(F.struct("*")).alias("value"))
+        if step == 0:
+            lines = lines.unionByName(spark.range(1).select(F.lit('{"upload_id": "broken", "document_number": "one", "text": "x", "expected": 1, "at": "2024-01-01T00:00:00Z"}').alias("value")))
+        lines.coalesce(2).write.mode("append").text(f"{root}/in")
+        stream = assembly.together(intake.arrivals(spark, f"{root}/in"))
+        intake.run_once(stream, work, f"{root}/out", f"{root}/status", f"{root}/checkpoint").awaitTermination()
+    batch = _digests(given)
+    streamed = spark.read.schema(batch.schema).parquet(f"{root}/out")
+    same = batch.join(streamed.withColumnsRenamed({"texts_md5": "streamed_md5"}), "upload_id").select("upload_id", (F.col("texts_md5") == F.col("streamed_md5")).alias("same"))
+    out = intake.statuses(spark, f"{root}/status").join(same, "upload_id", "left")
+    return out.select("upload_id", "status", "pages", F.coalesce("same", F.lit(False)).alias("same_as_batch"))
+
+
+def _digests(pages: DataFrame) -> DataFrame:
+    """(upload_id, texts_md5): an upload's page texts in order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("document_number", "text"))), lambda p: p["text"])
+    return pages.groupBy("upload_id").agg(F.md5(F.array_join(texts, "|")).alias("texts_md5"))

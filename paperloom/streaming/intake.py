@@ -1,53 +1,100 @@
 """File-arrival streams: landing folder to result records, with a status per upload.
 
-A file is the unit of work: an upload's pages come in one file, so carrying values across pages and
-merging pages happen within a batch and need no state between batches.
+Pages of an upload that come in one file are worked on in that file's batch; where they come in several,
+``assembly.together`` keeps them until the upload is whole.  Statuses are kept in a keyed table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paperloom.plans.keyed import KeyedTable
 from paperloom.plans.results import result_records
+from paperloom.plans.scratch import delete, workspace
 
-PAGES = "upload_id string, document_number int, text string"
-STATUS = "upload_id string, status string, pages long"
+PAGES = "upload_id string, document_number int, text string, expected int, at timestamp"
+STATUS = "upload_id string, status string, pages long, at long"
+#: Ways in which a set of uploads that fails is split, and the most uploads of a batch that may fail by their own.
+SPLIT = 4
+MOST_FAILED = 100
 
 
 def arrivals(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """A stream of files of JSON lines (upload_id, document_number, text) as they land.
+    """A stream of files of JSON lines (upload_id, document_number, text, and at will expected and at) as they land.
 
     A line that is no page (no JSON, a wrong type, a missing number or text) is marked broken; one
-    without an upload's id belongs to an upload named like its file.
+    without an upload's id belongs to an upload named like its file.  ``expected`` is the upload's number of
+    pages; ``at`` is when the page was made, by default when its file was written.
     """
     rows = spark.readStream.schema(PAGES + ", line string").option("columnNameOfCorruptRecord", "line").option("maxFilesPerTrigger", max_files).json(folder)
     broken = F.col("line").isNotNull() | F.col("document_number").isNull() | F.col("text").isNull()
-    return rows.select(F.coalesce("upload_id", F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "")).alias("upload_id"), "document_number", "text", broken.alias("broken"))
+    return rows.select(
+        F.coalesce("upload_id", F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "")).alias("upload_id"), "document_number", "text", broken.alias("broken"),
+        "expected", F.coalesce("at", "_metadata.file_modification_time").alias("at"),
+    )
+
+
+def status_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, STATUS)
+
+
+def _worked(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, part: Column, ways: int = 1, at: int = 0) -> Iterator[str]:
+    """Writes ``work(rows)`` and gives the uploads for which it fails: on a failure the uploads are split until those are alone."""
+    try:
+        with workspace(rows.sparkSession):
+            work(rows).write.mode("overwrite").parquet(f"{out}/part={ways}-{at}")
+    except Exception:
+        delete(rows.sparkSession, f"{out}/part={ways}-{at}")
+        some = [r.upload_id for r in rows.select("upload_id").distinct().limit(2).collect()]
+        if len(some) < 2:
+            yield from some
+            return
+        for k in range(SPLIT):
+            of = at + k * ways
+            mine = rows.where(F.pmod(part, F.lit(ways * SPLIT)) == of)
+            if not mine.isEmpty():
+                yield from _worked(mine, work, out, part, ways * SPLIT, of)
 
 
 def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, status: str, checkpoint: str) -> StreamingQuery:
-    """Processes all that has landed: results and statuses are written per batch, by batch id.
+    """Processes all that has landed: results by batch id, statuses in the table at ``status``.
 
-    An upload is "processing" from when its batch begins; then "failed" if one of its pages is broken,
-    else "completed" with its result.  Writing to a folder named by the batch and replacing it makes a
-    repeated batch harmless.
+    An upload is "processing" from when its first page comes; then "failed" if one of its pages is broken
+    or ``work`` fails for it, else "completed" with its result.  A failure of ``work`` doesn't end the batch:
+    the uploads are split until those that fail are alone.  More than ``MOST_FAILED`` of them are taken for a
+    fault that isn't theirs, and end the stream.  A repeated batch replaces what it wrote and said.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        said = status_table(spark, status)
         rows = rows.persist()
-        uploads = rows.groupBy("upload_id").agg(F.count("*").alias("pages"), F.bool_or("broken").alias("broken"))
-
-        def say(step: int, state) -> None:
-            uploads.select("upload_id", state.alias("status"), "pages").write.mode("overwrite").parquet(f"{status}/batch={batch_id}/step={step}")
-
-        say(0, F.lit("processing"))
-        good = rows.join(uploads.where("broken").select("upload_id"), "upload_id", "left_anti").drop("broken")
-        work(good).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        say(1, F.when(F.col("broken"), "failed").otherwise("completed"))
+        if "outcome" in rows.columns:  # late pages change nothing, and waiting uploads have none yet
+            waiting = rows.where("outcome = 'waiting'").select("upload_id", F.lit("processing").alias("status"), F.lit(0).cast("long").alias("pages"), F.lit(4 * batch_id).cast("long").alias("at"))
+            said.upsert(waiting)
+            ready = rows.where("outcome in ('whole', 'idle')")
+        else:
+            ready = rows
+        uploads = ready.groupBy("upload_id").agg(F.count("*").alias("pages"), F.bool_or("broken").alias("broken"))
+
+        def say(step: int, state: Column) -> None:
+            said.upsert(uploads.select("upload_id", state.alias("status"), "pages", F.lit(4 * batch_id + step).cast("long").alias("at")))
+
+        say(1, F.lit("processing"))
+        good = ready.join(uploads.where("broken").select("upload_id"), "upload_id", "left_anti").select("upload_id", "document_number", "text")
+        folder = f"{out}/batch={batch_id}"
+        delete(spark, folder)
+        failed = []
+        for name in _worked(good, work, folder, F.xxhash64("upload_id")):
+            failed.append(name)
+            if len(failed) > MOST_FAILED:
+                raise RuntimeError(f"work fails for over {MOST_FAILED} uploads of batch {batch_id}")
+        say(2, F.when(F.col("broken") | F.col("upload_id").isin(failed), "failed").otherwise("completed"))
+        said.vacuum(2)
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -55,8 +102,12 @@ def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str
 
 def statuses(spark: SparkSession, status: str) -> DataFrame:
     """The latest status of each upload."""
-    rows = spark.read.schema(STATUS + ", batch long, step int").parquet(status).withColumn("at", F.struct("batch", "step"))
-    return rows.groupBy("upload_id").agg(F.max_by("status", "at").alias("status"), F.max_by("pages", "at").alias("pages"))
+    return status_table(spark, status).read().select("upload_id", "status", "pages")
+
+
+def status_of(spark: SparkSession, status: str, wanted: DataFrame) -> DataFrame:
+    """The latest status of the uploads in ``wanted`` (upload_id); only their buckets are read."""
+    return status_table(spark, status).get(wanted).select("upload_id", "status", "pages")
 
 
 def results_of(pages: DataFrame) -> DataFrame:
