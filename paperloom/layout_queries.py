@@ -157,13 +157,17 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT c_custkey, 'Total 1,234.56 for 12.00' AS decimals, 'a, b (c) d' || c_custkey AS spaces, '1050' || c_custkey AS digits, 'Report ' || c_custkey || '.v1' AS filename, '.pdf' AS extension FROM customer
+WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS k, printf('%,d', 1000 + c_custkey % 8999) AS v, lpad((c_custkey % 100)::VARCHAR, 2, '0') AS cents FROM customer)
+SELECT c_custkey, 'Total ' || v || '.' || cents || ' for ' || k || '.00 x' || k || '.y and ' || v || ' 5 ' || v || ' 123.00' AS decimals, 'a, b (c) d' || k AS spaces,
+  '1050' || k || ' BOX 0' || k || ' ' || k || '1 aSb 5' || k || '28' AS digits, 'Report ' || k || '.v1' AS filename, '.pdf' AS extension FROM c
 """)
 def text_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
+    """Fixes of texts made from columns, with near misses: a point within a word, one or three digits after a thousand."""
+    k, v = F.col("c_custkey").cast("string"), F.format_number(F.lit(1000) + F.col("c_custkey") % 8999, 0)
+    amounts = F.concat(F.lit("Total "), v, F.lit(" "), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" for "), k, F.lit(". x"), k, F.lit(".y and "), v, F.lit(" 5 "), v, F.lit(" 123."))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", text.fix_decimal_points(F.lit("Total 1,234 56 for 12.")).alias("decimals"), text.remove_extra_spaces(F.concat(F.lit(" a , b  ( c ) d"), k)).alias("spaces"),
-        text.fix_lookalikes(F.concat(F.lit("1O5O"), k)).alias("digits"), text.clean_filename(F.concat(F.lit(" Report* "), k, F.lit(".v1?"))).alias("filename"),
+        "c_custkey", text.fix_decimal_points(amounts).alias("decimals"), text.remove_extra_spaces(F.concat(F.lit(" a , b  ( c ) d"), k)).alias("spaces"),
+        text.fix_lookalikes(F.concat(F.lit("1O5O"), k, F.lit(" BOX O"), k, F.lit(" "), k, F.lit("l aSb S"), k, F.lit("Z8"))).alias("digits"), text.clean_filename(F.concat(F.lit(" Report* "), k, F.lit(".v1?"))).alias("filename"),
         text.file_extension(F.concat(F.lit("/in/"), k, F.lit(".x.PDF"))).alias("extension"),
     )
 
@@ -223,7 +227,7 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh(spark, "results")
     nested = p.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("document_number", "text_length"))).alias("documents"))
     sinks.write_results(nested, path, 16)
-    back = spark.read.schema(nested.schema).json(path)
+    back = sinks.read_results(spark, path, nested.schema)
     total = F.aggregate("documents", F.lit(0).cast("long"), lambda a, d: a + d["text_length"])
     return back.select("upload_id", F.size("documents").cast("long").alias("pages"), total.alias("total"))
 
@@ -370,3 +374,40 @@ def extract_payslip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Nama: ALPHA BIN GAMMA 1"), gap, F.lit("No KP 900101145555"), gap, F.lit("Jumlah Pendapatan "), gross, gap, less, gap, F.lit("M/S 1/2023"))
     r = payslip.payslip_record(table(spark, sf_dir, "supplier").select(k.alias("upload_id"), said.alias("text")))
     return r.select("upload_id", "gross_income", "total_deduction", "month_year")
+
+
+@_query("SELECT doc_id::VARCHAR AS upload_id, doc_id || '.pdf' AS name, md5(text) AS content_md5, strlen(text) AS n_bytes FROM documents WHERE doc_id % 7 <> 0")
+def kept_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw bytes of accepted uploads, through their sink and its reader."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("upload_id"), F.encode("text", "UTF-8").alias("content"), (F.col("doc_id") % 7 != 0).alias("accepted"))
+    path = scratch.fresh(spark, "uploads")
+    sinks.keep_uploads(d, path, 16)
+    return sinks.read_uploads(spark, path).select("upload_id", "name", F.md5("content").alias("content_md5"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@_query("""
+SELECT conv_id::VARCHAR AS upload_id, 'extracted_text_page_' || n || '.txt' AS name, md5(text) AS text_md5
+FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations)
+""")
+def kept_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts, through their sink and its reader."""
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    p = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("upload_id"), number.alias("document_number"), "text")
+    path = scratch.fresh(spark, "texts")
+    sinks.keep_page_texts(p, path, 16)
+    return sinks.read_page_texts(spark, path).select("upload_id", "name", F.md5("text").alias("text_md5"))
+
+
+@_query(f"WITH {SQL_TOKENS} SELECT upload_id, page::INT AS page, token_ix::INT AS token_ix, text, confidence, x0, y0, x1, y1 FROM tok")
+def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned tokens, through their sink and its reader."""
+    t = samples.tokens(spark, sf_dir).select("upload_id", F.col("page").cast("int").alias("page"), F.col("token_ix").cast("int").alias("token_ix"), "text", *[F.col(c).cast("double").alias(c) for c in ("confidence", "x0", "y0", "x1", "y1")])
+    path = scratch.fresh(spark, "tokens")
+    sinks.keep_tokens(t, path, 16)
+    return sinks.read_tokens(spark, path, t.schema)
+
+
+@_query(f"WITH {SQL_TOKENS} SELECT upload_id, token_ix::INT AS token_ix, (dense_rank() OVER (PARTITION BY upload_id, page ORDER BY y0) - 1)::INT AS line FROM tok")
+def relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by a tolerance relative to the page's height, so narrow that each height of equal boxes is a line."""
+    return tokens.cluster_lines(samples.tokens(spark, sf_dir), tokens.relative_tolerance(0.05)).select("upload_id", "token_ix", "line")

@@ -575,17 +575,28 @@ def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.summarise(documents).select("upload_id", "total_documents", "payslips", "bank_statements", "other")
 
 
-@_query("""
-SELECT c_custkey AS upload_id, (1 + CASE WHEN s_suppkey IS NULL THEN 0 ELSE 1 END)::INT AS documents, 2::BIGINT AS most_pages,
-  CASE WHEN c_custkey % 5 = 0 AND c_acctbal <= 0 THEN '0.00' WHEN c_custkey % 5 = 0 THEN c_acctbal::DECIMAL(18,2)::VARCHAR ELSE (abs(c_acctbal::DECIMAL(18,2)) + 0.01)::DECIMAL(18,2)::VARCHAR END AS opening_balance
-FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
+@_query(f"""
+WITH {SQL_STATEMENTS}, n AS (
+  SELECT upload_id, bank, opening, balance, round_even(CASE bank WHEN 'cimb' THEN 9.0 WHEN 'bsn' THEN 12.0 WHEN 'public_islamic' THEN 9.0 ELSE 11.0 END / CASE bank WHEN 'bsn' THEN 12.0 ELSE 11.0 END, 2) AS score FROM st
+)
+SELECT upload_id, (1 + (s_suppkey IS NOT NULL)::INT)::INT AS documents, 2::BIGINT AS most_pages, CASE WHEN bank = 'cimb' AND balance <= 0 THEN '0.00' WHEN bank = 'cimb' THEN balance::DECIMAL(18,2)::VARCHAR ELSE opening::VARCHAR END AS opening_balance,
+  (2 + (s_suppkey IS NOT NULL)::INT)::BIGINT AS total_documents, (s_suppkey IS NOT NULL)::BIGINT AS payslips, 2::BIGINT AS bank_statements, 0::BIGINT AS other,
+  CASE WHEN s_suppkey IS NULL THEN 'bank_statement:1:2:true' ELSE 'bank_statement:1:2:true,payslip:3:1:false' END AS parts,
+  round_even((2 * score + CASE WHEN s_suppkey IS NULL THEN 0 ELSE 1 END) / CASE WHEN s_suppkey IS NULL THEN 2 ELSE 3 END, 2)::DOUBLE AS average_confidence, bank AS detected_bank, true AS lengths_add_up, true AS stamped
+FROM n LEFT JOIN supplier ON n.upload_id = s_suppkey
 """)
 def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results.result_records(_known_pages(spark, sf_dir))
+    """The whole envelope of each upload: its documents, their summary, lengths and time."""
+    given = _known_pages(spark, sf_dir)
+    r = results.result_records(given)
+    lengths = given.groupBy("upload_id").agg(F.sum(F.length(clean_text(F.col("text")))).alias("n"))
     bank_doc = F.filter("documents", lambda d: d["document_type"] == "bank_statement")[0]
-    return r.select(
+    part = lambda d: F.concat_ws(":", d["document_type"], d["document_number"].cast("string"), d["merged_from_pages"].cast("string"), d["is_merged"].cast("string"))
+    return r.join(lengths, "upload_id").select(
         "upload_id", F.size("documents").alias("documents"), F.array_max(F.transform("documents", lambda d: d["merged_from_pages"])).alias("most_pages"),
-        bank_doc["extracted_data"]["opening_balance"].alias("opening_balance"),
+        bank_doc["extracted_data"]["opening_balance"].alias("opening_balance"), "total_documents", "summary.payslips", "summary.bank_statements", "summary.other",
+        F.array_join(F.transform("documents", part), ",").alias("parts"), "summary.average_confidence", bank_doc["extracted_data"]["detected_bank"].alias("detected_bank"),
+        (F.col("total_text_length") == F.col("n")).alias("lengths_add_up"), F.col("processing_completed_at").isNotNull().alias("stamped"),
     )
 
 
