@@ -108,40 +108,54 @@ def fit_machine(bucket: np.ndarray, size: np.ndarray, labels: np.ndarray, seed:
     n, positive = len(y), float(y.sum())
     prior = (positive + 1) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
-    theta = np.zeros((BUCKETS, FACTORS + 1))  # linear weight, factors
+    known, number = np.unique(bucket, return_inverse=True)  # only buckets that occur are learned
+    number = number.astype(np.int64)
+    theta = np.zeros((len(known), FACTORS + 1), dtype=np.float32)  # linear weight, factors
+    linear, factors = np.zeros(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, FACTORS), dtype=np.float32)
     if positive in (0, n):
-        return Machine(bias, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
-    value = values(bucket, size, labels)
+        return Machine(bias, linear, factors)
+    value = values(bucket, size, labels)[known].astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
-    theta[:, 1:] = rng.normal(0, 0.02, (BUCKETS, FACTORS))
-    past, past_bias = np.full(theta.shape, 1e-8), 1e-8
+    theta[:, 1:] = rng.normal(0, 0.02, (BUCKETS, FACTORS))[known]
+    past, past_bias = np.full(theta.shape, 1e-8, dtype=np.float32), 1e-8
     first = np.cumsum(size) - size
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             docs = order[k : k + BATCH]
+            empty, docs = docs[size[docs] == 0], docs[size[docs] > 0]  # empty texts teach the bias alone
+            alone = float((1 / (1 + np.exp(-np.clip(bias, -30, 30))) - y[empty]).sum())
             count = size[docs]
+            if not len(docs):
+                past_bias += alone**2
+                bias -= rate * alone / float(np.sqrt(past_bias))
+                continue
+            begin = np.cumsum(count) - count
+            own = number[np.repeat(first[docs] - begin, count) + np.arange(count.sum())]
             who = np.repeat(np.arange(len(docs)), count)
-            rows, own = np.unique(bucket[np.repeat(first[docs] - (np.cumsum(count) - count), count) + np.arange(count.sum())], return_inverse=True)
-            x = value[rows, None]
-            w = theta[rows] * x
-            z = bias + np.bincount(who, w[own, 0], minlength=len(docs))
-            sums = [np.bincount(who, w[own, f], minlength=len(docs)) for f in range(1, FACTORS + 1)]
-            for f, s in enumerate(sums, 1):
-                z += 0.5 * (s * s - np.bincount(who, w[own, f] ** 2, minlength=len(docs)))
+            w = np.take(theta, own, axis=0) * np.take(value, own, axis=0)
+            sums = np.add.reduceat(w, begin, axis=0)  # per document: the linear part, and each factor's sum
+            squares = np.bincount(who, np.einsum("ij,ij->i", w[:, 1:], w[:, 1:]), minlength=len(docs))
+            z = bias + sums[:, 0] + 0.5 * (np.einsum("ij,ij->i", sums[:, 1:], sums[:, 1:]) - squares)
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]
-            grad = np.zeros_like(w)
-            per = np.bincount(own, g[who], minlength=len(rows))
-            grad[:, 0] += per
-            for f, s in enumerate(sums, 1):
-                grad[:, f] += np.bincount(own, (g * s)[who], minlength=len(rows)) - w[:, f] * per
-            grad = grad * x + l2 * theta[rows]
-            past[rows] += grad * grad
-            theta[rows] -= rate * grad / np.sqrt(past[rows])
-            past_bias += g.sum() ** 2
-            bias -= rate * float(g.sum() / np.sqrt(past_bias))
-    theta *= value[:, None]  # nothing for buckets that no document has
-    return Machine(bias, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
+            # by bucket: the sums of g, and of g times the factors' sums, over the documents that have it
+            by = np.sort(own * len(docs) + who)
+            own, who = np.divmod(by, len(docs))
+            at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            rows = own[at]
+            sums[:, 0] = 1
+            running = np.cumsum(np.take((sums * g[:, None]).astype(np.float32), who, axis=0), axis=0, dtype=np.float64)
+            grad = np.diff(running[np.append(at[1:], len(own)) - 1], axis=0, prepend=0.0).astype(np.float32)
+            mine, x = np.take(theta, rows, axis=0), np.take(value, rows, axis=0)
+            grad[:, 1:] -= mine[:, 1:] * x * grad[:, :1]
+            grad = grad * x + np.float32(l2) * mine
+            seen = np.take(past, rows, axis=0) + grad * grad
+            past[rows], theta[rows] = seen, mine - np.float32(rate) * grad / np.sqrt(seen)
+            past_bias += (g.sum() + alone) ** 2
+            bias -= rate * float((g.sum() + alone) / np.sqrt(past_bias))
+    theta *= value
+    linear[known], factors[known] = theta[:, 0], theta[:, 1:]
+    return Machine(bias, linear, factors)
 
 
 def held_out(doc_id: Column) -> Column:
