@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from paperloom import samples
 from paperloom.functions import classify, dates, numbers, text
-from paperloom.operators import bank, older, pages, payslip, spatial, tokens, validate
+from paperloom.operators import bank, contracts, older, pages, payslip, spatial, tokens, validate
 from paperloom.plans import results, scratch, sinks
 from paperloom.queries import _LABELS, _NUMBER, _row_tokens
 from paperloom.registry import query as _query
 from paperloom.samples import SQL_PAGES, SQL_TOKENS, table
-from paperloom.sources import landing
+from paperloom.sources import landing, settingrows
 
 # --- layout --------------------------------------------------------------------------------
 
@@ -411,3 +411,52 @@ def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by a tolerance relative to the page's height, so narrow that each height of equal boxes is a line."""
     return tokens.cluster_lines(samples.tokens(spark, sf_dir), tokens.relative_tolerance(0.05)).select("upload_id", "token_ix", "line")
+
+
+@_query("""
+SELECT c_custkey AS upload_id, CASE WHEN k % 3 = 0 THEN '"e' || k || '"' ELSE '"paddle"' END AS engine, CASE WHEN k % 3 = 2 THEN '["ar"]' ELSE '["en","ms"]' END AS languages,
+  CASE WHEN k % 3 = 0 THEN k::VARCHAR ELSE '1' END AS times, '2' AS pause, CASE WHEN k % 5 = 0 THEN (100 + k)::VARCHAR WHEN k % 3 = 1 THEN NULL ELSE '10' END AS upload_mb,
+  CASE WHEN k % 3 = 1 AND k % 5 <> 0 THEN '5' END AS limits, CASE WHEN k % 3 <> 2 THEN '"base"' END AS note, CASE WHEN k % 3 = 2 THEN '"' || n_name || '"' END AS note_by
+FROM customer JOIN (SELECT n_nationkey AS k, n_name FROM nation) ON c_nationkey = k
+""")
+def settings_by_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of many templates, each under the settings that its three layers resolve to."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string")
+    base = spark.createDataFrame([(None, 0, '{"ocr": {"engine": "paddle", "languages": ["en", "ms"], "retry": {"times": 1, "pause": 2}}, "limits": {"upload_mb": 10}, "note": "base"}')], settingrows.LAYERS)
+    own = (
+        F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('{"ocr": {"engine": "e'), k, F.lit('", "retry": {"times": '), k, F.lit("}}}")))
+        .when(F.col("n_nationkey") % 3 == 1, F.lit('{"limits": 5}')).otherwise(F.concat(F.lit('{"note": {"by": "'), F.col("n_name"), F.lit('"}, "ocr": {"languages": ["ar"]}}')))
+    )
+    above = F.concat(F.lit('{"limits": {"upload_mb": '), (F.col("n_nationkey") + 100).cast("string"), F.lit('}, "ocr": {"retry": {}}}'))
+    layers = base.unionByName(n.select(F.col("n_name").alias("template"), F.lit(1).alias("layer"), own.alias("document"))).unionByName(n.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("template"), F.lit(2).alias("layer"), above.alias("document")))
+    uploads = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("upload_id"), F.col("n_name").alias("template"))
+    wanted = {"engine": ("ocr", "engine"), "languages": ("ocr", "languages"), "times": ("ocr", "retry", "times"), "pause": ("ocr", "retry", "pause"), "upload_mb": ("limits", "upload_mb"), "limits": ("limits",), "note": ("note",), "note_by": ("note", "by")}
+    return settingrows.with_settings(uploads, settingrows.resolved(layers), wanted).drop("template")
+
+
+_BROKEN = "CASE s_suppkey % 9 WHEN 1 THEN 'name: missing' WHEN 2 THEN 'id_number: not of its shape' WHEN 3 THEN 'gross_income: no money' WHEN 4 THEN 'net_income: missing' WHEN 5 THEN 'month_year: no month' WHEN 6 THEN 'name: over 100 characters; month_year: not of its shape' END"
+
+
+def _unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payslip records, six in nine each with faults of its own kind."""
+    k = F.col("s_suppkey")
+    other = lambda n, x, c: F.when(k % 9 == n, x).otherwise(c)
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("upload_id"), F.when(k % 9 == 1, "").when(k % 9 == 6, F.repeat(F.lit("x"), 101)).otherwise("ALPHA").alias("name"), other(2, F.lit("12"), F.lit("900101-14-1234")).alias("id_number"),
+        other(3, F.lit("1.2.3"), F.concat((k % 900).cast("string"), F.lit(".50"))).alias("gross_income"), other(4, F.lit(None), F.lit("80.25")).alias("net_income"), F.lit("20.25").alias("total_deduction"),
+        F.when(k % 9 == 5, "13/2024").when(k % 9 == 6, "2024").otherwise("07/2024").alias("month_year"),
+    )
+
+
+@_query("SELECT s_suppkey AS upload_id, 'ALPHA' AS name, '900101-14-1234' AS id_number, (s_suppkey % 900 + 0.5)::DECIMAL(18,2)::VARCHAR AS gross_income, '80.25' AS net_income, '20.25' AS total_deduction, '2024-07-01' AS month_year FROM supplier WHERE s_suppkey % 9 IN (0, 7, 8)")
+def records_by_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that keep their contract; amounts and months are typed ones, shown as text."""
+    good = contracts.divide(_unchecked(spark, sf_dir), contracts.PAYSLIP, scratch.fresh(spark, "contract"))[0]
+    return good.select("upload_id", *[F.col(f.name).cast("string").alias(f.name) for f in contracts.PAYSLIP])
+
+
+@_query(f"SELECT s_suppkey AS upload_id, CASE s_suppkey % 9 WHEN 3 THEN '1.2.3' ELSE s_suppkey % 900 || '.50' END AS gross_income, {_BROKEN} AS reasons FROM supplier WHERE s_suppkey % 9 BETWEEN 1 AND 6")
+def quarantined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that break their contract, as they came, with every reason."""
+    broken = contracts.divide(_unchecked(spark, sf_dir), contracts.PAYSLIP, scratch.fresh(spark, "contract"))[1]
+    return broken.select("upload_id", "gross_income", F.array_join("reasons", "; ").alias("reasons"))
