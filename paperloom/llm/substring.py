@@ -348,19 +348,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] |
     spark = docs.sparkSession
     n = _partitions(spark)
     one = _packed(rows, window).join(ranked, ["doc", "key"]).select("rank", "packed").repartition(n, "rank").groupBy("rank").agg(F.first("packed").alias("packed"))
-    text_table = _bucketed(one, "rank")
-    texts = spark.table(text_table[0])
-    counted = _symbols(texts, window).groupBy("name").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("position").alias("position"))
-    lists = counted.where("n = 1").repartition(n, "rank").groupBy("rank").agg(F.collect_list("position").alias("unique"))
-    unique_table = _bucketed(lists, "rank")
-    with_unique = texts.join(spark.table(unique_table[0]), "rank", "left")
-    firsts = _windows(with_unique, window).groupBy("h1", "h2").agg(F.min("at").alias("at"))
-    mask = (1 << POSITION_BITS) - 1
-    of = firsts.select(F.shiftright("at", POSITION_BITS).alias("rank"), F.col("at").bitwiseAND(mask).cast("int").alias("position"))
-    of = of.groupBy("rank").agg(F.collect_list("position").alias("firsts"))
-    lost = _kept(with_unique.join(of, "rank", "left"), window)
-    lost = saved(lost, "substring")
-    _dropped(spark, text_table, unique_table)
+    tables = []
+    try:
+        tables.append(_bucketed(one, "rank"))
+        texts = spark.table(tables[0][0])
+        counted = _symbols(texts, window).groupBy("name").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("position").alias("position"))
+        lists = counted.where("n = 1").repartition(n, "rank").groupBy("rank").agg(F.collect_list("position").alias("unique"))
+        tables.append(_bucketed(lists, "rank"))
+        with_unique = texts.join(spark.table(tables[1][0]), "rank", "left")
+        firsts = _windows(with_unique, window).groupBy("h1", "h2").agg(F.min("at").alias("at"))
+        mask = (1 << POSITION_BITS) - 1
+        of = firsts.select(F.shiftright("at", POSITION_BITS).alias("rank"), F.col("at").bitwiseAND(mask).cast("int").alias("position"))
+        of = of.groupBy("rank").agg(F.collect_list("position").alias("firsts"))
+        lost = saved(_kept(with_unique.join(of, "rank", "left"), window), "substring")
+    finally:
+        _dropped(spark, *tables)
     addressed = ranked.join(lost, "rank", "left").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), "rank", "n_removed", F.col("kept").alias("__kept"))
     out = sized.join(addressed, ["__doc", "__key"], "left")
     copy = F.col("rank").isNull() & (F.col("n_words") >= window)
