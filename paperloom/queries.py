@@ -13,7 +13,8 @@ from paperloom import samples
 from paperloom.functions import classify, dates, numbers, rules
 from paperloom.functions.text import clean_text, postprocess
 from paperloom.operators import bank, ensemble, older, pages, payslip, spatial, tokens, validate
-from paperloom.plans import results, scratch
+from paperloom.plans import results, scratch, sqlfunctions
+from paperloom.registry import ORACLES
 from paperloom.registry import query as _query
 from paperloom.samples import SQL_PAGES, SQL_PAYSLIPS, SQL_STATEMENTS, SQL_TOKENS, table
 
@@ -685,3 +686,29 @@ def _digests(pages: DataFrame) -> DataFrame:
     """(upload_id, texts_md5): an upload's page texts in order."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("document_number", "text"))), lambda p: p["text"])
     return pages.groupBy("upload_id").agg(F.md5(F.array_join(texts, "|")).alias("texts_md5"))
+
+
+# --- the same in SQL -----------------------------------------------------------------------
+
+
+@_query(f"SELECT o_orderkey, cleaned, parsed FROM ({ORACLES['money_clean']}) a JOIN ({ORACLES['money_parse']}) b USING (o_orderkey)")
+def money_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts by SQL functions alone."""
+    sqlfunctions.register(spark, "paperloom_")
+    _money_shapes(spark, sf_dir).createOrReplaceTempView("paperloom_amounts")
+    return spark.sql("SELECT o_orderkey, paperloom_clean_currency(said) AS cleaned, paperloom_parse_number(said) AS parsed FROM paperloom_amounts")
+
+
+@_query(ORACLES["clean_texts"])
+def clean_texts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts by SQL functions alone."""
+    sqlfunctions.register(spark, "paperloom_")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("paperloom_documents")
+    return spark.sql("SELECT doc_id, CAST(length(c) AS LONG) AS n_clean, md5(c) AS clean_md5 FROM (SELECT doc_id, paperloom_clean_text(text) AS c FROM paperloom_documents)")
+
+
+@_query(f"WITH {SQL_TOKENS} SELECT upload_id, page, count(*) FILTER (confidence < 0.6) AS weak, max(x1) AS widest, count(DISTINCT y0) AS heights, count(*) AS tokens FROM tok GROUP BY ALL")
+def lines_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by a query in SQL over the view of their lines."""
+    sqlfunctions.layout_views(samples.tokens(spark, sf_dir), "paperloom_")
+    return spark.sql("SELECT upload_id, page, count_if(confidence < 0.6) AS weak, max(x1) AS widest, count(DISTINCT y0) AS heights, count(*) AS tokens FROM paperloom_lines GROUP BY upload_id, page")
