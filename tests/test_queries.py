@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from paperloom import registry as documents
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["customer", "supplier", "orders", "lineitem", "documents", "pages", "conversations", "labels"]
+TABLES = ["nation", "customer", "supplier", "orders", "lineitem", "documents", "pages", "conversations", "labels"]
 
 
 @pytest.fixture(scope="module")
