@@ -25,7 +25,7 @@ def rows(df):
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF).toPandas()
     assert rows(got) == rows(c.execute(catalog.oracle_sql()[name]).fetch_df())
