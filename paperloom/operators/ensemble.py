@@ -1,6 +1,6 @@
 """Reconciling several recognisers' tokens: overlap matching, retries and votes.
 
-Matching joins on grid cells of a page; each recogniser's tokens are read once.
+Tokens are brought together once, by page and tile, and matched there; each recogniser's tokens are read once.
 """
 
 from __future__ import annotations
@@ -34,62 +34,111 @@ def _size_class(p: str) -> Column:
     return F.ceil(F.log2(F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")))).cast("int")
 
 
-def _in_cells(boxes: DataFrame, p: str, reach: int) -> DataFrame:
-    """``boxes`` once for each grid cell (k, x, y), of size 2**k, that they touch; k is within ``reach`` of the box's class.
-
-    That is at most four cells of the box's own class, and nine of the one below.
-    """
+def _cells(p: str, reach: int) -> Column:
+    """The grid cells (k, x, y), of size 2**k, that a box touches; k is within ``reach`` of the box's class."""
     cells = lambda k, a, z: F.sequence(F.floor(F.col(f"{p}{a}") / F.pow(F.lit(2.0), k)), F.floor(F.col(f"{p}{z}") / F.pow(F.lit(2.0), k)))
     of = lambda k: F.flatten(F.transform(cells(k, "x0", "x1"), lambda x: F.transform(cells(k, "y0", "y1"), lambda y: F.struct(k.alias("k"), x.alias("x"), y.alias("y")))))
     own = _size_class(p)
-    solid = boxes.where((F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0")))
-    return solid.select("*", F.inline(F.flatten(F.transform(F.sequence(own - reach, own + reach), of))))
+    return F.flatten(F.transform(F.sequence(own - reach, own + reach), of))
 
 
-def best_matches(targets: DataFrame, candidates: DataFrame, least: float = rules.MATCH_IOU, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each target (t_*) with its best-overlapping candidate (c_*) above ``least`` (over 0); the first of equals; per ``by`` columns.
+def _solid(boxes: DataFrame, p: str) -> DataFrame:
+    return boxes.where((F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0")))
 
-    Boxes that overlap by more than ``least`` of their union have sizes within that factor, so they meet
-    in the cells of a grid of the target's size class.  A pair is kept in one cell, that of its overlap's
-    upper left corner; a page's pairs are those of neighbours, not its square.
-    """
+
+def _in_cells(boxes: DataFrame, p: str, reach: int) -> DataFrame:
+    """``boxes`` once for each of their ``_cells``: at most four of the box's own class, and nine of the one below."""
+    return _solid(boxes, p).select("*", F.inline(_cells(p, reach)))
+
+
+#: A tile is where a target's upper left corner lies: its group of three size classes, and a square of the page
+#: whose side is four to sixteen times that of its boxes.
+_TILE = ("tg", "tx", "ty")
+
+
+def _group(k: Column) -> Column:
+    return (F.floor(k / 3) * 3).cast("int")
+
+
+def _tile_at(group: Column, c: Column) -> Column:
+    """The tile's number along one side; tiles are centred on 0, so that pages don't begin on a border."""
+    return F.floor(c / F.pow(F.lit(2.0), group + 4) + 0.5)
+
+
+def _reached(g: Column, a: str, least: float) -> Column:
+    """The tiles along one side that a match's corner can lie in: from (1 / least - 1) sides before the box's own to (1 - least) after it."""
+    low = F.col(f"c_{a}0")
+    side = F.col(f"c_{a}1") - low
+    return F.sequence(_tile_at(g, low - side * (1 / least - 0.999)), _tile_at(g, low + side * (1.001 - least)))
+
+
+def _tiled(candidates: DataFrame, least: float) -> DataFrame:
+    """Candidates (c_*), once for each tile that a match's corner can lie in."""
+    reach = max(math.ceil(-math.log2(least)), 0)
+    groups = F.array_distinct(F.transform(F.sequence(_size_class("c_") - reach, _size_class("c_") + reach), _group))
+    tiles = lambda g: F.flatten(F.transform(_reached(g, "x", least), lambda x: F.transform(_reached(g, "y", least), lambda y: F.struct(g.alias("tg"), x.alias("tx"), y.alias("ty")))))
+    return _solid(_named(candidates, "c_"), "c_").select("*", F.inline(F.flatten(F.transform(groups, tiles))))
+
+
+def _best_in_tiles(targets: DataFrame, candidates: DataFrame, least: float, by: tuple[str, ...], parts: int | None) -> DataFrame:
+    """``best_matches`` with the target's tile; rows of a page and tile are in one partition, so what is grouped by these stays there."""
     if least <= 0:
         raise ValueError("least is over 0")
-    reach = max(math.ceil(-math.log2(least)), 0)
-    t, c = _in_cells(_named(targets, "t_"), "t_", 0), _in_cells(_named(candidates, "c_"), "c_", reach)
-    corner = lambda a: F.floor(F.greatest(f"t_{a}0", f"c_{a}0") / F.pow(F.lit(2.0), F.col("k"))) == F.col(a)
-    pairs = t.join(c, [*PAGE, "k", "x", "y"]).where(corner("x") & corner("y")).drop("k", "x", "y")
-    pairs = pairs.withColumn("iou", iou("t_", "c_")).where(F.col("iou") > least)
-    pick = F.row_number().over(Window.partitionBy(*PAGE, "t_token_ix", *by).orderBy(F.desc("iou"), "c_token_ix"))
+    t = _solid(_named(targets, "t_"), "t_").withColumn("tg", _group(_size_class("t_")))
+    t = t.withColumns({f"t{a}": _tile_at(F.col("tg"), F.col(f"t_{a}0")) for a in ("x", "y")})
+    c = _tiled(candidates, least)
+    tile = [*PAGE, *_TILE]
+    if parts is not None:
+        t, c = t.repartition(parts, *tile), c.repartition(parts, *tile)
+    pairs = t.join(c, tile).withColumn("iou", iou("t_", "c_")).where(F.col("iou") > least)
+    pick = F.row_number().over(Window.partitionBy(*tile, "t_token_ix", *by).orderBy(F.desc("iou"), "c_token_ix"))
     return pairs.withColumn("__n", pick).where("__n = 1").drop("__n")
 
 
-def retry(primary: DataFrame, engines: list[DataFrame], least: float = rules.LOW_CONFIDENCE) -> DataFrame:
-    """Low-confidence tokens take a better match, engine by engine; a replaced token is not tried again.
+def best_matches(targets: DataFrame, candidates: DataFrame, least: float = rules.MATCH_IOU, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Each target (t_*) with its best-overlapping candidate (c_*) above ``least`` (over 0); the first of equals; per ``by`` columns.
 
-    Returns ``primary`` with engine_used, the number of the engine that replaced it (0: none).
+    Boxes that overlap by more than ``least`` of their union have sizes within that factor and corners near each
+    other: a target goes to the tile of its corner, a candidate to the tiles that a match's corner can lie in, mostly
+    one.  All of a target's candidates are then in one place, in ``parts`` partitions (by default the session's
+    number), and a page's pairs are those of a tile, not its square.
     """
-    out = primary.withColumn("engine_used", F.lit(0))
-    for k, engine in enumerate(engines, 1):
-        weak = out.where(low_confidence(least) & (F.col("engine_used") == 0))
-        m = best_matches(weak.drop("engine_used"), engine).where(F.coalesce("c_confidence", F.lit(0.0)) > F.coalesce("t_confidence", F.lit(1.0)))
-        m = m.select(*PAGE, F.col("t_token_ix").alias("token_ix"), *[F.col(f"c_{c}").alias(f"__{c}") for c in ("text", "confidence", "x0", "y0", "x1", "y1")])
-        met = out.join(m.withColumn("__hit", F.lit(True)), [*PAGE, "token_ix"], "left")
-        hit = F.coalesce("__hit", F.lit(False))
-        new = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("text", "confidence", "x0", "y0", "x1", "y1")}
-        out = met.withColumns(new | {"engine_used": F.when(hit, k).otherwise(F.col("engine_used"))}).select(*out.columns)
-    return out
+    return _best_in_tiles(targets, candidates, least, by, parts).drop(*_TILE)
 
 
-def vote(primary: DataFrame, engines: DataFrame) -> DataFrame:
+def retry(primary: DataFrame, engines: list[DataFrame], least: float = rules.LOW_CONFIDENCE, parts: int | None = None) -> DataFrame:
+    """Low-confidence tokens take a better match, engine by engine; a replaced token is not tried again.
+
+    Returns ``primary`` with engine_used, the number of the engine that replaced it (0: none).  A token keeps its
+    box until it is replaced, so all engines are matched at once and the first that is better counts.
+    """
+    new = ("text", "confidence", "x0", "y0", "x1", "y1")
+    if not engines:
+        return primary.withColumn("engine_used", F.lit(0))
+    every = None
+    for k, engine in enumerate(engines, 1):
+        one = engine.select(*PAGE, "token_ix", *new, F.lit(k).alias("engine_ix"))
+        every = one if every is None else every.unionByName(one)
+    weak = primary.where(low_confidence(least)).select(*PAGE, "token_ix", "confidence", "x0", "y0", "x1", "y1")
+    m = _best_in_tiles(weak, every, rules.MATCH_IOU, ("c_engine_ix",), parts).where(F.coalesce("c_confidence", F.lit(0.0)) > F.coalesce("t_confidence", F.lit(1.0)))
+    first = F.min_by(F.struct(*[F.col(f"c_{c}").alias(c) for c in new], F.col("c_engine_ix").alias("engine_ix")), "c_engine_ix")
+    m = m.groupBy(*PAGE, *_TILE, "t_token_ix").agg(first.alias("__m")).select(*PAGE, F.col("t_token_ix").alias("token_ix"), "__m")
+    met, hit = primary.join(m, [*PAGE, "token_ix"], "left"), F.col("__m").isNotNull()
+    out = met.withColumns({c: F.when(hit, F.col(f"__m.{c}")).otherwise(F.col(c)) for c in new} | {"engine_used": F.when(hit, F.col("__m.engine_ix")).otherwise(F.lit(0))})
+    return out.select(*primary.columns, "engine_used")
+
+
+def vote(primary: DataFrame, engines: DataFrame, parts: int | None = None) -> DataFrame:
     """Majority text of all engines' best matches for each primary token.
 
     ``engines`` has engine_ix, 0 being the primary.  Most votes win, then the text met first in
     engine order; confidence is the mean over all matches (0.8 where missing).  Returns
     (upload_id, page, token_ix, text, confidence, vote_count, vote_agreement).
     """
-    m = best_matches(primary, engines, by=("c_engine_ix",)).withColumn("vote", F.trim("c_text"))
-    key = [*PAGE, "t_token_ix"]
+    primary = primary.select(*PAGE, "token_ix", "x0", "y0", "x1", "y1")
+    engines = engines.select(*PAGE, "engine_ix", "token_ix", "text", "confidence", "x0", "y0", "x1", "y1")
+    m = _best_in_tiles(primary, engines, rules.MATCH_IOU, ("c_engine_ix",), parts).withColumn("vote", F.trim("c_text"))
+    key = [*PAGE, *_TILE, "t_token_ix"]
     votes = m.groupBy(*key, "vote").agg(
         F.count("*").alias("n"), F.min("c_engine_ix").alias("first"), F.sum(F.coalesce("c_confidence", F.lit(0.8))).alias("s")
     )

@@ -478,7 +478,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY upload_id, token_ix, engine_i
 @_query(f"WITH {SQL_TOKENS}, {_MATCH} SELECT upload_id, token_ix::INT AS token_ix, other::INT AS match_ix, iou FROM best WHERE n = 1 AND engine_ix = 1")
 def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = samples.tokens(spark, sf_dir)
-    m = ensemble.best_matches(t, samples.jittered(t, 1))
+    boxes = lambda df: df.select("upload_id", "page", "token_ix", "x0", "y0", "x1", "y1")
+    m = ensemble.best_matches(boxes(t), boxes(samples.jittered(t, 1)))
     return m.select("upload_id", F.col("t_token_ix").alias("token_ix"), F.col("c_token_ix").alias("match_ix"), "iou")
 
 
