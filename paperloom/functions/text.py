@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -34,6 +35,11 @@ def contains_any(text: Column, words) -> Column:
     return out
 
 
+def contains_word(text: Column, words) -> Column:
+    """Whether one of the words stands in text by itself, not as letters of a longer one."""
+    return text.rlike(r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})") if words else F.lit(False)
+
+
 def hits(text: Column, words) -> Column:
     """How many of the words stand in text; a word listed twice counts twice."""
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))

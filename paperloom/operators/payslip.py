@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import numbers, rules
 from paperloom.functions.dates import format_month_year
-from paperloom.functions.text import captured, contains_any, let
+from paperloom.functions.text import captured, contains_any, contains_word, let
 from paperloom.operators.bank import completeness
 
 FIELDS = ("name", "id_number", "gross_income", "net_income", "total_deduction", "month_year")
@@ -35,11 +35,14 @@ def _matches(text: Column, pattern: str, reach: int) -> Column:
 
 
 def text_field(text: Column, name: str) -> Column:
-    """After a field's words, else by its further patterns; matches near unwanted words don't count."""
+    """After a field's words, else by its further patterns; matches near unwanted words don't count.
+
+    A name's letters may spell an unwanted word, so near names those count as whole words only.
+    """
     r = rules.PAYSLIP[name]
 
     def near(context: Column) -> Column:
-        return contains_any(F.lower(context), r["not_near"])
+        return (contains_word if name == "name" else contains_any)(F.lower(context), r["not_near"])
 
     tried = []
     for w in r["words"]:
@@ -93,7 +96,7 @@ def page_record(df: DataFrame, page: str = "page_text", text: str = "text") -> D
     """``df`` with the payslip fields from labels in page text, with one-line text as the second choice."""
     p, t, none = F.col(page), F.col(text), F.array().cast("array<string>")
     names = [captured(p, x) for x in rules.PAGE_NAMES]
-    good = [F.when((F.length(F.trim(n)) > 3) & ~contains_any(F.upper(n), rules.NAME_NEVER), F.trim(n)) for n in names]
+    good = [F.when((F.length(F.trim(n)) > 3) & ~contains_word(F.upper(n), rules.NAME_NEVER), F.trim(n)) for n in names]
     label = lambda x: numbers.label_value(captured(p, x))
     df = df.withColumns(
         {
