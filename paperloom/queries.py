@@ -673,7 +673,7 @@ def stream_split_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = rows.withColumn("at", F.lit(f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z")).select(F.to_json(F.struct("*")).alias("value"))
         if step == 0:
             lines = lines.unionByName(spark.range(1).select(F.lit('{"upload_id": "broken", "document_number": "one", "text": "x", "expected": 1, "at": "2024-01-01T00:00:00Z"}').alias("value")))
-        lines.coalesce(2).write.mode("append").text(f"{root}/in")
+        lines.write.mode("append").text(f"{root}/in")
         stream = assembly.together(intake.arrivals(spark, f"{root}/in"))
         intake.run_once(stream, work, f"{root}/out", f"{root}/status", f"{root}/checkpoint").awaitTermination()
     batch = _digests(given)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.plans.keyed import KeyedTable
 from paperloom.plans.results import result_records
-from paperloom.plans.scratch import delete, workspace
+from paperloom.plans.scratch import delete, fresh, workspace
 
 PAGES = "upload_id string, document_number int, text string, expected int, at timestamp"
 STATUS = "upload_id string, status string, pages long, at long"
@@ -43,7 +43,10 @@ def status_table(spark: SparkSession, path: str) -> KeyedTable:
 
 
 def _worked(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, part: Column, ways: int = 1, at: int = 0) -> Iterator[str]:
-    """Writes ``work(rows)`` and gives the uploads for which it fails: on a failure the uploads are split until those are alone."""
+    """Writes ``work(rows)`` and gives the uploads for which it fails: on a failure the uploads are split until those are alone.
+
+    Each split is written once in folders, so that what is tried next reads its own uploads and not the whole batch.
+    """
     try:
         with workspace(rows.sparkSession):
             work(rows).write.mode("overwrite").parquet(f"{out}/part={ways}-{at}")
@@ -53,11 +56,17 @@ def _worked(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, p
         if len(some) < 2:
             yield from some
             return
-        for k in range(SPLIT):
-            of = at + k * ways
-            mine = rows.where(F.pmod(part, F.lit(ways * SPLIT)) == of)
-            if not mine.isEmpty():
-                yield from _worked(mine, work, out, part, ways * SPLIT, of)
+        spark, path = rows.sparkSession, fresh(rows.sparkSession, "split")
+        try:
+            way = ((F.pmod(part, F.lit(ways * SPLIT)) - at) / ways).cast("int")
+            rows.withColumn("__way", way).write.partitionBy("__way").parquet(path)
+            split = spark.read.schema(rows.select("*", way.alias("__way")).schema).parquet(path)
+            for k in range(SPLIT):
+                mine = split.where(F.col("__way") == k).drop("__way")
+                if not mine.isEmpty():
+                    yield from _worked(mine, work, out, part, ways * SPLIT, at + k * ways)
+        finally:
+            delete(spark, path)
 
 
 def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, status: str, checkpoint: str) -> StreamingQuery:
