@@ -93,15 +93,29 @@ def right_texts(tokens: DataFrame, labels: DataFrame, need_digit: bool = False)
 
 
 def field_values(tokens: DataFrame, words: tuple[str, ...], numeric: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(upload_id, page, label, value): to the label's right, else (numbers only) below it."""
-    labels = find_labels(tokens, words)
-    names = [*PAGE, F.col("l_text").alias("label"), F.col("text").alias("value")]
-    right = (right_values(tokens, labels, exclude) if numeric else right_texts(tokens, labels)).select(*names)
-    if not numeric:
-        return right
-    below = below_values(tokens, labels, exclude).select(*PAGE, F.col("l_text").alias("label"), F.col("text").alias("below"))
-    both = right.join(below, [*PAGE, "label"], "full_outer")
-    return both.select(*PAGE, "label", F.coalesce("value", "below").alias("value"))
+    """(upload_id, page, label, value): to the label's right, else (numbers only) below it.
+
+    The label is found by a window over its page and the values by one grouping of it, so tokens are brought
+    together once.
+    """
+    low = F.lower("text")
+    rank = F.when(contains_any(low, [w.lower() for w in words]), 1).when(contains_any(low, [w.lower().split()[0] for w in words if " " in w]), 2)
+    label = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "token_ix", "text", "line", "x1", "y1"))).over(Window.partitionBy(*PAGE))
+    met = tokens.withColumn("__l", label).where(F.col("__l").isNotNull() & F.col("upload_id").isNotNull() & F.col("page").isNotNull())
+    met = met.select("*", *[F.col(f"__l.{c}").alias(f"l_{c}") for c in ("token_ix", "text", "line", "x1", "y1")])
+    other, across, down = F.col("token_ix") != F.col("l_token_ix"), F.col("x0") - F.col("l_x1"), F.col("y0") - F.col("l_y1")
+    right = other & (F.col("line") == F.col("l_line")) & (F.col("x0") > F.col("l_x1"))
+
+    def scored(where: Column, gap: Column, relation: str) -> Column:
+        score = candidate_score(F.col("confidence"), gap, relation)
+        good = where & is_numeric(F.col("text")) & ~_unwanted(exclude) & (score >= rules.SCORE_LEAST)
+        return F.max(F.when(good, F.struct(score.alias("score"), (-F.col("token_ix")).alias("order"), "text")))["text"]
+
+    if numeric:
+        value = F.coalesce(scored(right, across, "right"), scored(other & (down > 0) & (down <= rules.BELOW_REACH), down, "below"))
+    else:
+        value = F.min(F.when(right & ~F.col("text").rlike(NUMERIC_RUN), F.struct(across.alias("gap"), "token_ix", "text")))["text"]
+    return met.groupBy(*PAGE).agg(F.first("l_text").alias("label"), value.alias("value")).where(F.col("value").isNotNull())
 
 
 def consume(candidates: DataFrame, fields: tuple[str, ...]) -> DataFrame:
