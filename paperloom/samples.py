@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a small table that one task renders as texts, and tokens of a task.
+ROWS_PER_TASK = 10_000
+TOKENS_PER_TASK = 150_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` in a number of partitions that grows with its rows (by ``keys``, if any).
+
+    A file of a few MB is else read by one task, whatever is made of its rows, and a task's share of a shuffle
+    grows with the table.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def letters(key: Column) -> Column:
     return F.translate(F.lpad(key.cast("string"), 6, "0"), "0123456789", "ABCDEFGHIJ")
 
@@ -29,7 +43,7 @@ def statement_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     d = F.date_add(F.lit("2020-01-01").cast("date"), (k % 2000).cast("int"))
     balance = F.col("c_acctbal").cast("decimal(18,2)")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")).select(
         k.alias("upload_id"),
         F.element_at(F.array(*[F.lit(b) for b in BANKS]), (k % 5 + 1).cast("int")).alias("bank"),
         letters(k).alias("letters"),
@@ -87,7 +101,7 @@ def payslip_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     gross = (F.lit("3000.40").cast("decimal(18,2)") + k % 4000).cast("decimal(18,2)")
     less = (F.lit("100.15").cast("decimal(18,2)") + k % 900).cast("decimal(18,2)")
-    return table(spark, sf_dir, "supplier").select(
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(
         k.alias("upload_id"), letters(k).alias("letters"), gross.alias("gross"), less.alias("deduction"), (gross - less).cast("decimal(18,2)").alias("net"),
         (k % 3 == 0).alias("no_net"), (k % 12 + 1).alias("month"),
     )
@@ -148,7 +162,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
     x0, y0 = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 24).cast("double")
     text = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Total "), F.col("l_returnflag"))).when(F.col("l_linenumber") % 3 == 1, F.col("l_quantity").cast("int").cast("string")).otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".50")))
-    return table(spark, sf_dir, "lineitem").select(
+    used = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return spread(used, "l_orderkey", rows=TOKENS_PER_TASK).select(
         F.col("l_orderkey").alias("upload_id"), F.lit(1).alias("page"), F.row_number().over(w).alias("token_ix"), text.alias("text"),
         ((F.lit(100) - F.col("l_quantity")) / 100).alias("confidence"), x0.alias("x0"), y0.alias("y0"), (x0 + 12).alias("x1"), (y0 + 8).alias("y1"),
     )
