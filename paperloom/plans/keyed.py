@@ -87,8 +87,9 @@ class KeyedTable:
         for _ in range(TRIES):
             version = max(self.versions(), default=0)
             folders = self._named(version) if version else {}
-            old = self._rows([folders[b] for b in touched if b in folders]).withColumn("bucket", self._bucket(F.col(self.key)))
-            both = old.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
+            both, named = rows.withColumn("__new", F.lit(1)), [folders[b] for b in touched if b in folders]
+            if named:
+                both = both.unionByName(self._rows(named).withColumns({"bucket": self._bucket(F.col(self.key)), "__new": F.lit(0)}))
             latest = both.groupBy("bucket", self.key).agg(F.max_by(F.struct(*names), F.struct(self.order, "__new")).alias("row"))
             new = f"v{version + 1}-{uuid.uuid4().hex}"
             latest.select("row.*", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{new}")

@@ -7,7 +7,10 @@ Pages of an upload that come in one file are worked on in that file's batch; whe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,9 +21,13 @@ from paperloom.plans.scratch import delete, fresh, workspace
 
 PAGES = "upload_id string, document_number int, text string, expected int, at timestamp"
 STATUS = "upload_id string, status string, pages long, at long"
+#: What a batch uses of a stream's columns.
+USED = ("upload_id", "document_number", "text", "broken", "outcome")
 #: Ways in which a set of uploads that fails is split, and the most uploads of a batch that may fail by their own.
 SPLIT = 4
 MOST_FAILED = 100
+#: Most parts of a split batch that are worked on at the same time.
+AT_ONCE = 16
 
 
 def arrivals(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -42,30 +49,57 @@ def status_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, STATUS)
 
 
-def _worked(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, part: Column, ways: int = 1, at: int = 0) -> Iterator[str]:
+def _worked(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, part: Column) -> Iterator[str]:
     """Writes ``work(rows)`` and gives the uploads for which it fails: on a failure the uploads are split until those are alone.
 
     Each split is written once in folders, so that what is tried next reads its own uploads and not the whole batch.
+    Up to ``AT_ONCE`` sets are tried at once, the smallest first.
     """
-    try:
-        with workspace(rows.sparkSession):
-            work(rows).write.mode("overwrite").parquet(f"{out}/part={ways}-{at}")
-    except Exception:
-        delete(rows.sparkSession, f"{out}/part={ways}-{at}")
-        some = [r.upload_id for r in rows.select("upload_id").distinct().limit(2).collect()]
-        if len(some) < 2:
-            yield from some
-            return
-        spark, path = rows.sparkSession, fresh(rows.sparkSession, "split")
+    spark = rows.sparkSession
+
+    def tried(mine: DataFrame, name: str) -> bool:
         try:
-            way = ((F.pmod(part, F.lit(ways * SPLIT)) - at) / ways).cast("int")
-            rows.withColumn("__way", way).write.partitionBy("__way").parquet(path)
-            split = spark.read.schema(rows.select("*", way.alias("__way")).schema).parquet(path)
-            for k in range(SPLIT):
-                mine = split.where(F.col("__way") == k).drop("__way")
-                if not mine.isEmpty():
-                    yield from _worked(mine, work, out, part, ways * SPLIT, at + k * ways)
-        finally:
+            with workspace(spark):
+                work(mine).write.mode("overwrite").parquet(f"{out}/part={name}")
+            return True
+        except Exception:
+            delete(spark, f"{out}/part={name}")
+            return False
+
+    def split(mine: DataFrame, ways: int, at: int, path: str) -> list[tuple]:
+        """The parts that hold uploads: rows, number of ways and place among them, the first upload, whether it is alone."""
+        way = ((F.pmod(part, F.lit(ways * SPLIT)) - at) / ways).cast("int")
+        mine.withColumn("__way", way).write.partitionBy("__way").parquet(path)
+        whole, name = spark.read.schema(mine.select("*", way.alias("__way")).schema).parquet(path), F.struct("upload_id")
+        ends = whole.groupBy("__way").agg(F.min(name)["upload_id"].alias("first"), F.max(name)["upload_id"].alias("last")).collect()  # SPLIT rows at most
+        return [(whole.where(F.col("__way") == r["__way"]).drop("__way"), ways * SPLIT, at + r["__way"] * ways, r["first"], r["first"] == r["last"]) for r in ends]
+
+    if tried(rows, "1-0"):
+        return
+    some = [r.upload_id for r in rows.select("upload_id").distinct().limit(2).collect()]
+    if len(some) < 2:
+        yield from some
+        return
+    failing, left, paths = [(rows, 1, 0)], [], []
+    try:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+
+            def each(call: Callable, *over: tuple) -> list:
+                """What ``call`` gives for each, in threads with this one's folders and job properties."""
+                return [f.result() for f in [pool.submit(copy_context().run, inheritable_thread_target(spark)(call), *x) for x in over]]
+
+            while failing or left:
+                new = [fresh(spark, "split") for _ in failing]
+                paths += new
+                for parts in each(split, *[(*x[:3], path) for x, path in zip(failing, new, strict=True)]):
+                    left += parts
+                now, left = left[-AT_ONCE:], left[:-AT_ONCE]
+                done = each(tried, *[(x[0], f"{x[1]}-{x[2]}") for x in now])
+                failing = [x for x, fine in zip(now, done, strict=True) if not fine]
+                yield from [x[3] for x in failing if x[4]]
+                failing = [x for x in failing if not x[4]]
+    finally:
+        for path in paths:
             delete(spark, path)
 
 
@@ -79,21 +113,28 @@ def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
+        with workspace(spark):
+            process(written(rows.select([c for c in USED if c in rows.columns])), batch_id)
+
+    def written(rows: DataFrame) -> DataFrame:
+        """``rows``, told once, in the caller's session: a batch's own one plans without adaptive execution."""
+        path = fresh(spark, "batch")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    def process(rows: DataFrame, batch_id: int) -> None:
         said = status_table(spark, status)
-        rows = rows.persist()
-        if "outcome" in rows.columns:  # late pages change nothing, and waiting uploads have none yet
-            waiting = rows.where("outcome = 'waiting'").select("upload_id", F.lit("processing").alias("status"), F.lit(0).cast("long").alias("pages"), F.lit(4 * batch_id).cast("long").alias("at"))
-            said.upsert(waiting)
-            ready = rows.where("outcome in ('whole', 'idle')")
-        else:
-            ready = rows
-        uploads = ready.groupBy("upload_id").agg(F.count("*").alias("pages"), F.bool_or("broken").alias("broken"))
-
-        def say(step: int, state: Column) -> None:
-            said.upsert(uploads.select("upload_id", state.alias("status"), "pages", F.lit(4 * batch_id + step).cast("long").alias("at")))
-
-        say(1, F.lit("processing"))
+        pieces = "outcome" in rows.columns  # late pages change nothing, and waiting uploads have none yet
+        ready = rows.where("outcome in ('whole', 'idle')") if pieces else rows
+        uploads = written(ready.groupBy("upload_id").agg(F.count("*").alias("pages"), F.bool_or("broken").alias("broken")))
+
+        def states(uploads: DataFrame, step: int, state: Column) -> DataFrame:
+            return uploads.select("upload_id", state.alias("status"), "pages", F.lit(4 * batch_id + step).cast("long").alias("at"))
+
+        begun = states(uploads, 1, F.lit("processing"))
+        if pieces:
+            begun = begun.unionByName(states(rows.where("outcome = 'waiting'").select("upload_id", F.lit(0).cast("long").alias("pages")), 0, F.lit("processing")))
+        said.upsert(begun)
         good = ready.join(uploads.where("broken").select("upload_id"), "upload_id", "left_anti").select("upload_id", "document_number", "text")
         folder = f"{out}/batch={batch_id}"
         delete(spark, folder)
@@ -102,10 +143,10 @@ def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str
             failed.append(name)
             if len(failed) > MOST_FAILED:
                 raise RuntimeError(f"work fails for over {MOST_FAILED} uploads of batch {batch_id}")
-        say(2, F.when(F.col("broken") | F.col("upload_id").isin(failed), "failed").otherwise("completed"))
+        said.upsert(states(uploads, 2, F.when(F.col("broken") | F.col("upload_id").isin(failed), "failed").otherwise("completed")))
         said.vacuum(2)
-        rows.unpersist()
 
+    spark = stream.sparkSession
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
