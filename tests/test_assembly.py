@@ -34,7 +34,7 @@ def test_uploads_share_calls(spark, tmp_path):
     landed(f"{tmp_path}/in", "1", [(f"u{i}", 1, f"text {i}", 2, at(0)) for i in range(3000)])
     seen, query = told(spark, tmp_path)
     assert sorted(s[0] for s in seen) == sorted(f"u{i}" for i in range(3000)) and {s[1:] for s in seen} == {(None, None, "waiting")}
-    assert query.lastProgress.stateOperators[0].numRowsTotal <= assembly.BUCKETS
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 1024
     landed(f"{tmp_path}/in", "2", [(f"u{i}", 2, f"more {i}", 2, at(1)) for i in range(0, 3000, 3)])
     seen, _ = told(spark, tmp_path)
     assert seen == sorted([(f"u{i}", n, f"{w} {i}", "whole") for i in range(0, 3000, 3) for n, w in ((1, "text"), (2, "more"))], key=str)
